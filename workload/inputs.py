@@ -261,7 +261,7 @@ def response_questions(spark: SparkSession, folder: str) -> DataFrame:
         F.concat("conv_id", F.lit("-"), "turn").alias("query_id"),
         kind.alias("type"),
         F.when(F.col("role") == "system", none)
-        .otherwise(F.array(F.upper(words[0]), F.lit("[1]")))
+        .otherwise(F.array(words[0], F.lit("[1]")))
         .alias("expected_facts"),
     )
 

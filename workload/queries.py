@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from citeloom.deploy import ship
 from citeloom.functions import payload, text, vectors
 from citeloom.operators import answers, bm25, chunking, context, embedding, fusion, knn, metrics, rerank
 from citeloom.operators.topk import rounded
@@ -22,8 +24,13 @@ REGISTRY: dict[str, Query] = {}
 
 
 def query(function: Query) -> Query:
-    REGISTRY[function.__name__] = function
-    return function
+    @wraps(function)
+    def shipped(spark: SparkSession, folder: str) -> DataFrame:
+        ship(spark)
+        return function(spark, folder)
+
+    REGISTRY[function.__name__] = shipped
+    return shipped
 
 
 # --- text functions ----------------------------------------------------------------------------
