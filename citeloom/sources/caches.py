@@ -42,6 +42,24 @@ def read_orderings(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def read_ordering_table(spark: SparkSession, path: str) -> DataFrame:
+    """key, model, prompt, question, candidates, order; an absent cache is an empty one.
+
+    The last written of several rows with one key would be as good as any; one is kept.
+    """
+    schema = "key string, " + ORDERING_SCHEMA
+    try:
+        rows = spark.read.schema(schema).parquet(path)
+    except AnalysisException:
+        return spark.createDataFrame([], schema)
+    return rows.dropDuplicates(["key"])
+
+
+def append_orderings(orderings: DataFrame, path: str) -> None:
+    columns = ["key", "model", "prompt", "question", "candidates", "order"]
+    orderings.select(*columns).write.mode("append").parquet(path)
+
+
 def results_payload(
     retrieval: DataFrame,
     answers: DataFrame,
