@@ -27,6 +27,8 @@ SHORT_NAMES = (
     ("quality_inspection_procedure", "quality"),
 )
 
+_FIRST_LINE = r"(?U)\A[\s\x1c-\x1f]*([^\n]*)"
+_MARKDOWN_TITLE = r"(?sU)\A#[\s\x1c-\x1f]+(.+)\z"
 _SPACE_RUN = r"(?U)[\s\x1c-\x1f]+"
 
 
@@ -74,10 +76,17 @@ def normalise(text: Column) -> Column:
 
 def title(text: Column, fmt: Column, fallback: Column) -> Column:
     """First non-blank line; in markdown without its level-1 marker."""
-    first = F.get(F.filter(F.transform(F.split(text, "\n"), strip), lambda line: line != ""), F.lit(0))
-    heading = F.regexp_extract(first, r"(?sU)\A#[\s\x1c-\x1f]+(.+)\z", 1)
-    named = F.when((fmt == "markdown") & (heading != ""), strip(heading)).otherwise(first)
-    return F.coalesce(named, fallback)
+    first = strip(F.regexp_extract(text, _FIRST_LINE, 1))
+
+    def named(line: Column) -> Column:
+        heading = F.regexp_extract(line, _MARKDOWN_TITLE, 1)
+        return (
+            F.when(line == "", fallback)
+            .when((fmt == "markdown") & (heading != ""), strip(heading))
+            .otherwise(line)
+        )
+
+    return let(first, named)
 
 
 def tokenize(text: Column) -> Column:

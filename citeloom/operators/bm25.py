@@ -118,8 +118,11 @@ def term_table(index: Bm25Index) -> DataFrame:
 
 def postings(chunks: DataFrame) -> DataFrame:
     """chunk_id, dl, tokens to term, chunk_id, tf, dl: the inverted form."""
+    # Not explode: from that, Catalyst infers a filter on the size of ``tokens`` and pushes it below
+    # the tokeniser, which would then run twice per chunk.
+    exploded = chunks.select("chunk_id", "dl", F.explode_outer("tokens").alias("term"))
     return (
-        chunks.select("chunk_id", "dl", F.explode("tokens").alias("term"))
+        exploded.where(F.col("term").isNotNull())
         .groupBy("term", "chunk_id")
         .agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
     )

@@ -277,36 +277,28 @@ def chunk_documents(documents: DataFrame) -> DataFrame:
 
 
 def chunk_size_report(chunks: DataFrame) -> DataFrame:
-    """Documents, chunks, and smallest, upper-median and largest chunk text.
+    """Documents, chunks, and smallest, upper-median and largest chunk text, from one pass.
 
-    The upper median is read off the histogram of lengths, so no task ever holds all lengths: the
-    histogram has one row per distinct length.
+    All of it is read off the histogram of lengths, which pre-aggregates in the map tasks and has one
+    row per distinct length. A document is counted at its first chunk.
     """
-    lengths = chunks.groupBy(F.length("text").alias("chars")).agg(F.count("*").alias("n"))
-    totals = chunks.agg(
-        F.countDistinct("doc_id").alias("documents"),
-        F.count("*").alias("chunks"),
-        F.min(F.length("text")).alias("min_chars"),
-        F.max(F.length("text")).alias("max_chars"),
+    lengths = chunks.groupBy(F.length("text").alias("chars")).agg(
+        F.count("*").alias("n"), F.count_if(F.col("ordinal") == 0).alias("first")
+    )
+    whole = lengths.agg(
+        F.sum("first").alias("documents"),
+        F.sum("n").alias("chunks"),
+        F.min("chars").alias("min_chars"),
+        F.max("chars").alias("max_chars"),
+        F.array_sort(F.collect_list(F.struct("chars", "n"))).alias("histogram"),
     )
-    # Merged into one sorted array of (length, count): bounded by the number of distinct lengths.
-    histogram = lengths.agg(F.array_sort(F.collect_list(F.struct("chars", "n"))).alias("h"))
     middle = F.floor(F.col("chunks") / 2)
+    start = F.struct(F.lit(0).cast("bigint").alias("seen"), F.lit(None).cast("int").alias("chars"))
 
-    def reach(h: Column) -> Column:
-        start = F.struct(F.lit(0).cast("bigint").alias("seen"), F.lit(None).cast("int").alias("chars"))
-        return F.aggregate(
-            h,
-            start,
-            lambda acc, x: F.struct(
-                (acc["seen"] + x["n"]).alias("seen"),
-                F.when(acc["chars"].isNull() & (acc["seen"] + x["n"] > middle), x["chars"])
-                .otherwise(acc["chars"])
-                .alias("chars"),
-            ),
-            lambda acc: acc["chars"],
-        )
+    def step(acc: Column, x: Column) -> Column:
+        seen = acc["seen"] + x["n"]
+        reached = acc["chars"].isNull() & (seen > middle)
+        return F.struct(seen.alias("seen"), F.when(reached, x["chars"]).otherwise(acc["chars"]).alias("chars"))
 
-    return totals.join(histogram, F.lit(True)).select(
-        "documents", "chunks", "min_chars", reach(F.col("h")).alias("median_chars"), "max_chars"
-    )
+    median = F.aggregate("histogram", start, step, lambda acc: acc["chars"])
+    return whole.select("documents", "chunks", "min_chars", median.alias("median_chars"), "max_chars")

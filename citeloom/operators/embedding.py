@@ -15,8 +15,9 @@ from pyspark.sql import types as T
 
 from citeloom.functions.text import sha256
 from citeloom.functions.vectors import unit
-from citeloom.settings import EMBED_ATTEMPTS, EMBED_BATCH, EMBEDDING_DIM
+from citeloom.operators.joins import join_repeated
 from citeloom.plans.providers import with_retries
+from citeloom.settings import EMBED_ATTEMPTS, EMBED_BATCH, EMBEDDING_DIM
 
 EmbedBatch = Callable[[list[str], str], list[list[float]]]
 
@@ -29,27 +30,42 @@ def keyed(texts: DataFrame, model: str, task: str, text: str = "text") -> DataFr
     return texts.withColumn("key", vector_key(F.lit(model), F.lit(task), F.col(text)))
 
 
-def with_cached(keyed_texts: DataFrame, cache: DataFrame, dim: int = EMBEDDING_DIM) -> DataFrame:
-    """Left join on the key; only vectors of length ``dim`` count."""
-    usable = cache.where(F.size("vector") == dim).select("key", "vector")
-    return keyed_texts.join(usable, "key", "left")
+def usable(cache: DataFrame, dim: int) -> DataFrame:
+    return cache.where(F.size("vector") == dim).select("key", "vector")
+
+
+def with_cached(keyed_texts: DataFrame, cache: DataFrame, id_column: str, dim: int = EMBEDDING_DIM) -> DataFrame:
+    """Every text with its vector, or null; only vectors of length ``dim`` count.
+
+    Copies of one text share a key, and copies may be a large share of all texts, so frequent keys
+    are spread by ``id_column``.
+    """
+    return join_repeated(keyed_texts, usable(cache, dim), "key", id_column)
 
 
 def misses(keyed_texts: DataFrame, cache: DataFrame, dim: int = EMBEDDING_DIM, text: str = "text") -> DataFrame:
-    """key, text of every distinct text that the cache lacks."""
-    usable = cache.where(F.size("vector") == dim).select("key")
-    return keyed_texts.join(usable, "key", "left_anti").groupBy("key").agg(F.first(text).alias("text"))
+    """key, text of every distinct text that the cache lacks.
+
+    Copies are folded first, inside the map tasks, so the join sees every key once.
+    """
+    distinct = keyed_texts.groupBy("key").agg(F.first(text).alias("text"))
+    return distinct.join(usable(cache, dim).select("key"), "key", "left_anti")
 
 
 def cache_report(keyed_texts: DataFrame, cache: DataFrame, dim: int = EMBEDDING_DIM) -> DataFrame:
-    """texts, cache_hits, cache_misses, calls: one row."""
-    joined = with_cached(keyed_texts, cache, dim)
-    missing = F.count_if(F.col("vector").isNull())
+    """texts, cache_hits, cache_misses, calls: one row. Only keys and counts are joined."""
+    counted = keyed_texts.groupBy("key").agg(F.count("*").alias("n"))
+    have = usable(cache, dim).select("key", F.lit(True).alias("have"))
+    joined = counted.join(have, "key", "left").withColumn("missing", F.col("have").isNull())
+
+    def total(condition: Column) -> Column:
+        return F.coalesce(F.sum(F.when(condition, F.col("n"))), F.lit(0))
+
     return joined.agg(
-        F.count("key").alias("texts"),
-        F.count_if(F.col("vector").isNotNull()).alias("cache_hits"),
-        missing.alias("cache_misses"),
-        F.ceil(missing / EMBED_BATCH).cast("bigint").alias("calls"),
+        total(F.lit(True)).alias("texts"),
+        total(~F.col("missing")).alias("cache_hits"),
+        total(F.col("missing")).alias("cache_misses"),
+        F.ceil(total(F.col("missing")) / EMBED_BATCH).cast("bigint").alias("calls"),
     )
 
 

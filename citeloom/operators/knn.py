@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -73,11 +73,10 @@ def _collect_bounded(questions: DataFrame, max_cells: int) -> pa.Table | None:
     dim = max(1, len(one["vector"][0])) if one.num_rows else 1
     rows = max_cells // dim
     got = questions.limit(rows + 1).toArrow()
-    return got if got.num_rows <= rows else None
+    return got.combine_chunks() if got.num_rows <= rows else None
 
 
 def _scan_kernel(vectors: DataFrame, questions: pa.Table, k: int):
-    questions = questions.combine_chunks()
     query_ids = questions["query_id"].combine_chunks()
     weights = matrix(questions["vector"].combine_chunks()).T.copy()
     shipped = vectors.sparkSession.sparkContext.broadcast((query_ids, weights))
@@ -99,23 +98,40 @@ def _scan_kernel(vectors: DataFrame, questions: pa.Table, k: int):
 
 
 def _grid(
-    vectors: DataFrame, questions: DataFrame, k: int, schema: T.StructType, shard_rows: int, max_cells: int
+    vectors: DataFrame,
+    questions: DataFrame,
+    k: int,
+    schema: T.StructType,
+    shard_rows: int,
+    max_cells: int,
+    within: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Both sides too large to ship: bounded cells of (vector shard, question block)."""
-    counts = vectors.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("dim")).first()
-    asked = questions.count()
-    shards = max(1, math.ceil(counts["n"] / shard_rows))
-    per_block = max(1, max_cells // max(1, counts["dim"] or 1))
+    """Both sides too large to ship: bounded cells of (vector shard, question block).
+
+    ``within`` names columns that must be equal on both sides. Shards and blocks are counted for the
+    fullest of their groups, so no cell of the grid is larger than planned, however skewed they are.
+    """
+    stored = vectors.groupBy(*within).agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("dim"))
+    most = stored.agg(F.max("n").alias("n"), F.max("dim").alias("dim")).first()
+    asked = questions.groupBy(*within).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    shards = max(1, math.ceil((most["n"] or 0) / shard_rows))
+    per_block = max(1, max_cells // max(1, most["dim"] or 1))
     blocks = max(1, math.ceil(asked / per_block))
-    left = vectors.withColumn("shard", F.pmod(F.xxhash64("chunk_id"), F.lit(shards))).withColumn(
-        "block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint")))
-    )
-    right = questions.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).withColumn(
-        "shard", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(shards - 1).cast("bigint")))
-    )
+
+    def every(count: int) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(count - 1).cast("bigint")))
+
+    left = vectors.withColumn("shard", F.pmod(F.xxhash64("chunk_id"), F.lit(shards))).withColumn("block", every(blocks))
+    right = questions.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).withColumn("shard", every(shards))
+    keys = [*within, "shard", "block"]
 
     def cell(stored: pa.Table, asked: pa.Table) -> pa.Table:
-        empty = pa.table({name: pa.array([], type=t) for name, t in out_types(stored, asked).items()})
+        types = {
+            "query_id": asked.schema.field("query_id").type,
+            "chunk_id": stored.schema.field("chunk_id").type,
+            "score": pa.float64(),
+        }
+        empty = pa.table({name: pa.array([], type=t) for name, t in types.items()})
         if not stored.num_rows or not asked.num_rows:
             return empty
         query_ids = asked["query_id"].combine_chunks()
@@ -124,17 +140,10 @@ def _grid(
         for batch in stored.to_batches(max_chunksize=_BLOCK_ROWS):
             ids = id_array(batch.column("chunk_id"))
             best.offer(matrix(batch.column("vector"), weights.shape[0]) @ weights, ids)
-        found = list(best.batch(query_ids, stored.schema.field("chunk_id").type))
+        found = list(best.batch(query_ids, types["chunk_id"]))
         return pa.Table.from_batches(found) if found else empty
 
-    def out_types(stored: pa.Table, asked: pa.Table) -> dict[str, pa.DataType]:
-        return {
-            "query_id": asked.schema.field("query_id").type,
-            "chunk_id": stored.schema.field("chunk_id").type,
-            "score": pa.float64(),
-        }
-
-    return left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInArrow(cell, schema)
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(cell, schema)
 
 
 # --- approximate index -------------------------------------------------------------------------
@@ -173,7 +182,15 @@ def assign_cells(vectors: DataFrame, centroids: DataFrame) -> DataFrame:
     return source.mapInArrow(run, schema)
 
 
-def cell_topk(cells: DataFrame, centroids: DataFrame, questions: DataFrame, k: int = POOL, probes: int = 8) -> DataFrame:
+def cell_topk(
+    cells: DataFrame,
+    centroids: DataFrame,
+    questions: DataFrame,
+    k: int = POOL,
+    probes: int = 8,
+    max_cells: int = MAX_SHIPPED_QUERY_CELLS,
+    shard_rows: int = 50_000,
+) -> DataFrame:
     """Approximate top-k: each question looks into its ``probes`` nearest cells.
 
     With as many probes as cells the result is exact. A cell that holds a third of all vectors is
@@ -186,19 +203,17 @@ def cell_topk(cells: DataFrame, centroids: DataFrame, questions: DataFrame, k: i
         centroids.select(F.col("cell").alias("chunk_id"), "vector"), questions, probes
     ).select("query_id", F.col("chunk_id").alias("cell"))
     asked = questions.select("query_id", "vector").join(probed, "query_id")
-    # Cells meet questions by an equi-join on the cell: few (question, cell) rows, read as one list
-    # of questions per cell; the vectors stay where they are.
-    small = asked.orderBy("query_id", "cell").limit(MAX_SHIPPED_QUERY_CELLS // 64 + 1).toArrow().combine_chunks()
-    if small.num_rows > MAX_SHIPPED_QUERY_CELLS // 64:
-        return _cell_join(cells, asked, k)
-    wanted = small["cell"].unique().to_pylist()
-    return rank_within(
-        cells.where(F.col("cell").isin(wanted)).mapInArrow(_probe_kernel(cells, small, k), schema),
-        "query_id",
-        "score",
-        "chunk_id",
-        k,
-    )
+    # Few (question, cell) rows are shipped and the vectors stay where they are.
+    small = _collect_bounded(asked, max_cells)
+    if small is None:
+        stored = cells.select("chunk_id", "vector", "cell")
+        partial = _grid(stored, asked, k, schema, shard_rows, max_cells, ("cell",))
+    elif not small.num_rows:
+        return cells.sparkSession.createDataFrame([], schema.add("rank", "int"))
+    else:
+        wanted = small["cell"].unique().to_pylist()
+        partial = cells.where(F.col("cell").isin(wanted)).mapInArrow(_probe_kernel(cells, small, k), schema)
+    return rank_within(partial, "query_id", "score", "chunk_id", k)
 
 
 def _probe_kernel(cells: DataFrame, asked: pa.Table, k: int):
@@ -229,18 +244,3 @@ def _probe_kernel(cells: DataFrame, asked: pa.Table, k: int):
             yield from best.batch(query_ids, id_type)
 
     return run
-
-
-def _cell_join(cells: DataFrame, asked: DataFrame, k: int, salts: int = 32) -> DataFrame:
-    """More (question, cell) rows than may be shipped: a salted join on the cell."""
-    from citeloom.functions.vectors import dot
-    from citeloom.operators.topk import rounded
-
-    left = cells.withColumn("salt", F.pmod(F.xxhash64("chunk_id"), F.lit(salts)).cast("int"))
-    right = asked.withColumnRenamed("vector", "asked").withColumn(
-        "salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-    )
-    scored = left.join(right, ["cell", "salt"]).select(
-        "query_id", "chunk_id", rounded(dot(F.col("vector"), F.col("asked"))).alias("score")
-    )
-    return rank_within(scored, "query_id", "score", "chunk_id", k)

@@ -59,7 +59,7 @@ class Embedder:
             self.api_calls += -(-fresh.count() // EMBED_BATCH)
             caches.append_vectors(fresh, self.cache)
             stored = caches.read_vectors(self.spark, self.cache)
-        return embedding.require_cached(embedding.with_cached(wanted, stored, self.dim)).select(key, "vector")
+        return embedding.require_cached(embedding.with_cached(wanted, stored, key, self.dim)).select(key, "vector")
 
 
 class Reranker:

@@ -36,12 +36,15 @@ def structured(files: DataFrame) -> DataFrame:
     name = F.col("source_path")
     stem = F.when(F.rlike(name, F.lit(_NAME)), F.regexp_extract(name, _NAME, 1)).otherwise(name)
     suffix = F.lower(F.regexp_extract(name, _NAME, 2))
-    named = files.select(
+    # Decided on the raw content: a filter on the normalised text would be pushed down with it, and
+    # every file would be normalised twice.
+    filled = files.where(~is_blank(F.ltrim(F.col("raw"), F.lit("\ufeff"))))
+    named = filled.select(
         stem.alias("doc_id"),
         "source_path",
         F.when(suffix == "md", "markdown").otherwise("text").alias("fmt"),
         normalise(F.col("raw")).alias("text"),
-    ).where(~is_blank(F.col("text")))
+    )
     return named.select(
         "doc_id",
         title(F.col("text"), F.col("fmt"), F.col("doc_id")).alias("title"),

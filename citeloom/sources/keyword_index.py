@@ -1,12 +1,13 @@
 """The keyword index as stored tables.
 
-``postings`` is range-partitioned and sorted by (term, chunk_id): a search for a few terms reads the
-row groups of those terms alone, and a term with very many postings spans several files.
+``postings`` is partitioned by a bucket of the term and sorted by term inside: a search reads the
+buckets of its terms alone and skips row groups that start after or end before them. A bucket with a
+very common term is written as several files.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citeloom.operators import bm25
@@ -17,9 +18,19 @@ from citeloom.sources.store import _read
 _PUSHED_TERMS = 1000
 
 
+BUCKETS = 256
+_WRITE_SALTS = 16
+
+
+def _bucket() -> Column:
+    return F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int")
+
+
 def write(index: bm25.Bm25Index, path: str) -> None:
-    rows = bm25.postings(index.chunks).repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "chunk_id")
-    rows.write.mode("overwrite").parquet(f"{path}/postings")
+    rows = bm25.postings(index.chunks).withColumn("bucket", _bucket())
+    salt = F.pmod(F.xxhash64("chunk_id"), F.lit(_WRITE_SALTS))
+    dealt = rows.repartition("bucket", salt).sortWithinPartitions("bucket", "term", "chunk_id")
+    dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
     index.terms.write.mode("overwrite").parquet(f"{path}/terms")
     stats = index.stats
     index.terms.sparkSession.createDataFrame(
@@ -41,6 +52,9 @@ class KeywordIndex:
 
     def search(self, questions: DataFrame, k: int = POOL, query_id: str = "query_id", text: str = "question") -> DataFrame:
         weights = bm25.question_weights(self.terms, self.stats, questions, query_id, text)
-        few = weights.select("term").distinct().limit(_PUSHED_TERMS + 1).toArrow()["term"].to_pylist()
-        rows = self.postings if len(few) > _PUSHED_TERMS else self.postings.where(F.col("term").isin(few))
-        return bm25.search_postings(rows, self.stats, weights, k)
+        few = weights.select("term", _bucket().alias("bucket")).distinct().limit(_PUSHED_TERMS + 1).collect()
+        rows = self.postings
+        if len(few) <= _PUSHED_TERMS:
+            buckets = sorted({r["bucket"] for r in few})
+            rows = rows.where(F.col("bucket").isin(buckets) & F.col("term").isin([r["term"] for r in few]))
+        return bm25.search_postings(rows.drop("bucket"), self.stats, weights, k)

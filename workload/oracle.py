@@ -77,14 +77,11 @@ ORDERS_RAW = """
   SELECT 'order-' || o_orderkey || '.md' AS source_path,
     '# Order ' || o_orderkey || E'\\n\\nReference ORD-' || o_orderstatus || '-' || o_orderkey
       || ' for customer ' || o_custkey || E'.\\n\\n## 1. Priority\\n\\nHandled as ' || o_orderpriority
-      || E'.\\n# Not a section\\nSee clause 2.\\n\\n## 2. Lines\\n\\nThe lines of this order follow.\\n\\n'
-      || E'| line | part | quantity | flag |\\n|---|---|---|---|\\n' || rows
-      || E'\\n\\nQuantities are pieces. (Flags are final.)' AS raw
-  FROM orders JOIN (
-    SELECT l_orderkey, string_agg(row, chr(10) ORDER BY l_linenumber, l_partkey, q, row) AS rows FROM (
-      SELECT l_orderkey, l_linenumber, l_partkey, CAST(l_quantity AS INT) AS q,
-        '| ' || l_linenumber || ' | ' || l_partkey || ' | ' || CAST(l_quantity AS INT) || ' | ' || l_returnflag || ' |' AS row
-      FROM lineitem) GROUP BY l_orderkey) ON o_orderkey = l_orderkey"""
+      || E'.\\n# Not a section\\nSee clause 2.\\n\\n## 2. Fields\\n\\nThe fields of this order follow.\\n\\n'
+      || E'| field | value |\\n|---|---|\\n| key | ' || o_orderkey || E' |\\n| customer | ' || o_custkey
+      || E' |\\n| status | ' || o_orderstatus || E' |\\n| price | ' || CAST(floor(o_totalprice) AS BIGINT)
+      || E' |\\n\\nPrices are rounded. (Fields are final.)' AS raw
+  FROM orders"""
 
 
 def files(raw: str) -> str:
@@ -321,7 +318,7 @@ cells AS MATERIALIZED (SELECT vec_id, embedding, CAST(cell AS INT) AS cell FROM
 
 GOLDEN = f"""
 hold AS (SELECT b.item_id AS query_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
-expd AS (SELECT query_id, list(CAST(doc_id AS VARCHAR) ORDER BY doc_id) AS docs,
+expd AS (SELECT query_id, CASE WHEN min(doc_id) = max(doc_id) THEN [CAST(min(doc_id) AS VARCHAR)] ELSE [CAST(min(doc_id) AS VARCHAR), CAST(max(doc_id) AS VARCHAR)] END AS docs,
     coalesce(bool_or(toxic = 1), false) AS toxic, coalesce(bool_or(quality = 0), false) AS poor
   FROM hold LEFT JOIN labels USING (doc_id) GROUP BY query_id),
 gold AS MATERIALIZED (SELECT item_id AS query_id, text AS question,
@@ -541,6 +538,8 @@ def oracle_sql() -> dict[str, str]:
       SELECT * FROM (SELECT query_id, chunk_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INT) AS rank FROM (
         SELECT query_id, vec_id AS chunk_id, round({dot('embedding', 'v')}, 8) AS score FROM pb JOIN cells USING (cell))) WHERE rank <= 20"""
 
+    q["ann_topk_grid"] = q["ann_topk"]
+
     vector_only = "(SELECT query_id, chunk_id, rank AS vector_rank, score AS vector_score, NULL::INT AS keyword_rank, NULL::DOUBLE AS keyword_score FROM vhits)"
     keyword_only = "(SELECT query_id, chunk_id, NULL::INT AS vector_rank, NULL::DOUBLE AS vector_score, rank AS keyword_rank, score AS keyword_score FROM hits)"
     q["hybrid_rrf"] = f"WITH {BOTH},{EVIDENCE},{fused()} {SHOWN} fu"
@@ -631,6 +630,8 @@ def oracle_sql() -> dict[str, str]:
     q["cache_keys"] = f"WITH {KEYED} SELECT doc_id, key FROM keyed"
     q["cache_report"] = f"""WITH {CACHE} SELECT count(*) AS texts, count(u.key) AS cache_hits, count(*) - count(u.key) AS cache_misses,
       CAST(ceil((count(*) - count(u.key)) / 100) AS BIGINT) AS calls FROM keyed k LEFT JOIN usable u ON u.key = k.key"""
+    q["cache_vectors"] = f"""WITH {CACHE} SELECT doc_id, round(vector[1]::DOUBLE, 7) AS first
+      FROM keyed k LEFT JOIN (SELECT key, vector FROM cache WHERE len(vector) = 64) c ON c.key = k.key"""
     q["cache_misses"] = f"WITH {CACHE} SELECT DISTINCT key, length(text) AS chars FROM keyed WHERE key NOT IN (SELECT key FROM usable)"
     q["upsert_latest"] = """SELECT conv_id, turn, role, md5(text) AS digest FROM (
       SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM conversations) WHERE rn = 1"""

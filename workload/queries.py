@@ -254,6 +254,16 @@ def ann_topk(spark, folder):
     return knn.cell_topk(cells, centroids, inputs.question_vectors(spark, folder), 20, probes=8)
 
 
+@query
+def ann_topk_grid(spark, folder):
+    """The same lists by way of the grid."""
+    stored = inputs.vectors(spark, folder)
+    centroids = knn.pick_centroids(stored)
+    cells = knn.assign_cells(stored, centroids)
+    asked = inputs.question_vectors(spark, folder)
+    return knn.cell_topk(cells, centroids, asked, 20, probes=8, max_cells=1_000, shard_rows=10)
+
+
 @query
 def ann_cells(spark, folder):
     stored = inputs.vectors(spark, folder)
@@ -549,6 +559,14 @@ def cache_report(spark, folder):
     return embedding.cache_report(texts, _cache(spark, folder), dim=64)
 
 
+@query
+def cache_vectors(spark, folder):
+    """Every document with its stored vector, where there is a usable one."""
+    texts = embedding.keyed(inputs.documents(spark, folder, "doc_id", "text"), inputs.MODEL, DOCUMENT_TASK)
+    found = embedding.with_cached(texts, _cache(spark, folder), "doc_id", dim=64)
+    return found.select("doc_id", F.round(F.col("vector")[0].cast("double"), 7).alias("first"))
+
+
 @query
 def cache_misses(spark, folder):
     texts = embedding.keyed(inputs.documents(spark, folder, "doc_id", "text"), inputs.MODEL, DOCUMENT_TASK)
