@@ -23,7 +23,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType
+from pyspark.sql.types import DataType, IntegerType
 
 from citeloom.functions.text import tokenize
 from citeloom.operators.topk import BestPerQuery, id_array, partial_schema, rank_within, rounded
@@ -195,7 +195,7 @@ def search_postings(
 
 def _nothing(index: Bm25Index, questions: DataFrame, query_id: str) -> DataFrame:
     schema = partial_schema(questions.schema[query_id].dataType, index.chunks.schema["chunk_id"].dataType)
-    return index.chunks.sparkSession.createDataFrame([], schema.add("rank", "int"))
+    return index.chunks.sparkSession.createDataFrame([], schema.add("rank", IntegerType()))
 
 
 def _scan(index: Bm25Index, weights: pa.Table, query_type: DataType, k: int) -> DataFrame:

@@ -56,11 +56,11 @@ def exact_topk(
     vectors, questions = vectors.select("chunk_id", "vector"), questions.select("query_id", "vector")
     schema = partial_schema(questions.schema["query_id"].dataType, vectors.schema["chunk_id"].dataType)
     if k <= 0:
-        return vectors.sparkSession.createDataFrame([], schema.add("rank", "int"))
+        return vectors.sparkSession.createDataFrame([], schema.add("rank", T.IntegerType()))
     small = _collect_bounded(questions, max_cells)
     if small is not None:
         if not small.num_rows:
-            return vectors.sparkSession.createDataFrame([], schema.add("rank", "int"))
+            return vectors.sparkSession.createDataFrame([], schema.add("rank", T.IntegerType()))
         partial = vectors.mapInArrow(_scan_kernel(vectors, small, k), schema)
     else:
         partial = _grid(vectors, questions, k, schema, shard_rows, max_cells)
@@ -198,7 +198,7 @@ def cell_topk(
     """
     schema = partial_schema(questions.schema["query_id"].dataType, cells.schema["chunk_id"].dataType)
     if k <= 0:
-        return cells.sparkSession.createDataFrame([], schema.add("rank", "int"))
+        return cells.sparkSession.createDataFrame([], schema.add("rank", T.IntegerType()))
     probed = exact_topk(
         centroids.select(F.col("cell").alias("chunk_id"), "vector"), questions, probes
     ).select("query_id", F.col("chunk_id").alias("cell"))
@@ -209,7 +209,7 @@ def cell_topk(
         stored = cells.select("chunk_id", "vector", "cell")
         partial = _grid(stored, asked, k, schema, shard_rows, max_cells, ("cell",))
     elif not small.num_rows:
-        return cells.sparkSession.createDataFrame([], schema.add("rank", "int"))
+        return cells.sparkSession.createDataFrame([], schema.add("rank", T.IntegerType()))
     else:
         wanted = small["cell"].unique().to_pylist()
         partial = cells.where(F.col("cell").isin(wanted)).mapInArrow(_probe_kernel(cells, small, k), schema)
