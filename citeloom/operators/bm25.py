@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, IntegerType
 
 from citeloom.functions.text import tokenize
-from citeloom.operators.topk import BestPerQuery, id_array, partial_schema, rank_within, rounded
+from citeloom.operators.topk import BestPerQuery, id_array, merge, partial_schema, rank_within, rounded
 from citeloom.settings import (
     BM25_B,
     BM25_EPSILON,
@@ -71,7 +71,8 @@ def floored_idf(stats: CorpusStats, df: Column) -> Column:
 
 
 def tokenized(chunks: DataFrame, chunk_id: str = "chunk_id", text: str = "index_text") -> DataFrame:
-    return chunks.select(F.col(chunk_id).alias("chunk_id"), tokenize(F.col(text)).alias("tokens")).select(
+    tokens = F.coalesce(tokenize(F.col(text)), F.array().cast("array<string>"))
+    return chunks.select(F.col(chunk_id).alias("chunk_id"), tokens.alias("tokens")).select(
         "chunk_id", F.size("tokens").alias("dl"), "tokens"
     )
 
@@ -243,8 +244,7 @@ def _scan(index: Bm25Index, weights: pa.Table, query_type: DataType, k: int) ->
         if id_type is not None:
             yield from best.batch(query_ids, id_type)
 
-    partial = chunks.mapInArrow(run, schema)
-    return rank_within(partial, "query_id", "score", "chunk_id", k)
+    return merge(chunks.mapInArrow(run, schema), chunks, k)
 
 
 def _blocks(row: np.ndarray, fan: np.ndarray, rows: int, queries: int) -> Iterator[tuple[int, int]]:

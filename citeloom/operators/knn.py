@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from citeloom.operators.topk import BestPerQuery, id_array, partial_schema, rank_within
+from citeloom.operators.topk import BestPerQuery, id_array, merge, partial_schema
 from citeloom.settings import MAX_CENTROIDS, MAX_SHIPPED_QUERY_CELLS, POOL, SCORE_DECIMALS
 
 _BLOCK_ROWS = 2048
@@ -64,7 +64,7 @@ def exact_topk(
         partial = vectors.mapInArrow(_scan_kernel(vectors, small, k), schema)
     else:
         partial = _grid(vectors, questions, k, schema, shard_rows, max_cells)
-    return rank_within(partial, "query_id", "score", "chunk_id", k)
+    return merge(partial, vectors, k)
 
 
 def _collect_bounded(questions: DataFrame, max_cells: int) -> pa.Table | None:
@@ -182,6 +182,26 @@ def assign_cells(vectors: DataFrame, centroids: DataFrame) -> DataFrame:
     return source.mapInArrow(run, schema)
 
 
+def probed_cells(cells: DataFrame, centroids: DataFrame, questions: DataFrame, k: int, probes: int) -> DataFrame:
+    """query_id, cell: the ``probes`` nearest cells, and further ones while those nearer hold fewer
+    than ``k`` vectors together, so that every question gets as many results as there are."""
+    near = centroids.select(F.col("cell").alias("chunk_id"), "vector")
+    sizes = cells.groupBy("cell").agg(F.count("*").alias("n"))
+    few = sizes.orderBy("n").limit(probes).agg(F.count("*").alias("cells"), F.sum("n").alias("n")).first()
+    if few["cells"] == probes and few["n"] >= k:
+        ranked = exact_topk(near, questions, probes)
+        return ranked.select("query_id", F.col("chunk_id").alias("cell"))
+    ranked = exact_topk(near, questions, MAX_CENTROIDS).select("query_id", F.col("chunk_id").alias("cell"), "rank")
+    nearer = Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
+    held = F.coalesce(F.sum("n").over(nearer), F.lit(0))
+    return (
+        ranked.join(sizes, "cell")
+        .withColumn("held", held)
+        .where((F.col("rank") <= probes) | (F.col("held") < k))
+        .select("query_id", "cell")
+    )
+
+
 def cell_topk(
     cells: DataFrame,
     centroids: DataFrame,
@@ -199,9 +219,7 @@ def cell_topk(
     schema = partial_schema(questions.schema["query_id"].dataType, cells.schema["chunk_id"].dataType)
     if k <= 0:
         return cells.sparkSession.createDataFrame([], schema.add("rank", T.IntegerType()))
-    probed = exact_topk(
-        centroids.select(F.col("cell").alias("chunk_id"), "vector"), questions, probes
-    ).select("query_id", F.col("chunk_id").alias("cell"))
+    probed = probed_cells(cells, centroids, questions, k, probes)
     asked = questions.select("query_id", "vector").join(probed, "query_id")
     # Few (question, cell) rows are shipped and the vectors stay where they are.
     small = _collect_bounded(asked, max_cells)
@@ -213,7 +231,7 @@ def cell_topk(
     else:
         wanted = small["cell"].unique().to_pylist()
         partial = cells.where(F.col("cell").isin(wanted)).mapInArrow(_probe_kernel(cells, small, k), schema)
-    return rank_within(partial, "query_id", "score", "chunk_id", k)
+    return merge(partial, cells, k)
 
 
 def _probe_kernel(cells: DataFrame, asked: pa.Table, k: int):

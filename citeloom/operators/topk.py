@@ -30,6 +30,21 @@ def rank_within(frame: DataFrame, group: str, score: str, tie: str, k: int, rank
     return frame.withColumn(rank, F.row_number().over(order)).where(F.col(rank) <= k)
 
 
+# From this many input files on, survivors are merged in two rounds: there is at least one task per
+# file, and each hands on k rows per question.
+WIDE_INPUT = 2_000
+_MERGE_PARTS = 64
+
+
+def merge(partial: DataFrame, source: DataFrame, k: int, wide_input: int = WIDE_INPUT) -> DataFrame:
+    """The k best per question of what the tasks over ``source`` kept."""
+    if len(source.inputFiles()) >= wide_input:
+        part = F.pmod(F.xxhash64("chunk_id"), F.lit(_MERGE_PARTS))
+        keyed = partial.withColumn("part", F.struct("query_id", part.alias("part")))
+        partial = rank_within(keyed, "part", "score", "chunk_id", k).drop("part", "rank")
+    return rank_within(partial, "query_id", "score", "chunk_id", k)
+
+
 def rounded(score: Column) -> Column:
     return F.round(score, SCORE_DECIMALS)
 

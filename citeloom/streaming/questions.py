@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from citeloom.plans.pipeline import Retriever
+from citeloom.sources.scratch import staged
 
 
 def retrieve_stream(
@@ -25,7 +26,8 @@ def retrieve_stream(
     def handle(batch: DataFrame, number: int) -> None:
         if batch.isEmpty():
             return
-        found = retriever.retrieve(batch, k, mode).drop("vector").withColumn("batch", F.lit(number))
+        asked = staged(batch, "questions")
+        found = retriever.retrieve(asked, k, mode).drop("vector").withColumn("batch", F.lit(number))
         found.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(output)
 
     return (

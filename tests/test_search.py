@@ -5,7 +5,7 @@ import pytest
 from pyspark.errors import PythonException
 from pyspark.sql import functions as F
 
-from citeloom.operators import bm25, fusion, knn
+from citeloom.operators import bm25, fusion, knn, topk
 from citeloom.sources.keyword_index import KeywordIndex, write
 
 CORPUS = {
@@ -155,6 +155,29 @@ def test_one_cell_with_most_rows(spark, asked):
     assert lists(knn.cell_topk(cells, centroids, asked, 7, probes=2, max_cells=64, shard_rows=20)) == exact
 
 
+def test_small_cells_are_topped_up(spark, stored, asked):
+    centroids = knn.pick_centroids(stored, 150)
+    cells = knn.assign_cells(stored, centroids)
+    got = lists(knn.cell_topk(cells, centroids, asked, 30, probes=1))
+    assert {len(hits) for hits in got.values()} == {30}
+    assert {len(hits) for hits in lists(knn.cell_topk(cells, centroids, asked, 400, probes=1)).values()} == {300}
+
+
+def test_survivors_of_many_tasks_are_merged_in_two_rounds(spark, stored, asked, index, questions):
+    partial = knn.exact_topk(stored, asked, 10).drop("rank")
+    once, twice = topk.merge(partial, stored, 4), topk.merge(partial, stored, 4, wide_input=0)
+    assert lists(once) == lists(twice)
+    assert "part" not in twice.columns
+
+
+def test_chunks_without_text_are_counted_as_empty(spark):
+    chunks = spark.createDataFrame([("a", "word"), ("b", None), ("c", "other")], "chunk_id string, index_text string")
+    found = bm25.build(chunks)
+    assert (found.stats.n, found.stats.avgdl) == (3, pytest.approx(2 / 3))
+    asked = spark.createDataFrame([(1, "word")], "query_id int, question string")
+    assert [r["chunk_id"] for r in bm25.search(found, asked, 5).collect()] == ["a"]
+
+
 def test_ties_and_bounds(spark):
     v = [1.0, 0.0, 0.0, 0.0]
     tied = spark.createDataFrame([("doc::002", v), ("doc::001", v)], "chunk_id string, vector array<float>")

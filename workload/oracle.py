@@ -524,7 +524,7 @@ def oracle_sql() -> dict[str, str]:
     q["bm25_chunks"] = f"WITH {bm25(f'SELECT chunk_id, index_text AS text FROM ({chunks(PLAIN)})')} SELECT * FROM hits"
 
     q["vector_norms"] = f"""SELECT vec_id AS chunk_id, round(n, 6) AS norm, abs(n - 1) <= 1e-3 + 1e-5 AS unit, abs(2 * n - 1) <= 1e-3 + 1e-5 AS doubled_unit,
-      round(embedding[1]::DOUBLE / n, 5) AS first, round({dot('embedding', 'list_reverse(embedding)')}, 6) AS mirrored
+      round((embedding[1]::DOUBLE / n)::FLOAT::DOUBLE, 7) AS first, round({dot('embedding', 'list_reverse(embedding)')}, 6) AS mirrored
       FROM (SELECT *, sqrt({dot('embedding', 'embedding')}) AS n FROM embeddings)"""
     q["vector_topk"] = f"WITH {vector_hits()} SELECT * FROM vhits"
     q["vector_neighbours"] = f"""SELECT * FROM (SELECT query_id, chunk_id, score,
@@ -534,7 +534,10 @@ def oracle_sql() -> dict[str, str]:
     q["ann_cells"] = f"WITH {CELLS} SELECT cell, count(*) AS n FROM cells GROUP BY cell"
     q["ann_topk"] = f"""WITH {CELLS},
       qv AS (SELECT item_id AS query_id, embedding AS v FROM benchmark JOIN embeddings ON vec_id = item_id),
-      pb AS (SELECT query_id, v, cell FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round({dot('v', 'c')}, 8) DESC, cell) AS near FROM qv, cent) WHERE near <= 8)
+      nr AS (SELECT query_id, v, cell, n, row_number() OVER (PARTITION BY query_id ORDER BY round({dot('v', 'c')}, 8) DESC, cell) AS near
+        FROM qv, cent JOIN (SELECT cell, count(*) AS n FROM cells GROUP BY cell) USING (cell)),
+      pb AS (SELECT * FROM (SELECT *, coalesce(sum(n) OVER (PARTITION BY query_id ORDER BY near ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS held FROM nr)
+        WHERE near <= 8 OR held < 20)
       SELECT * FROM (SELECT query_id, chunk_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INT) AS rank FROM (
         SELECT query_id, vec_id AS chunk_id, round({dot('embedding', 'v')}, 8) AS score FROM pb JOIN cells USING (cell))) WHERE rank <= 20"""
 

@@ -16,6 +16,7 @@ from citeloom.settings import DOCUMENT_TASK, MAX_RETRY_WAIT, RETRIEVAL_MODES, TO
 from citeloom.sources import golden as golden_source
 from citeloom.sources import store
 from citeloom.sources.documents import structured
+from citeloom.sources.scratch import staged
 from citeloom.sources.tables import read_table
 from workload import inputs
 
@@ -219,7 +220,7 @@ def vector_norms(spark, folder):
         F.round(vectors.norm(F.col("vector")), 6).alias("norm"),
         vectors.is_unit(F.col("vector")).alias("unit"),
         vectors.is_unit(F.transform("vector", lambda x: x * 2)).alias("doubled_unit"),
-        F.round(vectors.unit(F.transform("vector", lambda x: x * 3))[0].cast("double"), 5).alias("first"),
+        F.round(vectors.unit(F.transform("vector", lambda x: x * 4))[0].cast("double"), 7).alias("first"),
         F.round(vectors.similarity_of_distance(1 - vectors.dot(F.col("vector"), F.reverse("vector"))), 6).alias(
             "mirrored"
         ),
@@ -331,7 +332,8 @@ def _orderings(spark, folder, ranked: DataFrame) -> DataFrame:
 
 @query
 def rerank_apply(spark, folder):
-    ranked = _fused(spark, folder, k=20)
+    # The list is small but costs a scan of the corpus, and is used for the requests and the result.
+    ranked = staged(_fused(spark, folder, k=20), "pool")
     reranked = rerank.rerank(
         ranked, inputs.questions(spark, folder), _orderings(spark, folder, ranked), inputs.MODEL, inputs.PROMPT
     )
@@ -442,7 +444,7 @@ def golden_questions(spark, folder):
 @query
 def golden_problems(spark, folder):
     """The rules applied to a damaged golden set: anchors dropped, types swapped, ids repeated."""
-    good = inputs.golden(spark, folder)
+    good = staged(inputs.golden(spark, folder), "golden")
     damaged = (
         good.withColumn("type", F.when(F.col("cohort") == "extended", "unanswerable").otherwise(F.col("type")))
         .withColumn(
@@ -489,11 +491,11 @@ def retrieval_breakdown(spark, folder):
 
 
 def _before_after(spark, folder) -> tuple[DataFrame, DataFrame]:
-    pool = _fused(spark, folder, k=20)
+    pool = staged(_fused(spark, folder, k=20), "pool")
     reranked = rerank.rerank(
         pool, inputs.questions(spark, folder), _orderings(spark, folder, pool), inputs.MODEL, inputs.PROMPT
     )
-    golden = inputs.golden(spark, folder)
+    golden = staged(inputs.golden(spark, folder), "golden")
     before = metrics.retrieval_results(inputs.with_documents(spark, folder, pool.where(F.col("rank") <= TOP_K)), golden)
     return before, metrics.retrieval_results(inputs.with_documents(spark, folder, reranked), golden)
 
