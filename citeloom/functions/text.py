@@ -111,9 +111,9 @@ def sentences(text: Column) -> Column:
 
 
 def citation_numbers(text: Column) -> Column:
-    return F.transform(
-        F.regexp_extract_all(text, F.lit(CITATION), F.lit(1)), lambda digits: digits.cast("int")
-    )
+    """The numbers in ``[n]`` markers, in order; numbers beyond 64 bits are not markers."""
+    digits = F.regexp_extract_all(text, F.lit(CITATION), F.lit(1))
+    return F.filter(F.transform(digits, lambda d: d.try_cast("bigint")), lambda n: n.isNotNull())
 
 
 def strip_citations(text: Column, numbers: Column) -> Column:

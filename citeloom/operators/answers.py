@@ -37,7 +37,7 @@ def validate(responses: DataFrame) -> DataFrame:
         payload.truthy(value, "conflict").alias("conflict"),
         response_error(F.col("response")).alias("error"),
     )
-    inline = F.array_distinct(citation_numbers(F.col("raw_text"))).cast("array<bigint>")
+    inline = F.array_distinct(citation_numbers(F.col("raw_text")))
     checked = raw.withColumn(
         "invalid_citations",
         F.array_sort(
@@ -50,13 +50,13 @@ def validate(responses: DataFrame) -> DataFrame:
             strip_citations(F.col("raw_text"), F.col("invalid_citations"))
         ),
     )
-    every = F.concat(citation_numbers(F.col("text")).cast("array<bigint>"), F.col("declared"))
+    every = F.concat(citation_numbers(F.col("text")), F.col("declared"))
     given = F.filter(every, lambda n: (n >= 1) & (n <= F.col("passages")))
     return cleaned.select(
         "query_id",
         "text",
-        F.array_distinct(given).cast("array<int>").alias("citations"),
-        F.col("invalid_citations").cast("array<int>").alias("invalid_citations"),
+        F.array_distinct(given).alias("citations"),
+        "invalid_citations",
         "refused",
         "conflict",
         (F.size("invalid_citations") == 0).alias("grounded"),
@@ -66,7 +66,7 @@ def validate(responses: DataFrame) -> DataFrame:
 
 def resolve(answers: DataFrame, hits: DataFrame) -> DataFrame:
     """query_id, place, number, label, doc_id: each citation with the passage it points at."""
-    cited = answers.select("query_id", F.posexplode("citations").alias("place", "number"))
+    cited = answers.select("query_id", F.posexplode(F.col("citations").cast("array<int>")).alias("place", "number"))
     passages = hits.select(
         "query_id",
         F.col("rank").alias("number"),

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from citeloom.functions.text import sha256
 from citeloom.functions.vectors import unit
 from citeloom.operators.joins import join_repeated
-from citeloom.plans.providers import with_retries
+from citeloom.providers import with_retries
 from citeloom.settings import EMBED_ATTEMPTS, EMBED_BATCH, EMBEDDING_DIM
 
 EmbedBatch = Callable[[list[str], str], list[list[float]]]

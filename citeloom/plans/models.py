@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from citeloom.operators import context, embedding, rerank
 from citeloom.plans.prompts import DEFAULT_RERANK_PROMPT, RERANK_PROMPTS
-from citeloom.plans.providers import TextModel, complete
+from citeloom.providers import TextModel, complete
 from citeloom.settings import DOCUMENT_TASK, EMBED_BATCH, EMBEDDING_DIM, QUERY_TASK, TOP_K
 from citeloom.sources import caches
 from citeloom.sources.scratch import staged

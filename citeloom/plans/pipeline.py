@@ -10,7 +10,7 @@ from citeloom.operators import answers, bm25, context, fusion, metrics
 from citeloom.operators.chunking import chunk_documents
 from citeloom.plans.models import Embedder, Reranker
 from citeloom.plans.prompts import ANSWER_SYSTEM
-from citeloom.plans.providers import TextModel, complete
+from citeloom.providers import TextModel, complete
 from citeloom.settings import POOL, RETRIEVAL_MODES, RRF_CONSTANT, TOP_K
 from citeloom.sources.documents import load_documents
 from citeloom.sources.scratch import staged

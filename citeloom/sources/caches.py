@@ -10,19 +10,24 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeloom.settings import COHORTS
 from citeloom.operators import metrics
+from citeloom.settings import COHORTS
+from citeloom.sources.tables import read_stored
 
 VECTOR_SCHEMA = "key string, vector array<float>"
 ORDERING_SCHEMA = "model string, prompt string, question string, candidates array<string>, `order` array<int>"
 
 
+def _read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    try:
+        return read_stored(spark, path, schema)
+    except FileNotFoundError:
+        return spark.createDataFrame([], schema)
+
+
 def read_vectors(spark: SparkSession, path: str) -> DataFrame:
     """key, vector; an absent cache is an empty one."""
-    try:
-        return spark.read.schema(VECTOR_SCHEMA).parquet(path)
-    except AnalysisException:
-        return spark.createDataFrame([], VECTOR_SCHEMA)
+    return _read_or_empty(spark, path, VECTOR_SCHEMA)
 
 
 def append_vectors(vectors: DataFrame, path: str) -> None:
@@ -34,7 +39,9 @@ def read_orderings(spark: SparkSession, path: str) -> DataFrame:
     """Stored orderings, one JSON object per file; the file name is the key. Bad files are absent."""
     try:
         files = spark.read.schema(ORDERING_SCHEMA).json(path, multiLine=True, mode="PERMISSIVE")
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], "key string, " + ORDERING_SCHEMA)
     key = F.regexp_extract(F.col("_metadata.file_name"), r"\A(.*)\.json\z", 1)
     return files.select(key.alias("key"), "model", "prompt", "question", "candidates", "order").where(
@@ -45,14 +52,9 @@ def read_orderings(spark: SparkSession, path: str) -> DataFrame:
 def read_ordering_table(spark: SparkSession, path: str) -> DataFrame:
     """key, model, prompt, question, candidates, order; an absent cache is an empty one.
 
-    The last written of several rows with one key would be as good as any; one is kept.
+    Of several rows with one key, any is as good as another; one is kept.
     """
-    schema = "key string, " + ORDERING_SCHEMA
-    try:
-        rows = spark.read.schema(schema).parquet(path)
-    except AnalysisException:
-        return spark.createDataFrame([], schema)
-    return rows.dropDuplicates(["key"])
+    return _read_or_empty(spark, path, "key string, " + ORDERING_SCHEMA).dropDuplicates(["key"])
 
 
 def append_orderings(orderings: DataFrame, path: str) -> None:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from citeloom.operators import bm25
 from citeloom.settings import POOL
-from citeloom.sources.store import _read
+from citeloom.sources.tables import read_stored
 
 # Terms of a batch that are pushed down to the scan as a list; with more the join alone selects.
 _PUSHED_TERMS = 1000
@@ -46,9 +46,9 @@ class KeywordIndex:
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> "KeywordIndex":
-        row = _read(spark, f"{path}/stats").first()
+        row = read_stored(spark, f"{path}/stats").first()
         stats = bm25.CorpusStats(row["n"], row["avgdl"], row["mean_idf"])
-        return cls(_read(spark, f"{path}/postings"), _read(spark, f"{path}/terms"), stats)
+        return cls(read_stored(spark, f"{path}/postings"), read_stored(spark, f"{path}/terms"), stats)
 
     def search(self, questions: DataFrame, k: int = POOL, query_id: str = "query_id", text: str = "question") -> DataFrame:
         weights = bm25.question_weights(self.terms, self.stats, questions, query_id, text)

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +16,7 @@ from citeloom.functions.vectors import is_unit, norm
 from citeloom.operators import knn
 from citeloom.settings import POOL
 from citeloom.sources.scratch import staged
+from citeloom.sources.tables import read_stored
 
 CHUNK_COLUMNS = ("chunk_id", "doc_id", "doc_title", "source_path", "section", "text", "index_text", "ordinal")
 # Up to this many vectors a cell store looks into every cell, which is exact.
@@ -108,7 +108,7 @@ class TableStore:
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> "TableStore":
-        return cls(_read(spark, f"{path}/rows"))
+        return cls(read_stored(spark, f"{path}/rows"))
 
 
 class CellStore:
@@ -119,7 +119,7 @@ class CellStore:
 
     def _versions(self) -> DataFrame | None:
         try:
-            return _read(self.spark, f"{self.path}/current")
+            return read_stored(self.spark, f"{self.path}/current")
         except FileNotFoundError:
             return None
 
@@ -130,7 +130,7 @@ class CellStore:
 
     def rows(self) -> DataFrame | None:
         folder = self._current()
-        return None if folder is None else _read(self.spark, f"{folder}/rows")
+        return None if folder is None else read_stored(self.spark, f"{folder}/rows")
 
     def add(self, chunks: DataFrame, vectors: DataFrame) -> None:
         stored = self.rows()
@@ -158,7 +158,7 @@ class CellStore:
         folder = self._current()
         if folder is None:
             raise ValueError("the store is empty")
-        centroids = _read(self.spark, f"{folder}/centroids")
+        centroids = read_stored(self.spark, f"{folder}/centroids")
         cells = self.rows()
         probes = self.probes
         if cells.count() <= EXACT_BELOW:
@@ -180,14 +180,5 @@ class CellStore:
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, probes: int = 8) -> "CellStore":
-        _read(spark, f"{path}/current")
+        read_stored(spark, f"{path}/current")
         return cls(spark, path, probes)
-
-
-def _read(spark: SparkSession, path: str) -> DataFrame:
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            raise FileNotFoundError(f"no index at {path}") from error
-        raise

@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from citeloom.functions import payload, text
-from citeloom.plans import providers
+from citeloom import providers
 
 
 def column(spark, values, expression):
