@@ -3,19 +3,22 @@
 Index (``build``): one scan tokenises the chunks; document frequencies are counted from each row's
 *distinct* tokens, so they pre-aggregate in the map tasks and only (term, count) rows shuffle.
 
-Search has two exact ways with the same result:
-
-``scan``      question weights are few (checked): they go to every task, each task scores its own
-              chunks and keeps its k best per question. The corpus is never shuffled; a term that
-              occurs in every chunk costs no more than its occurrences.
-``postings``  any number of questions, or a stored postings table: posting and weight rows meet by
-              a join on the term, spread over salted copies so that a term which holds a third of
-              all postings is not one task, and are then summed per (question, chunk).
+Search has three exact ways with the same result:
+
+scan      question weights are few (checked): they go to every task, each task scores its own chunks
+          and keeps its k best per question. The corpus is never shuffled; a term that occurs in
+          every chunk costs no more than its occurrences.
+grid      more questions than may be shipped: both sides are dealt into bounded cells (chunk shard x
+          question block), each cell is scored like a task of the scan.
+postings  a stored postings table and few terms: posting and weight rows meet by a join on the term,
+          spread over salted copies so that a term which holds a third of all postings is not one
+          task, and are then summed per (question, chunk).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,10 +26,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType, IntegerType
+from pyspark.sql.types import IntegerType, StructType
 
 from citeloom.functions.text import tokenize
-from citeloom.operators.topk import BestPerQuery, id_array, merge, partial_schema, rank_within, rounded
+from citeloom.operators.topk import BestPerQuery, grid, id_array, merge, partial_schema, rank_within, rounded
 from citeloom.settings import (
     BM25_B,
     BM25_EPSILON,
@@ -34,12 +37,16 @@ from citeloom.settings import (
     MAX_SHIPPED_WEIGHTS,
     MEAN_IDF_DECIMALS,
     POOL,
+    SCORE_DECIMALS,
 )
 from citeloom.sources.scratch import staged
 
 # Scores of one block of rows are summed in one array of this many (row, question) cells at most.
 _BLOCK_CELLS = 2_000_000
 _BLOCK_CONTRIBUTIONS = 4_000_000
+# Tokens in one shard of the grid.
+_SHARD_TOKENS = 5_000_000
+_GRID_BATCH = 10_000
 
 
 @dataclass(frozen=True)
@@ -165,11 +172,14 @@ def search(
     weights = question_weights(index.terms, index.stats, questions, query_id, text)
     # Never more rows than the bound reach the driver.
     few = weights.limit(max_weights + 1).toArrow()
-    if few.num_rows > max_weights:
-        return search_postings(postings(index.chunks), index.stats, weights, k)
     if not few.num_rows:
         return _nothing(index, questions, query_id)
-    return _scan(index, few, questions.schema[query_id].dataType, k)
+    schema = partial_schema(questions.schema[query_id].dataType, index.chunks.schema["chunk_id"].dataType)
+    if few.num_rows > max_weights:
+        partial = _grid(index, weights, schema, k, max_weights)
+    else:
+        partial = _scan(index, few, schema, k)
+    return merge(partial, index.chunks, k)
 
 
 def search_postings(
@@ -199,52 +209,84 @@ def _nothing(index: Bm25Index, questions: DataFrame, query_id: str) -> DataFrame
     return index.chunks.sparkSession.createDataFrame([], schema.add("rank", IntegerType()))
 
 
-def _scan(index: Bm25Index, weights: pa.Table, query_type: DataType, k: int) -> DataFrame:
+@dataclass(frozen=True)
+class _Weights:
+    """Question weights laid out by term: the questions of term t are ``start[t]:start[t + 1]``."""
+
+    vocabulary: pa.Array
+    query_ids: pa.Array
+    query_of: np.ndarray
+    start: np.ndarray
+    weight: np.ndarray
+
+    @classmethod
+    def of(cls, rows: pa.Table) -> "_Weights":
+        rows = rows.sort_by([("term", "ascending"), ("query_id", "ascending")]).combine_chunks()
+        vocabulary = pc.unique(rows["term"].combine_chunks())
+        query_ids = pc.unique(rows["query_id"].combine_chunks())
+        by_term = pc.index_in(rows["term"], value_set=vocabulary).to_numpy()
+        query_of = pc.index_in(rows["query_id"], value_set=query_ids).to_numpy().astype(np.int64)
+        start = np.searchsorted(by_term, np.arange(len(vocabulary) + 1))
+        return cls(vocabulary, query_ids, query_of, start, rows["weight"].to_numpy())
+
+
+def _best_of(batches: Iterable[pa.RecordBatch], w: _Weights, avgdl: float, k: int) -> Iterator[pa.RecordBatch]:
+    """Score batches of (chunk_id, dl, tokens) sparsely and give the k best per question."""
+    queries, terms = len(w.query_ids), len(w.vocabulary)
+    best = BestPerQuery(queries, k, floor=0.5 * 10.0**-SCORE_DECIMALS)
+    id_type = None
+    for batch in batches:
+        id_type = batch.schema.field("chunk_id").type
+        ids = id_array(batch.column("chunk_id"))
+        dl = batch.column("dl").to_numpy(zero_copy_only=False).astype(np.float64)
+        tokens = batch.column("tokens")
+        term = pc.index_in(tokens.flatten(), value_set=w.vocabulary)
+        hit = term.is_valid().to_numpy(zero_copy_only=False)
+        row = pc.list_parent_indices(tokens).to_numpy(zero_copy_only=False)[hit].astype(np.int64)
+        key, tf = np.unique(row * terms + term.drop_null().to_numpy(zero_copy_only=False), return_counts=True)
+        row, term = key // terms, key % terms
+        part = tf * (BM25_K1 + 1) / (tf + BM25_K1 * (1 - BM25_B + BM25_B * dl[row] / avgdl))
+        fan = w.start[term + 1] - w.start[term]
+        for low, high in _blocks(row, fan, len(ids), queries):
+            first, last = np.searchsorted(row, (low, high))
+            n = fan[first:last]
+            at = np.repeat(w.start[term[first:last]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            cell = np.repeat(row[first:last] - low, n) * queries + w.query_of[at]
+            gain = np.repeat(part[first:last], n) * w.weight[at]
+            score = np.bincount(cell, weights=gain, minlength=(high - low) * queries)
+            best.offer(score.reshape(high - low, queries), ids[low:high])
+    if id_type is not None:
+        yield from best.batch(w.query_ids, id_type)
+
+
+def _scan(index: Bm25Index, weights: pa.Table, schema: StructType, k: int) -> DataFrame:
     """Score chunks where they lie. ``weights``: query_id, term, weight (size checked)."""
-    chunks, avgdl = index.chunks, index.stats.avgdl
-    weights = weights.sort_by([("term", "ascending"), ("query_id", "ascending")]).combine_chunks()
-    vocabulary = pc.unique(weights["term"].combine_chunks())
-    query_ids = pc.unique(weights["query_id"].combine_chunks())
-    by_term = pc.index_in(weights["term"], value_set=vocabulary).to_numpy()
-    query_of = pc.index_in(weights["query_id"], value_set=query_ids).to_numpy().astype(np.int64)
-    start = np.searchsorted(by_term, np.arange(len(vocabulary) + 1))
-    weight = weights["weight"].to_numpy()
-    schema = partial_schema(query_type, chunks.schema["chunk_id"].dataType)
-    shipped = chunks.sparkSession.sparkContext.broadcast(
-        (vocabulary, query_ids, query_of, start, weight)
-    )
+    avgdl = index.stats.avgdl
+    shipped = index.chunks.sparkSession.sparkContext.broadcast(_Weights.of(weights))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, query_ids, query_of, start, weight = shipped.value
-        queries, terms = len(query_ids), len(vocabulary)
-        best = BestPerQuery(queries, k, floor=10.0 ** -9)
-        id_type = None
-        for batch in batches:
-            id_type = batch.schema.field("chunk_id").type
-            ids = id_array(batch.column("chunk_id"))
-            dl = batch.column("dl").to_numpy(zero_copy_only=False).astype(np.float64)
-            tokens = batch.column("tokens")
-            term = pc.index_in(tokens.flatten(), value_set=vocabulary)
-            hit = term.is_valid().to_numpy(zero_copy_only=False)
-            row = pc.list_parent_indices(tokens).to_numpy(zero_copy_only=False)[hit].astype(np.int64)
-            key = row * terms + term.drop_null().to_numpy(zero_copy_only=False)
-            key, tf = np.unique(key, return_counts=True)
-            row, term = key // terms, key % terms
-            part = tf * (BM25_K1 + 1) / (tf + BM25_K1 * (1 - BM25_B + BM25_B * dl[row] / avgdl))
-            fan = start[term + 1] - start[term]
-            for low, high in _blocks(row, fan, len(ids), queries):
-                first, last = np.searchsorted(row, (low, high))
-                n = fan[first:last]
-                at = np.repeat(start[term[first:last]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                cell = np.repeat(row[first:last] - low, n) * queries + query_of[at]
-                score = np.bincount(
-                    cell, weights=np.repeat(part[first:last], n) * weight[at], minlength=(high - low) * queries
-                )
-                best.offer(score.reshape(high - low, queries), ids[low:high])
-        if id_type is not None:
-            yield from best.batch(query_ids, id_type)
-
-    return merge(chunks.mapInArrow(run, schema), chunks, k)
+        yield from _best_of(batches, shipped.value, avgdl, k)
+
+    return index.chunks.mapInArrow(run, schema)
+
+
+def _grid(index: Bm25Index, weights: DataFrame, schema: StructType, k: int, max_weights: int) -> DataFrame:
+    """Bounded cells of (chunk shard, question block); a cell gives its k best per question."""
+    avgdl = index.stats.avgdl
+    shards = max(1, math.ceil(index.stats.n * avgdl / _SHARD_TOKENS))
+    blocks = max(1, math.ceil(2 * weights.count() / max(1, max_weights)))
+
+    # Tokens travel as one string: an array row takes several times the space in a shuffle.
+    packed = index.chunks.withColumn("tokens", F.array_join("tokens", " "))
+
+    def best(chunks: pa.Table, rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        split = (
+            batch.set_column(batch.schema.get_field_index("tokens"), "tokens", pc.split_pattern(batch["tokens"], " "))
+            for batch in chunks.to_batches(_GRID_BATCH)
+        )
+        return _best_of(split, _Weights.of(rows), avgdl, k)
+
+    return grid(packed, weights, shards, blocks, best, schema)
 
 
 def _blocks(row: np.ndarray, fan: np.ndarray, rows: int, queries: int) -> Iterator[tuple[int, int]]:

@@ -15,15 +15,15 @@ Vectors have unit length, so the dot product is the cosine. Three plans:
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from citeloom.operators.topk import BestPerQuery, id_array, merge, partial_schema
+from citeloom.operators.topk import BestPerQuery, grid, id_array, merge, partial_schema
 from citeloom.settings import MAX_CENTROIDS, MAX_SHIPPED_QUERY_CELLS, POOL, SCORE_DECIMALS
 
 _BLOCK_ROWS = 2048
@@ -82,21 +82,27 @@ def _scan_kernel(vectors: DataFrame, questions: pa.Table, k: int):
     shipped = vectors.sparkSession.sparkContext.broadcast((query_ids, weights))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        query_ids, weights = shipped.value
-        best = BestPerQuery(len(query_ids), k, floor=-np.inf)
-        id_type = None
-        for batch in batches:
-            id_type = batch.schema.field("chunk_id").type
-            rows = matrix(batch.column("vector"), weights.shape[0])
-            ids = id_array(batch.column("chunk_id"))
-            for low in range(0, len(ids), _BLOCK_ROWS):
-                best.offer(rows[low : low + _BLOCK_ROWS] @ weights, ids[low : low + _BLOCK_ROWS])
-        if id_type is not None:
-            yield from best.batch(query_ids, id_type)
+        yield from _best_of(batches, *shipped.value, k)
 
     return run
 
 
+def _best_of(
+    batches: Iterable[pa.RecordBatch], query_ids: pa.Array, weights: np.ndarray, k: int
+) -> Iterator[pa.RecordBatch]:
+    """Multiply batches of (chunk_id, vector) with dim x questions and give the k best per question."""
+    best = BestPerQuery(len(query_ids), k, floor=-np.inf)
+    id_type = None
+    for batch in batches:
+        id_type = batch.schema.field("chunk_id").type
+        rows = matrix(batch.column("vector"), weights.shape[0])
+        ids = id_array(batch.column("chunk_id"))
+        for low in range(0, len(ids), _BLOCK_ROWS):
+            best.offer(rows[low : low + _BLOCK_ROWS] @ weights, ids[low : low + _BLOCK_ROWS])
+    if id_type is not None:
+        yield from best.batch(query_ids, id_type)
+
+
 def _grid(
     vectors: DataFrame,
     questions: DataFrame,
@@ -118,32 +124,12 @@ def _grid(
     per_block = max(1, max_cells // max(1, most["dim"] or 1))
     blocks = max(1, math.ceil(asked / per_block))
 
-    def every(count: int) -> Column:
-        return F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(count - 1).cast("bigint")))
-
-    left = vectors.withColumn("shard", F.pmod(F.xxhash64("chunk_id"), F.lit(shards))).withColumn("block", every(blocks))
-    right = questions.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).withColumn("shard", every(shards))
-    keys = [*within, "shard", "block"]
-
-    def cell(stored: pa.Table, asked: pa.Table) -> pa.Table:
-        types = {
-            "query_id": asked.schema.field("query_id").type,
-            "chunk_id": stored.schema.field("chunk_id").type,
-            "score": pa.float64(),
-        }
-        empty = pa.table({name: pa.array([], type=t) for name, t in types.items()})
-        if not stored.num_rows or not asked.num_rows:
-            return empty
+    def best(stored: pa.Table, asked: pa.Table) -> Iterator[pa.RecordBatch]:
         query_ids = asked["query_id"].combine_chunks()
         weights = matrix(asked["vector"].combine_chunks()).T
-        best = BestPerQuery(len(query_ids), k, floor=-np.inf)
-        for batch in stored.to_batches(max_chunksize=_BLOCK_ROWS):
-            ids = id_array(batch.column("chunk_id"))
-            best.offer(matrix(batch.column("vector"), weights.shape[0]) @ weights, ids)
-        found = list(best.batch(query_ids, types["chunk_id"]))
-        return pa.Table.from_batches(found) if found else empty
+        return _best_of(stored.to_batches(_BLOCK_ROWS), query_ids, weights, k)
 
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(cell, schema)
+    return grid(vectors, questions, shards, blocks, best, schema, within)
 
 
 # --- approximate index -------------------------------------------------------------------------

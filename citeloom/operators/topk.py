@@ -10,7 +10,7 @@ Order everywhere: score descending, then id ascending; scores are compared after
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +45,38 @@ def merge(partial: DataFrame, source: DataFrame, k: int, wide_input: int = WIDE_
     return rank_within(partial, "query_id", "score", "chunk_id", k)
 
 
+def grid(
+    stored: DataFrame,
+    asked: DataFrame,
+    shards: int,
+    blocks: int,
+    best: Callable[[pa.Table, pa.Table], Iterator[pa.RecordBatch]],
+    schema: T.StructType,
+    within: tuple[str, ...] = (),
+) -> DataFrame:
+    """Both sides too large to ship: deal them into cells of (stored shard, question block).
+
+    ``best`` gives the k best per question of one cell. ``within`` names columns that must be equal
+    on both sides. With enough shards and blocks every cell is bounded, however skewed the columns.
+    """
+
+    def every(count: int) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(count - 1).cast("bigint")))
+
+    left = stored.withColumn("shard", F.pmod(F.xxhash64("chunk_id"), F.lit(shards))).withColumn("block", every(blocks))
+    right = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).withColumn("shard", every(shards))
+
+    def cell(chunks: pa.Table, questions: pa.Table) -> pa.Table:
+        types = [questions.schema.field("query_id").type, chunks.schema.field("chunk_id").type, pa.float64()]
+        into = pa.schema(list(zip(schema.fieldNames(), types)))
+        if not chunks.num_rows or not questions.num_rows:
+            return into.empty_table()
+        return pa.Table.from_batches(best(chunks, questions), into)
+
+    keys = [*within, "shard", "block"]
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(cell, schema)
+
+
 def rounded(score: Column) -> Column:
     return F.round(score, SCORE_DECIMALS)
 

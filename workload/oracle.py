@@ -521,6 +521,7 @@ def oracle_sql() -> dict[str, str]:
     q["bm25_terms"] = f"WITH {bm25(DOCS)} SELECT term, df, round(idf, 8) AS idf FROM idf"
     q["bm25_topk"] = f"WITH {bm25(DOCS)} SELECT * FROM hits"
     q["bm25_postings"] = q["bm25_topk"]
+    q["bm25_grid"] = q["bm25_topk"]
     q["bm25_chunks"] = f"WITH {bm25(f'SELECT chunk_id, index_text AS text FROM ({chunks(PLAIN)})')} SELECT * FROM hits"
 
     q["vector_norms"] = f"""SELECT vec_id AS chunk_id, round(n, 6) AS norm, abs(n - 1) <= 1e-3 + 1e-5 AS unit, abs(2 * n - 1) <= 1e-3 + 1e-5 AS doubled_unit,
