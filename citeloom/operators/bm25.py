@@ -111,9 +111,17 @@ def corpus_stats(counted: DataFrame) -> CorpusStats:
     return CorpusStats(n, int(totals["tokens"]) / n, float(histogram.agg(mean).first()[0] or 0.0))
 
 
-def build(chunks: DataFrame, chunk_id: str = "chunk_id", text: str = "index_text") -> Bm25Index:
-    """One pass over the chunks; the vocabulary table is written, so later steps do not repeat it."""
+def build(
+    chunks: DataFrame, chunk_id: str = "chunk_id", text: str = "index_text", keep_tokens: bool = False
+) -> Bm25Index:
+    """One pass over the chunks; the vocabulary table is written, so later steps do not repeat it.
+
+    With ``keep_tokens`` the tokens are written as well: worth the space where the chunks are costly
+    to compute or the index is searched more than once.
+    """
     tokens = tokenized(chunks, chunk_id, text)
+    if keep_tokens:
+        tokens = staged(tokens, "tokens")
     counted = staged(count_terms(tokens), "terms")
     stats = corpus_stats(counted)
     return Bm25Index(tokens, counted.where(F.col("term").isNotNull()).select("term", "df"), stats)

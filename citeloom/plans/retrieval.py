@@ -118,7 +118,7 @@ def build_retriever(
     vectors = embedder.documents(chunks)
     target = TableStore() if store == "table" else CellStore(spark, store_path)
     target.add(chunks, vectors)
-    return Retriever(target, bm25.build(chunks), embedder, top_k=top_k, reranker=reranker)
+    return Retriever(target, bm25.build(chunks, keep_tokens=True), embedder, top_k=top_k, reranker=reranker)
 
 
 def evaluate_retrieval(retriever: Retriever, questions: DataFrame, k: int, mode: str = "hybrid") -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from citeloom.plans.pipeline import Retriever
+from citeloom.plans.retrieval import Retriever
 from citeloom.sources.scratch import staged
 
 

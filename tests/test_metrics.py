@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from citeloom.operators import metrics
 from citeloom.sources import caches
-from citeloom.sources.golden import SCHEMA, load_golden_set, validated
+from citeloom.sources.golden import SCHEMA, examples, load_golden_set, validated
 
 HITS = "query_id string, rank int, doc_id string, text string"
 
@@ -129,6 +129,12 @@ def test_golden_sets_are_read_from_yaml(spark, tmp_path):
         load_golden_set(spark, str(tmp_path / "absent.yaml"))
 
 
+def test_examples_keep_their_order(spark):
+    asked = spark.createDataFrame([question("1"), question("2"), question("3")], SCHEMA)
+    got = examples(asked, {"3": "last first", "x": "absent", "1": "then this"}).orderBy("place").collect()
+    assert [(r["label"], r["question"]) for r in got] == [("last first", "3?"), ("then this", "1?")]
+
+
 def test_results_files(spark, tmp_path):
     asked = spark.createDataFrame([question("1"), question("u", "unanswerable", [], [])], SCHEMA)
     rows = metrics.retrieval_results(spark.createDataFrame([("1", 1, "a", "x")], HITS), asked).withColumn("mode", F.lit("hybrid"))

@@ -4,9 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from citeloom.operators import embedding
+from citeloom.operators import embedding, fusion
 from citeloom.operators.joins import join_repeated
-from citeloom.plans import cli, pipeline, reports
+from citeloom.plans import cli, reports, retrieval
 from citeloom.plans.models import Embedder, EmbeddingCacheMiss, Reranker, RerankCacheMiss
 from citeloom.plans.prompts import RERANK_PROMPTS
 from citeloom.sources import store
@@ -44,7 +44,7 @@ def embedder(spark, folder):
 
 def test_end_to_end(spark, folder, embedder):
     questions = load_golden_set(spark, str(folder / "golden.yaml"))
-    retriever = pipeline.build_retriever(spark, str(folder / "docs"), embedder)
+    retriever = retrieval.build_retriever(spark, str(folder / "docs"), embedder)
     hits = retriever.retrieve(questions, 3)
     top = {r["query_id"]: r["chunk_id"] for r in hits.where("keyword_rank = 1").collect()}
     assert top["q1"].startswith("terms::") and hits.groupBy("query_id").count().agg(F.max("count")).first()[0] == 3
@@ -54,19 +54,23 @@ def test_end_to_end(spark, folder, embedder):
     with pytest.raises(ValueError, match="unknown retrieval mode"):
         retriever.retrieve(questions, 3, "psychic")
 
-    results = pipeline.evaluate_modes(retriever, questions, 3)
-    alone = {r["query_id"]: r["recall"] for r in pipeline.evaluate_retrieval(retriever, questions, 3, "keyword").collect()}
+    table = reports.evidence_markdown(fusion.evidence_rows(hits.where("query_id = 'q1'"))).splitlines()
+    assert table[0].startswith("| # | document | section |") and len(table) == 5
+    assert reports.evidence_markdown(fusion.evidence_rows(hits.limit(0))) == "_No chunks were retrieved._"
+
+    results = retrieval.evaluate_modes(retriever, questions, 3)
+    alone = {r["query_id"]: r["recall"] for r in retrieval.evaluate_retrieval(retriever, questions, 3, "keyword").collect()}
     assert {r["query_id"]: r["recall"] for r in results.where("mode = 'keyword'").collect()} == alone
     assert "BY TYPE (mode=hybrid)" in reports.retrieval_report(results, 3)
 
-    answerer = pipeline.Answerer(retriever, "g", stub_complete)
-    scored = {r["query_id"]: r for r in pipeline.evaluate_answers(answerer, questions, 3).collect()}
+    answerer = retrieval.Answerer(retriever, "g", stub_complete)
+    scored = {r["query_id"]: r for r in retrieval.evaluate_answers(answerer, questions, 3).collect()}
     assert scored["q1"]["facts_found"] == 1 and scored["q1"]["invalid_citations"] == [9]
     assert scored["q3"]["refused"] and scored["q3"]["refusal_correct"]
     with pytest.raises(ValueError, match="empty"):
         answerer.answer(spark.createDataFrame([("e", "  ")], "query_id string, question string"))
-    with pytest.raises(pipeline.AnswerError):
-        pipeline.Answerer(retriever, "g", lambda system, prompt: "oops").answer(questions)
+    with pytest.raises(retrieval.AnswerError):
+        retrieval.Answerer(retriever, "g", lambda system, prompt: "oops").answer(questions)
 
 
 def test_vectors_are_cached_by_model_task_and_text(spark, folder, embedder):
@@ -94,7 +98,7 @@ def test_a_model_that_returns_too_few_or_zero_vectors(spark):
 
 def test_reranking_fills_and_reuses_its_cache(spark, folder, embedder):
     questions = load_golden_set(spark, str(folder / "golden.yaml"))
-    retriever = pipeline.build_retriever(spark, str(folder / "docs"), embedder)
+    retriever = retrieval.build_retriever(spark, str(folder / "docs"), embedder)
     plain = retriever.retrieve(questions, 20).where("query_id = 'q1'").orderBy("rank").collect()
     retriever.reranker = Reranker(spark, "r", str(folder / "orders"), stub_complete)
     first = retriever.retrieve(questions, 2).where("query_id = 'q1'").orderBy("rank").collect()
@@ -166,7 +170,7 @@ def test_the_two_stores_agree_and_a_cell_store_is_bound_to_its_folder(spark, tmp
     with pytest.raises(ValueError, match="bound to"):
         cells.persist(str(tmp_path / "elsewhere"))
     with pytest.raises(ValueError, match="unknown store"):
-        pipeline.build_retriever(spark, "x", None, store="shelf")
+        retrieval.build_retriever(spark, "x", None, store="shelf")
 
 
 def test_repeated_keys_are_spread_without_changing_the_result(spark):
@@ -197,7 +201,7 @@ def test_command_line(spark, folder, capsys):
 
 
 def test_a_stream_of_questions_gets_the_batch_lists(spark, folder, embedder):
-    retriever = pipeline.build_retriever(spark, str(folder / "docs"), embedder)
+    retriever = retrieval.build_retriever(spark, str(folder / "docs"), embedder)
     questions = load_golden_set(spark, str(folder / "golden.yaml")).select("query_id", "question")
     questions.repartition(3).write.parquet(str(folder / "incoming"))
     stream = spark.readStream.schema(questions.schema).option("maxFilesPerTrigger", 1).parquet(str(folder / "incoming"))

@@ -213,7 +213,7 @@ def bm25_grid(spark, folder):
 @query
 def bm25_chunks(spark, folder):
     """Chunk, index and search in one go."""
-    index = bm25.build(inputs.plain_chunks(spark, folder).select("chunk_id", "index_text"))
+    index = bm25.build(inputs.plain_chunks(spark, folder).select("chunk_id", "index_text"), keep_tokens=True)
     return bm25.search(index, inputs.questions(spark, folder), 20)
 
 
