@@ -258,7 +258,7 @@ def vector_neighbours_grid(spark, folder):
 def ann_topk(spark, folder):
     stored = inputs.vectors(spark, folder)
     centroids = knn.pick_centroids(stored)
-    cells = knn.assign_cells(stored, centroids)
+    cells = staged(knn.assign_cells(stored, centroids), "cells")
     return knn.cell_topk(cells, centroids, inputs.question_vectors(spark, folder), 20, probes=8)
 
 
@@ -267,7 +267,7 @@ def ann_topk_grid(spark, folder):
     """The same lists by way of the grid."""
     stored = inputs.vectors(spark, folder)
     centroids = knn.pick_centroids(stored)
-    cells = knn.assign_cells(stored, centroids)
+    cells = staged(knn.assign_cells(stored, centroids), "cells")
     asked = inputs.question_vectors(spark, folder)
     return knn.cell_topk(cells, centroids, asked, 20, probes=8, max_cells=1_000, shard_rows=10)
 
