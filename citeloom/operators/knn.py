@@ -148,13 +148,15 @@ def pick_centroids(vectors: DataFrame, count: int | None = None) -> DataFrame:
 
 
 def assign_cells(vectors: DataFrame, centroids: DataFrame) -> DataFrame:
-    """chunk_id, vector, cell: the nearest centroid (ties to the smaller cell)."""
+    """The rows with ``cell``, the number of the nearest centroid (ties to the smaller cell).
+
+    Other columns pass through, so a store needs no join to attach the cells.
+    """
     table = centroids.orderBy("cell").toArrow().combine_chunks()
     numbers = table["cell"].combine_chunks()
     weights = matrix(table["vector"].combine_chunks()).T.copy()
     shipped = vectors.sparkSession.sparkContext.broadcast((numbers, weights))
-    source = vectors.select("chunk_id", "vector")
-    schema = T.StructType([*source.schema.fields, T.StructField("cell", T.IntegerType())])
+    schema = T.StructType([*vectors.schema.fields, T.StructField("cell", T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers, weights = shipped.value
@@ -162,10 +164,10 @@ def assign_cells(vectors: DataFrame, centroids: DataFrame) -> DataFrame:
             likeness = matrix(batch.column("vector"), weights.shape[0]) @ weights
             near = np.round(likeness, SCORE_DECIMALS).argmax(axis=1)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, numbers.take(pa.array(near))], names=["chunk_id", "vector", "cell"]
+                [*batch.columns, numbers.take(pa.array(near))], names=[*batch.schema.names, "cell"]
             )
 
-    return source.mapInArrow(run, schema)
+    return vectors.mapInArrow(run, schema)
 
 
 def probed_cells(cells: DataFrame, centroids: DataFrame, questions: DataFrame, k: int, probes: int) -> DataFrame:

@@ -62,6 +62,14 @@ def paired(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
     return chunks.join(vectors.select("chunk_id", F.col("vector").cast("array<float>").alias("vector")), "chunk_id")
 
 
+def _check_dimension(stored: DataFrame | None, added: DataFrame) -> None:
+    """Both tables have one dimension each, so one row of each decides."""
+    old = None if stored is None else stored.select(F.size("vector")).first()
+    new = added.select(F.size("vector")).first()
+    if old is not None and old[0] != new[0]:
+        raise ValueError(f"vector dimension {new[0]} does not match the stored dimension {old[0]}")
+
+
 def upserted(stored: DataFrame | None, added: DataFrame, key: str = "chunk_id") -> DataFrame:
     """Stored rows whose key is not added, and the added rows."""
     if stored is None:
@@ -84,11 +92,7 @@ class TableStore:
 
     def add(self, chunks: DataFrame, vectors: DataFrame) -> None:
         added = staged(paired(chunks, vectors), "added")
-        if self.rows is not None and not self.rows.isEmpty():
-            have = self.rows.select(F.size("vector")).first()[0]
-            new = added.select(F.size("vector")).first()[0]
-            if have != new:
-                raise ValueError(f"vector dimension {new} does not match the stored dimension {have}")
+        _check_dimension(self.rows, added)
         self.rows = staged(upserted(self.rows, added), "store")
 
     def search(self, questions: DataFrame, k: int = POOL) -> DataFrame:
@@ -136,16 +140,16 @@ class CellStore:
         stored = self.rows()
         kept = None if stored is None else stored.drop("cell")
         added = staged(paired(chunks, vectors), "added")
+        _check_dimension(kept, added)
         rows = staged(upserted(kept, added), "cells")
         centroids = staged(knn.pick_centroids(rows.select("chunk_id", "vector")), "centroids")
-        cells = knn.assign_cells(rows, centroids).select("chunk_id", "cell")
         # A new folder per version, named last: a lost job leaves the former version in use.
         known = self._versions()
         version = 1 if known is None else known.agg(F.max("version")).first()[0] + 1
         folder = f"v{version}-{uuid.uuid4().hex}"
         salt = F.pmod(F.xxhash64("chunk_id"), F.lit(_WRITE_SALTS))
         (
-            rows.join(cells, "chunk_id")
+            knn.assign_cells(rows, centroids)
             .repartition("cell", salt)
             .write.partitionBy("cell")
             .parquet(f"{self.path}/{folder}/rows")

@@ -167,6 +167,8 @@ def test_the_two_stores_agree_and_a_cell_store_is_bound_to_its_folder(spark, tmp
         target.add(*chunk_rows(spark, 60))
     asked = chunk_rows(spark, 5, seed=4)[1].withColumnRenamed("chunk_id", "query_id")
     assert sorted(map(str, table.search(asked, 10).collect())) == sorted(map(str, cells.search(asked, 10).collect()))
+    with pytest.raises(ValueError, match="does not match"):
+        cells.add(*chunk_rows(spark, 2, dim=4))
     with pytest.raises(ValueError, match="bound to"):
         cells.persist(str(tmp_path / "elsewhere"))
     with pytest.raises(ValueError, match="unknown store"):
