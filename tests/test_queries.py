@@ -6,6 +6,8 @@ import duckdb
 import pytest
 
 import __spark_entry__
+from workload.oracle import oracle_sql
+from workload.queries import REGISTRY
 
 FOLDER = os.environ.get("CHECK_SF_DIR", "/root/testdata/sf0.001")
 TABLES = (
@@ -24,10 +26,11 @@ def duck():
 
 
 def test_every_query_has_sql():
-    assert set(__spark_entry__.queries()) == set(__spark_entry__.oracle_sql())
+    assert set(REGISTRY) == set(oracle_sql())
+    assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
-@pytest.mark.parametrize("name", sorted(__spark_entry__.queries()))
+@pytest.mark.parametrize("name", sorted(REGISTRY))
 def test_query(spark, duck, name):
     got = __spark_entry__.queries()[name](spark, FOLDER).toArrow()
     want = duck.sql(__spark_entry__.oracle_sql()[name])
