@@ -42,8 +42,8 @@ def checkpointed(frame: DataFrame) -> DataFrame:
     return frame.checkpoint()
 
 
-def running_sum(frame: DataFrame, order: list[Column], value: str, name: str) -> DataFrame:
-    """Add ``name``: the sum of ``value`` over the rows before this one in the given order.
+def running_sum(frame: DataFrame, order: list[Column], sums: dict[str, str]) -> DataFrame:
+    """Add each ``name: value`` of ``sums``: the sum of ``value`` over the rows before this one in the given order.
 
     The rows are range-sorted into partitions, each partition is summed, and the sums of the earlier
     partitions (one row per partition) are added to a running sum inside the partition. No task sees
@@ -51,13 +51,14 @@ def running_sum(frame: DataFrame, order: list[Column], value: str, name: str) ->
     """
     n = partitions(frame.sparkSession)
     ranged = staged(frame.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()), "ranged")
-    parts = ranged.groupBy("_part").agg(F.sum(value).alias("_sum"))
+    parts = ranged.groupBy("_part").agg(*[F.sum(v).alias(name) for name, v in sums.items()])
     earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = parts.select("_part", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_offset"))
+    offsets = parts.select("_part", *[F.coalesce(F.sum(name).over(earlier), F.lit(0)).alias(f"_{name}") for name in sums])
     inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    summed = ranged.withColumn(name, F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    summed = ranged.withColumns({name: F.coalesce(F.sum(v).over(inside), F.lit(0)) for name, v in sums.items()})
     # One row per partition of the exchange above: bounded by the session's setting.
-    return summed.join(F.broadcast(offsets), "_part").withColumn(name, F.col(name) + F.col("_offset")).drop("_part", "_offset")
+    placed = summed.join(F.broadcast(offsets), "_part").withColumns({name: F.col(name) + F.col(f"_{name}") for name in sums})
+    return placed.drop("_part", *[f"_{name}" for name in sums])
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

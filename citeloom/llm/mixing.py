@@ -76,7 +76,7 @@ def mix(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     begins = Window.orderBy(F.col("source").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
     sources = sources.withColumn("begins", F.coalesce(F.sum("source_size").over(begins), F.lit(0)))
     order = [F.col("source").asc_nulls_first(), F.col("key"), F.col("doc_id"), F.col("size")]
-    placed = running_sum(sized, order, "size", "before").withColumnRenamed("source", "own")
+    placed = running_sum(sized, order, {"before": "size"}).withColumnRenamed("source", "own")
     joined = placed.join(sources, F.col("own").eqNullSafe(F.col("source")), "left")
     budget = F.floor("target")
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0)

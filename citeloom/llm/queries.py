@@ -10,12 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citeloom.deploy import ship
-from citeloom.llm import mixing, pieces, simhash
+from citeloom.llm import crosspolytope, licenses, mixing, multiset, pieces, quality, simhash, substring, token_lengths, toxicity
 from citeloom.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
-ORACLE: dict[str, str] = {"op1_mix_sources": mixing.SQL}
+ORACLE: dict[str, str] = {"op1_mix_sources": mixing.SQL, "op10_substring_dedup": substring.SQL}
+MODEL = "piece_bpe_32k.model"
 
 
 def query(function: Query) -> Query:
@@ -39,9 +40,39 @@ def op2_simhash_dedup(spark, folder):
     return simhash.near_duplicates(read_table(spark, folder, "documents"))
 
 
+@query
+def op3_license_scan(spark, folder):
+    return licenses.scan(read_table(spark, folder, "documents"))
+
+
+@query
+def op4_token_lengths(spark, folder):
+    vocabulary = pieces.broadcast_model(spark, public_tokenizers.path(MODEL))
+    return token_lengths.suffix_sums(token_lengths.histogram(read_table(spark, folder, "documents"), vocabulary))
+
+
+@query
+def op5_document_fingerprints(spark, folder):
+    return multiset.edited(read_table(spark, folder, "documents")).select(
+        "doc_id",
+        "n_chars",
+        F.sha2("edited_text", 256).alias("edited_sha256"),
+        "fingerprint",
+        "edited_fingerprint",
+        "near_edited",
+        "near_next",
+    )
+
+
+@query
+def op6_nearest_neighbours(spark, folder):
+    vectors = read_table(spark, folder, "embeddings").withColumnRenamed("embedding", "vector")
+    return crosspolytope.nearest(vectors, F.col("vec_id") % 100 == 0, k=10)
+
+
 @query
 def op7_sentencepiece(spark, folder):
-    vocabulary = pieces.broadcast_model(spark, public_tokenizers.path("piece_bpe_32k.model"))
+    vocabulary = pieces.broadcast_model(spark, public_tokenizers.path(MODEL))
     encoded = pieces.round_trip(read_table(spark, folder, "documents"), vocabulary, "text", "doc_id")
     return encoded.select(
         "doc_id",
@@ -49,3 +80,21 @@ def op7_sentencepiece(spark, folder):
         F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query
+def op8_quality(spark, folder):
+    return quality.classify(read_table(spark, folder, "documents"), read_table(spark, folder, "labels"))
+
+
+@query
+def op9_toxicity(spark, folder):
+    return toxicity.classify(read_table(spark, folder, "documents"), read_table(spark, folder, "labels"))
+
+
+@query
+def op10_substring_dedup(spark, folder):
+    left = substring.without_repeats(read_table(spark, folder, "documents").select("doc_id", "text"))
+    return left.select(
+        "doc_id", F.col("_words").alias("n_words"), F.col("_removed").alias("n_removed"), F.sha2("_kept", 256).alias("kept_sha256")
+    )
