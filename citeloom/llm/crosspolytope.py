@@ -19,6 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from citeloom.llm.frames import with_columns
 from citeloom.sources.scratch import staged
 
 #: Rows and questions that one block compares at most, about.
@@ -88,8 +89,7 @@ def hashed(vectors: DataFrame, settings: Settings) -> DataFrame:
                 probes = pa.array([a.reshape(-1) if q else None for a, q in zip(axes, asks)], pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([*part.columns, buckets, probes], names=[*part.schema.names, "buckets", "probes"])
 
-    kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in vectors.schema)
-    return vectors.mapInArrow(run, f"{kept}, buckets array<int>, probes array<int>")
+    return vectors.mapInArrow(run, with_columns(vectors.schema, "", "buckets array<int>, probes array<int>"))
 
 
 def _nearest(questions: pa.Table, rows: pa.Table, k: int) -> pa.Table:

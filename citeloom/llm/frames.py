@@ -9,6 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from citeloom.sources.scratch import shared_folder, staged
 
@@ -19,6 +20,11 @@ GAP = r"[\x20\x09-\x0D]+"
 SLICE_BYTES = 1 << 20
 
 
+def with_columns(schema: StructType, drop: str, added: str) -> StructType:
+    """The schema without one column, and the columns of a DDL string after it."""
+    return StructType([f for f in schema.fields if f.name != drop] + StructType.fromDDL(added).fields)
+
+
 def word_count(text: Column) -> Column:
     """Number of words; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -100,14 +100,15 @@ def mixed(docs: DataFrame) -> DataFrame:
     of which nothing is taken go; so do those without words. ``n_chars`` follows the text.
     """
     numbered = staged(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    share = mix(numbered, keep=("_row",)).where("taken > 0").select("_row", "size", "taken")
+    share = mix(numbered, keep=("_row",)).where("taken > 0").select("_row", F.col("size").alias("_size"), F.col("taken").alias("_taken"))
     joined = numbered.join(share, "_row")
-    whole = F.floor(F.col("taken") / F.greatest("size", F.lit(1))).cast("int")
-    part = (F.col("taken") - whole * F.col("size")).cast("int")
+    whole = F.floor(F.col("_taken") / F.greatest("_size", F.lit(1))).cast("int")
+    part = (F.col("_taken") - whole * F.col("_size")).cast("int")
     cut = F.when(part > 0, F.concat_ws(" ", F.slice(words(F.col("text")), 1, F.greatest(part, F.lit(1)))))
-    copies = joined.withColumn("copy", F.explode(F.filter(F.concat(F.array_repeat("text", whole), F.array(cut)), lambda t: t.isNotNull())))
+    texts = F.filter(F.concat(F.array_repeat("text", whole), F.array(cut)), lambda t: t.isNotNull())
+    copies = joined.withColumn("_copy", F.explode(texts))
     return copies.select(*[
-        F.col("copy").alias("text") if c == "text" else F.length("copy").cast("long").alias(c) if c == "n_chars" else c
+        F.col("_copy").alias("text") if c == "text" else F.length("_copy").cast("long").alias(c) if c == "n_chars" else c
         for c in docs.columns
     ])
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citeloom.llm import flat
-from citeloom.llm.frames import partitions, slices, utf8
+from citeloom.llm.frames import partitions, slices, utf8, with_columns
 
 LANES = 4
 SKETCH = 128
@@ -106,8 +106,7 @@ def fingerprints(docs: DataFrame, *keep: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keep), pa.array(found, pa.string())], names=[*keep, "fingerprint"])
 
     wanted = docs.select(*keep, F.col("text").alias("_text"))
-    kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in wanted.schema if f.name != "_text")
-    return wanted.mapInArrow(run, f"{kept}fingerprint string")
+    return wanted.mapInArrow(run, with_columns(wanted.schema, "_text", "fingerprint string"))
 
 
 def followed(docs: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeloom.llm.frames import slices
+from citeloom.llm.frames import slices, with_columns
 
 SPACE = "▁"
 #: Symbols of a word from which on the heap merges it; distinct words that a task remembers.
@@ -367,8 +367,7 @@ def round_trip(docs: DataFrame, vocabulary: Broadcast, text: str = "text", *keep
             )
 
     wanted = docs.select(*keep, F.col(text).alias("_text"))
-    kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in wanted.schema if f.name != "_text")
-    return wanted.mapInArrow(run, f"{kept}ids array<int>, decoded string")
+    return wanted.mapInArrow(run, with_columns(wanted.schema, "_text", "ids array<int>, decoded string"))
 
 
 def decode(encoded: DataFrame, vocabulary: Broadcast, ids: str = "ids", *keep: str) -> DataFrame:
@@ -385,8 +384,7 @@ def decode(encoded: DataFrame, vocabulary: Broadcast, ids: str = "ids", *keep: s
             )
 
     wanted = encoded.select(*keep, F.col(ids).alias("_ids"))
-    kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in wanted.schema if f.name != "_ids")
-    return wanted.mapInArrow(run, f"{kept}decoded string")
+    return wanted.mapInArrow(run, with_columns(wanted.schema, "_ids", "decoded string"))
 
 
 def lengths(docs: DataFrame, vocabulary: Broadcast, text: str = "text", *keep: str) -> DataFrame:
@@ -399,5 +397,4 @@ def lengths(docs: DataFrame, vocabulary: Broadcast, text: str = "text", *keep: s
             yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keep), pa.array(counts, pa.int64())], names=[*keep, "n_tokens"])
 
     wanted = docs.select(*keep, F.col(text).alias("_text"))
-    kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in wanted.schema if f.name != "_text")
-    return wanted.mapInArrow(run, f"{kept}n_tokens bigint")
+    return wanted.mapInArrow(run, with_columns(wanted.schema, "_text", "n_tokens bigint"))

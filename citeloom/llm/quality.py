@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citeloom.llm import flat
-from citeloom.llm.frames import slices, utf8
+from citeloom.llm.frames import slices, utf8, with_columns
 from citeloom.sources.scratch import staged
 
 FEATURES = (
@@ -155,8 +155,7 @@ def statistics(docs: DataFrame, *keep: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keep), lists], names=[*keep, "features"])
 
     wanted = docs.select(*keep, F.col("text").alias("_text"))
-    kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in wanted.schema if f.name != "_text")
-    return wanted.mapInArrow(run, f"{kept}features array<float>")
+    return wanted.mapInArrow(run, with_columns(wanted.schema, "_text", "features array<float>"))
 
 
 @dataclass
@@ -261,8 +260,7 @@ def scored(found: DataFrame, trees: Broadcast, *keep: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keep), pa.array(score)], names=[*keep, "score"])
 
     wanted = found.select(*keep, "features")
-    kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in wanted.schema if f.name != "features")
-    return wanted.mapInArrow(run, f"{kept}score double")
+    return wanted.mapInArrow(run, with_columns(wanted.schema, "features", "score double"))
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:

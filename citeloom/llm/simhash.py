@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citeloom.llm.components import components
-from citeloom.llm.frames import slices
+from citeloom.llm.frames import slices, with_columns
 from citeloom.sources.scratch import staged
 
 SHINGLE = 3
@@ -77,8 +77,7 @@ def fingerprints(docs: DataFrame, *keep: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keep), pa.array(values)], names=[*keep, "fingerprint"])
 
     wanted = docs.select(*keep, F.col("text").alias("_text"))
-    kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in wanted.schema if f.name != "_text")
-    return wanted.mapInArrow(run, f"{kept}fingerprint bigint")
+    return wanted.mapInArrow(run, with_columns(wanted.schema, "_text", "fingerprint bigint"))
 
 
 def _ball(fingerprint: Column) -> Column:
@@ -121,11 +120,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def kept_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` of which one stays for each component: the one of the smallest id.
+    """The rows of ``docs`` that stay, columns unchanged: of each component those of the smallest id.
 
-    Of rows that repeat that id, and of rows without id, one stays by text. Columns are unchanged.
+    Rows that repeat that id all stay, as one document. A component without any id stays whole.
     """
     printed = near_duplicates(docs)
-    keep = printed.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    kept = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
-    return kept
+    keep = printed.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept_id")).distinct()
+    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi")

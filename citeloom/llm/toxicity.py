@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citeloom.llm import flat
-from citeloom.llm.frames import slices, utf8
+from citeloom.llm.frames import slices, utf8, with_columns
 from citeloom.llm.quality import held_out
 
 GRADES = 3
@@ -46,6 +46,13 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return word[new], doc[new]
 
 
+def _looked_up(vocabulary: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of each word in the vocabulary, and whether it is there."""
+    at = np.searchsorted(vocabulary, word)
+    at[at == len(vocabulary)] = 0
+    return at, vocabulary[at] == word if len(vocabulary) else np.zeros(len(word), bool)
+
+
 @dataclass
 class Model:
     vocabulary: np.ndarray  # hashes, ascending
@@ -53,9 +60,7 @@ class Model:
     cuts: np.ndarray  # ascending, one between each two grades
 
     def latent(self, word: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
-        at = np.searchsorted(self.vocabulary, word)
-        at[at == len(self.vocabulary)] = 0
-        known = self.vocabulary[at] == word if len(self.vocabulary) else np.zeros(len(word), bool)
+        at, known = _looked_up(self.vocabulary, word)
         return np.bincount(doc[known], weights=self.weights[at[known]], minlength=n)
 
     def above(self, latent: np.ndarray) -> np.ndarray:
@@ -85,9 +90,7 @@ def fit(word: np.ndarray, doc: np.ndarray, toxic: np.ndarray, rounds: int = 400,
     keys, count = np.unique(word, return_counts=True)
     often = np.argsort(-count, kind="stable")[:VOCABULARY]
     vocabulary = np.sort(keys[often][count[often] >= LEAST_DOCS])
-    at = np.searchsorted(vocabulary, word)
-    at[at == len(vocabulary)] = 0
-    known = vocabulary[at] == word
+    at, known = _looked_up(vocabulary, word)
     at, doc = at[known], doc[known]
     weights = np.zeros(len(vocabulary))
     share = np.array([(grade >= g).mean() for g in range(1, GRADES + 1)])
@@ -157,8 +160,7 @@ def graded_texts(docs: DataFrame, model: Broadcast, *keep: str) -> DataFrame:
             )
 
     wanted = docs.select(*keep, F.col("text").alias("_text"))
-    kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in wanted.schema if f.name != "_text")
-    return wanted.mapInArrow(run, f"{kept}score double, severity double, grade int")
+    return wanted.mapInArrow(run, with_columns(wanted.schema, "_text", "score double, severity double, grade int"))
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
