@@ -59,6 +59,13 @@ def hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarra
     return mixed(span + (stops - starts).astype(np.uint64))
 
 
+def spans(values: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """A hash of each span of values."""
+    sums = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * _powers_of(_BASE, len(values)), out=sums[1:])
+    return mixed((sums[stops] - sums[starts]) * _powers_of(_INVERSE, len(values) + 1)[starts] + (stops - starts).astype(np.uint64))
+
+
 def runs(values: np.ndarray, k: int) -> np.ndarray:
     """Hash of each run of ``k`` consecutive values (over the ends of texts too; the caller drops those)."""
     n = max(0, len(values) - k + 1)

@@ -8,15 +8,17 @@ statistics say which windows have an earlier owner. Maximal runs of covered word
 
 1. Every window chooses the run of GRAM words in it with the smallest hash, its anchor. Equal windows
    choose equal anchors, and there are far fewer anchors than windows. Anchors are counted over the
-   corpus (pre-aggregated); those of two documents or more go into a bitmap of BITS bits, fixed size
-   for any corpus, which is broadcast. A full bitmap lets more passages through and loses none.
-2. One more pass cuts out the passages (the windows of one anchor) that the bitmap lets through. Equal
-   passages are folded before and after the shuffle, so a passage in a third of all documents is one
-   reference.
-3. An anchor with one distinct passage needs no automaton. One with more than CROWD distinct passages
-   (a common phrase in ever new surroundings) would make a shard of its own size: its windows are
-   counted one by one instead, by an aggregation that has no hot task.
+   corpus (pre-aggregated); those of two rows or more are candidates.
+2. A second pass gives each candidate passage (the windows of one anchor) as a row of numbers: place,
+   anchor, hash of its words. Equal passages are folded before and after the shuffle, so a passage in
+   a third of all documents is one reference. An anchor with one distinct passage needs no automaton.
+3. A third pass spells out the references of all other anchors, for the automata. An anchor with more
+   than CROWD distinct passages (a common phrase in ever new surroundings) would make a shard of its
+   own size: its windows are counted one by one instead, by an aggregation without hot tasks.
 4. Owners return to the passages of each document by a join, and the documents drop their words.
+
+What one pass finds is told to the next by a broadcast bitmap of BITS bits, the same size for any
+corpus. A full bitmap lets more rows through, which later steps sort out; it never loses one.
 """
 
 from __future__ import annotations
@@ -26,12 +28,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citeloom.llm import flat
 from citeloom.llm.automaton import SuffixAutomaton
-from citeloom.llm.frames import slices, utf8
+from citeloom.llm.frames import slices, utf8, with_columns
 from citeloom.sources.scratch import staged
 
 SPAN = 13
@@ -43,92 +45,136 @@ CROWD = 1024
 
 
 def passages_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Passages of texts given as UTF-8 bytes: text, first window, number of windows, anchor; by place."""
+    """Passages of texts given as UTF-8 bytes: text, first window, number of windows, anchor, hash of all words."""
     first, last, before = flat.places(data, offsets)
     none = np.zeros(0, np.int64)
+    nothing = none, none, none, none.astype(np.uint64), none.astype(np.uint64)
     if len(first) < SPAN:
-        return none, none, none, none.astype(np.uint64)
+        return nothing
     word = flat.hashes(data, first, last)
     doc = np.repeat(np.arange(len(offsets) - 1), np.diff(before))
     grams = flat.runs(word, GRAM)
     chosen = flat.lowest(grams, SPAN - GRAM + 1)
     start = np.flatnonzero(doc[: len(chosen)] == doc[SPAN - 1 :])
     if not len(start):
-        return none, none, none, none.astype(np.uint64)
+        return nothing
     at, of = chosen[start], doc[start]
     new = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (of[1:] != of[:-1])]))
     count = np.diff(np.append(new, len(start)))
-    return of[new], start[new] - before[of[new]], count, grams[at[new]]
+    begin = start[new]
+    return of[new], begin - before[of[new]], count, grams[at[new]], flat.spans(word, begin, begin + count + SPAN - 1)
 
 
-def anchors(docs: DataFrame) -> DataFrame:
-    """``text`` -> ``anchor`` (long), each once per row that has it."""
+class Bitmap:
+    """Which slots of BITS are taken; a key's slot is its lowest bits."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text"):
-            of, _, _, anchor = passages_of(*utf8(part.column("text")))
-            order = np.lexsort((anchor, of))
-            anchor, of = anchor[order], of[order]
-            new = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (of[1:] != of[:-1])])[: len(anchor)]
-            yield pa.RecordBatch.from_arrays([pa.array(anchor[new].view(np.int64))], names=["anchor"])
+    def __init__(self, bits: np.ndarray):
+        self.bits = bits
 
-    return docs.select("text").mapInArrow(run, "anchor bigint")
+    def holds(self, keys: np.ndarray) -> np.ndarray:
+        slot = (keys & np.uint64(BITS - 1)).astype(np.int64)
+        return (self.bits[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)
 
 
-def repeated(found: DataFrame) -> Broadcast:
-    """A bitmap of the anchors that occur in two rows or more, BITS bits in all.
+def bitmap_of(keys: DataFrame) -> Broadcast:
+    """A broadcast bitmap of the slots of all ``key`` values.
 
     Built by Spark in pieces of 4 kB; the driver receives at most BITS / 8 bytes, whatever the corpus.
     """
-    shared = found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
-    slot = shared.select((F.col("anchor").bitwiseAND(F.lit(BITS - 1)) + 1).alias("slot"))
+    slot = keys.select((F.col("key").bitwiseAND(F.lit(BITS - 1)) + 1).alias("slot"))
     parts = slot.groupBy(F.bitmap_bucket_number("slot").alias("part")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits")
     )
-    bitmap = np.zeros(BITS // 8, np.uint8)
+    bits = np.zeros(BITS // 8, np.uint8)
     for row in parts.toLocalIterator():
         size = len(row.bits)
-        bitmap[(row.part - 1) * size : row.part * size] = np.frombuffer(row.bits, np.uint8)
-    return found.sparkSession.sparkContext.broadcast(bitmap)
+        bits[(row.part - 1) * size : row.part * size] = np.frombuffer(row.bits, np.uint8)
+    return keys.sparkSession.sparkContext.broadcast(Bitmap(bits))
+
+
+def _owned(mark: np.ndarray, doc_id: np.ndarray) -> np.ndarray:
+    """A key for a passage in one document."""
+    return flat.mixed(mark + doc_id.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def candidates(docs: DataFrame, bitmap: Broadcast) -> DataFrame:
-    """doc_id, text, digest -> the passages whose anchor the bitmap has.
+def anchors(docs: DataFrame) -> DataFrame:
+    """``text`` -> ``slot`` of each anchor (32 bits of its hash), each once per row that has it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text"):
+            of, _, _, anchor, _ = passages_of(*utf8(part.column("text")))
+            slot = np.unique(of.astype(np.uint64) << np.uint64(32) | (anchor & np.uint64(2**32 - 1))) & np.uint64(2**32 - 1)
+            yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int64))], names=["slot"])
+
+    return docs.select("text").mapInArrow(run, "slot bigint")
+
+
+def candidates(docs: DataFrame, repeated: Broadcast) -> DataFrame:
+    """doc_id, text, digest -> the passages whose anchor is repeated, as numbers.
 
     ``start``: word at which the first of its windows begins; ``windows``: how many; ``route``: the
-    anchor; ``passage``: its words joined by single spaces.
+    anchor; ``mark``: hash of its words; ``owned``: key of the mark in this document.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text"):
+            of, start, windows, anchor, mark = passages_of(*utf8(part.column("text")))
+            hit = np.flatnonzero(repeated.value.holds(anchor))
+            picked = pa.array(of[hit])
+            columns = [
+                part.column("doc_id").take(picked),
+                part.column("digest").take(picked),
+                pa.array(start[hit], pa.int32()),
+                pa.array(windows[hit], pa.int32()),
+                pa.array(anchor[hit].view(np.int64)),
+                pa.array(mark[hit].view(np.int64)),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "digest", "start", "windows", "route", "mark"])
+
+    return docs.mapInArrow(run, "doc_id bigint, digest int, start int, windows int, route bigint, mark bigint")
+
+
+def spelled(docs: DataFrame, several: Broadcast, crowded: Broadcast, owned: Broadcast) -> DataFrame:
+    """doc_id, text -> the passages that are references of anchors with several, with their words.
+
+    route, mark, passage (words joined by single spaces), doc_id, and whether the anchor has a crowd.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = bitmap.value
         for part in slices(batches, "text"):
-            of, start, windows, anchor = passages_of(*utf8(part.column("text")))
-            slot = (anchor & np.uint64(BITS - 1)).astype(np.int64)
-            hit = np.flatnonzero(bits[slot >> 3] >> (slot & 7).astype(np.uint8) & 1)
-            texts, words, held = part.column("text"), [], -1
-            passages = []
+            of, start, windows, anchor, mark = passages_of(*utf8(part.column("text")))
+            ids = part.column("doc_id").to_numpy()[of]
+            hit = np.flatnonzero(several.value.holds(anchor) & owned.value.holds(_owned(mark, ids)))
+            texts, words, held, passages = part.column("text"), [], -1, []
             for d, s, n in zip(of[hit].tolist(), start[hit].tolist(), windows[hit].tolist()):
                 if d != held:
                     held, words = d, texts[d].as_py().encode().split()
                 passages.append(b" ".join(words[s : s + n + SPAN - 1]))
-            picked = pa.array(of[hit])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    part.column("doc_id").take(picked),
-                    part.column("digest").take(picked),
-                    pa.array(start[hit], pa.int32()),
-                    pa.array(windows[hit], pa.int32()),
-                    pa.array(anchor[hit].view(np.int64)),
-                    pa.array(passages, pa.binary()).cast(pa.string()),
-                ],
-                names=["doc_id", "digest", "start", "windows", "route", "passage"],
-            )
+            columns = [
+                pa.array(anchor[hit].view(np.int64)),
+                pa.array(mark[hit].view(np.int64)),
+                pa.array(passages, pa.binary()).cast(pa.string()),
+                pa.array(ids[hit]),
+                pa.array(crowded.value.holds(anchor[hit])),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=["route", "mark", "passage", "doc_id", "crowd"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "route bigint, mark bigint, passage string, doc_id bigint, crowd boolean")
 
-    return docs.mapInArrow(run, "doc_id bigint, digest bigint, start int, windows int, route bigint, passage string")
+
+def owned_keys(marks: DataFrame) -> DataFrame:
+    """mark, owner -> ``key`` as ``_owned`` makes it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            key = _owned(part.column("mark").to_numpy().view(np.uint64), part.column("owner").to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64))], names=["key"])
+
+    return marks.select("mark", "owner").mapInArrow(run, "key bigint")
 
 
 def _through_automaton(shard: pa.Table) -> pa.Table:
-    """route, passage, owner of one shard -> the smallest owner of each of their windows."""
+    """References of one shard -> the smallest owner of each of their windows."""
     sequences = [p.split(" ") for p in shard.column("passage").to_pylist()]
     automaton = SuffixAutomaton(zip(sequences, shard.column("owner").to_pylist()))
     owners = [automaton.owners(words, SPAN) for words in sequences]
@@ -137,40 +183,49 @@ def _through_automaton(shard: pa.Table) -> pa.Table:
     )
 
 
-def owners_of(passages: DataFrame) -> DataFrame:
-    """Candidate passages -> route, mark (hash of the passage), owners (smallest id per window)."""
-    distinct = passages.groupBy("route", "mark", "passage").agg(F.min("doc_id").alias("owner"), F.first("windows").alias("windows"))
-    distinct = staged(distinct, "distinct-passages")
-    crowd = distinct.groupBy("route").agg(F.count("*").alias("crowd"))
-    met = staged(distinct.join(crowd, "route"), "crowds")
-    alone = met.where("crowd = 1").select("route", "mark", F.array_repeat("owner", F.col("windows")).alias("owners"))
-    several = met.where(f"crowd BETWEEN 2 AND {CROWD}")
-    shards = several.count() // SHARD + 1
+def owners_of(docs: DataFrame, passages: DataFrame) -> DataFrame:
+    """Documents and their candidate passages -> route, mark, owners (smallest id per window)."""
+    marks = staged(passages.groupBy("route", "mark").agg(F.min("doc_id").alias("owner"), F.min("windows").alias("windows")), "marks")
+    routes = marks.groupBy("route").agg(F.count("*").alias("n"), *[F.min(c).alias(c) for c in ("mark", "owner", "windows")])
+    routes = staged(routes, "routes")
+    alone = routes.where("n = 1").select("route", "mark", F.array_repeat("owner", F.col("windows")).alias("owners"))
+    several = bitmap_of(routes.where("n > 1").select(F.col("route").alias("key")))
+    crowded = bitmap_of(routes.where(f"n > {CROWD}").select(F.col("route").alias("key")))
+    words = spelled(docs, several, crowded, bitmap_of(owned_keys(marks)))
+    references = staged(words.groupBy("route", "mark", "passage", "crowd").agg(F.min("doc_id").alias("owner")), "references")
+    few = references.where("NOT crowd")
+    shards = few.count() // SHARD + 1
     through = (
-        several.select("route", "mark", "passage", "owner")
+        few.select("route", "mark", "passage", "owner")
         .groupBy(F.pmod(F.xxhash64("route"), F.lit(shards)).alias("shard"))
         .applyInArrow(_through_automaton, "route bigint, mark bigint, owners array<bigint>")
     )
-    words = F.split("passage", " ")
-    window = F.transform(F.sequence(F.lit(1), F.col("windows")), lambda i: F.array_join(F.slice(words, i, SPAN), " "))
-    single = met.where(f"crowd > {CROWD}").select("route", "mark", "owner", F.posexplode(window).alias("at", "window"))
+    split = F.split("passage", " ")
+    window = F.transform(F.sequence(F.lit(1), F.size(split) - SPAN + 1), lambda i: F.array_join(F.slice(split, i, SPAN), " "))
+    single = references.where("crowd").select("route", "mark", "owner", F.posexplode(window).alias("at", "window"))
     least = single.groupBy("window").agg(F.min("owner").alias("least"))
-    crowded = (
+    each = (
         single.join(least, "window")
         .groupBy("route", "mark")
         .agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "least"))), lambda x: x.least).alias("owners"))
     )
-    return alone.unionByName(through).unionByName(crowded)
+    return alone.unionByName(through).unionByName(each)
+
+
+def digest(text: Column) -> Column:
+    """Tells apart rows that repeat an id with other texts."""
+    return F.xxhash64(text).bitwiseAND(F.lit(2**31 - 1)).cast("int")
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, text -> doc_id, digest (hash of the text), starts: the words at which repeated windows begin."""
+    """doc_id, text -> doc_id, digest, starts: the words at which repeated windows begin; rows without any are left out."""
     rows = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(
-        F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("digest")
+        F.col("doc_id").cast("long").alias("doc_id"), "text", digest(F.col("text")).alias("digest")
     )
-    found = candidates(rows, repeated(anchors(rows))).withColumn("mark", F.xxhash64("passage"))
-    passages = staged(found, "passages")
-    met = passages.select("doc_id", "digest", "start", "route", "mark").join(owners_of(passages), ["route", "mark"])
+    counted = anchors(rows).groupBy("slot").agg(F.count("*").alias("n"))
+    repeated = bitmap_of(counted.where("n > 1").select(F.col("slot").alias("key")))
+    passages = staged(candidates(rows, repeated), "passages")
+    met = passages.drop("windows").join(owners_of(rows, passages), ["route", "mark"])
     places = F.filter(
         F.transform("owners", lambda owner, i: F.when(owner < F.col("doc_id"), F.col("start") + i)), lambda at: at.isNotNull()
     )
@@ -178,15 +233,42 @@ def repeats(docs: DataFrame) -> DataFrame:
     return hits.groupBy("doc_id", "digest").agg(F.flatten(F.collect_list("places")).alias("starts"))
 
 
+def _chosen(docs: DataFrame, ids: Broadcast, inside: bool) -> DataFrame:
+    """The rows whose doc_id the bitmap of ids has, or the others; null ids are among the others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            column = part.column("doc_id").cast(pa.int64())
+            key = flat.mixed(column.fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64))
+            held = ids.value.holds(key) & column.is_valid().to_numpy(zero_copy_only=False)
+            yield part.filter(pa.array(held == inside))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def _id_keys(marked: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            key = flat.mixed(part.column("_id").to_numpy().view(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64))], names=["key"])
+
+    return marked.select("_id").mapInArrow(run, "key bigint")
+
+
 def without_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with all its columns and _words, _removed (long), _kept: the words left, joined by single spaces.
 
     Windows are judged on the input, whatever is removed elsewhere. A null text has no words. A row
     without id keeps its words and is no reference. Rows that repeat an id do not repeat each other.
     """
-    marked = repeats(docs).withColumnsRenamed({"doc_id": "_id", "digest": "_digest", "starts": "_starts"})
-    joined = docs.join(marked, (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("_digest")), "left")
-    rows = joined.drop("_id", "_digest")
+    marked = staged(repeats(docs), "repeats").withColumnsRenamed({"doc_id": "_id", "digest": "_digest", "starts": "_starts"})
+    # Only documents that may have repeats are shuffled to meet them.
+    ids = bitmap_of(_id_keys(marked))
+    joined = _chosen(docs, ids, True).join(
+        marked, (F.col("doc_id") == F.col("_id")) & (digest(F.col("text")) == F.col("_digest")), "left"
+    )
+    others = _chosen(docs, ids, False).withColumn("_starts", F.lit(None).cast("array<int>"))
+    rows = others.unionByName(joined.drop("_id", "_digest"))
     names = [c for c in rows.columns if c != "_starts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,8 +293,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
                 names=[*names, "_words", "_removed", "_kept"],
             )
 
-    kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema)
-    return rows.mapInArrow(run, f"{kept}_words bigint, _removed bigint, _kept string")
+    return rows.mapInArrow(run, with_columns(rows.schema, "_starts", "_words bigint, _removed bigint, _kept string"))
 
 
 SQL = """
