@@ -26,6 +26,14 @@ def integers(value: Column, field: str) -> Column:
     return F.coalesce(numbers, F.array().cast("array<bigint>"))
 
 
+def whole_numbers(value: Column, field: str) -> Column:
+    """The integer members of an array field as decimal text, of up to 38 digits; other members are left out."""
+    members = F.try_variant_get(value, f"$.{field}", "array<variant>")
+    # Integers beyond 64 bits are decimals of 19 digits or more without a fraction.
+    whole = F.filter(members, lambda m: F.rlike(F.schema_of_variant(m), F.lit(r"^(BIGINT|DECIMAL\((19|[23][0-9]),0\))$")))
+    return F.coalesce(F.transform(whole, lambda m: F.try_variant_get(m, "$", "string")), F.array().cast("array<string>"))
+
+
 def text_of(value: Column, field: str) -> Column:
     """A scalar field as text; a missing one is empty."""
     member = F.try_variant_get(value, f"$.{field}", "variant")

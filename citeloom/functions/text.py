@@ -111,9 +111,20 @@ def sentences(text: Column) -> Column:
 
 
 def citation_numbers(text: Column) -> Column:
-    """The numbers in ``[n]`` markers, in order; numbers beyond 64 bits are not markers."""
+    """The numbers in ``[n]`` markers, in order, of any size: decimal text without leading zeros."""
     digits = F.regexp_extract_all(text, F.lit(CITATION), F.lit(1))
-    return F.filter(F.transform(digits, lambda d: d.try_cast("bigint")), lambda n: n.isNotNull())
+    return F.transform(digits, lambda d: F.regexp_replace(d, "^0+(?=.)", ""))
+
+
+def number_within(number: Column, most: Column) -> Column:
+    """Whether decimal text is a number from 1 to ``most``."""
+    return F.coalesce(number.try_cast("bigint").between(F.lit(1), most), F.lit(False))
+
+
+def sorted_numbers(numbers: Column) -> Column:
+    """Decimal texts in the order of their numbers; those beyond 38 digits last, by length and digits."""
+    placed = F.transform(numbers, lambda n: F.struct(n.try_cast("decimal(38,0)").isNull().alias("wide"), n.try_cast("decimal(38,0)").alias("value"), F.length(n).alias("size"), n.alias("number")))
+    return F.transform(F.array_sort(placed), lambda p: p["number"])
 
 
 def strip_citations(text: Column, numbers: Column) -> Column:
@@ -121,7 +132,7 @@ def strip_citations(text: Column, numbers: Column) -> Column:
     removed = F.aggregate(
         numbers,
         text,
-        lambda acc, n: F.replace(acc, F.concat(F.lit("["), n.cast("string"), F.lit("]")), F.lit("")),
+        lambda acc, n: F.replace(acc, F.concat(F.lit("["), n, F.lit("]")), F.lit("")),
     )
     tidy = F.regexp_replace(removed, r"[ \t]{2,}", " ")
     tidy = F.replace(F.replace(tidy, F.lit(" ."), F.lit(".")), F.lit(" ,"), F.lit(","))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citeloom.functions import payload
-from citeloom.functions.text import citation_numbers, is_blank, strip, strip_citations
+from citeloom.functions.text import citation_numbers, is_blank, number_within, sorted_numbers, strip, strip_citations
 from citeloom.operators.chunking import citation_label
 
 
@@ -23,7 +23,7 @@ def response_error(raw: Column) -> Column:
 def validate(responses: DataFrame) -> DataFrame:
     """(query_id, response, passages) to the audited answer.
 
-    ``passages`` is how many were given. Inline and declared numbers are both checked; markers of
+    ``passages`` is how many were given. Numbers may have any size, so invalid ones are decimal text. Inline and declared numbers are both checked; markers of
     passages that were never given are removed from the text and listed. Numbers that remain are
     ordered by their place in the text, then the merely declared ones ascending.
     """
@@ -32,7 +32,7 @@ def validate(responses: DataFrame) -> DataFrame:
         "query_id",
         "passages",
         strip(payload.text_of(value, "answer")).alias("raw_text"),
-        F.array_sort(F.array_distinct(payload.integers(value, "citations"))).alias("declared"),
+        sorted_numbers(F.array_distinct(payload.whole_numbers(value, "citations"))).alias("declared"),
         payload.truthy(value, "refused").alias("refused"),
         payload.truthy(value, "conflict").alias("conflict"),
         response_error(F.col("response")).alias("error"),
@@ -40,9 +40,7 @@ def validate(responses: DataFrame) -> DataFrame:
     inline = F.array_distinct(citation_numbers(F.col("raw_text")))
     checked = raw.withColumn(
         "invalid_citations",
-        F.array_sort(
-            F.filter(F.array_union(inline, F.col("declared")), lambda n: (n < 1) | (n > F.col("passages")))
-        ),
+        sorted_numbers(F.filter(F.array_union(inline, F.col("declared")), lambda n: ~number_within(n, F.col("passages")))),
     )
     cleaned = checked.withColumn(
         "text",
@@ -51,7 +49,7 @@ def validate(responses: DataFrame) -> DataFrame:
         ),
     )
     every = F.concat(citation_numbers(F.col("text")), F.col("declared"))
-    given = F.filter(every, lambda n: (n >= 1) & (n <= F.col("passages")))
+    given = F.transform(F.filter(every, lambda n: number_within(n, F.col("passages"))), lambda n: n.cast("bigint"))
     return cleaned.select(
         "query_id",
         "text",

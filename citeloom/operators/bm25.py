@@ -10,9 +10,9 @@ scan      question weights are few (checked): they go to every task, each task s
           every chunk costs no more than its occurrences.
 grid      more questions than may be shipped: both sides are dealt into bounded cells (chunk shard x
           question block), each cell is scored like a task of the scan.
-postings  a stored postings table and few terms: posting and weight rows meet by a join on the term,
-          spread over salted copies so that a term which holds a third of all postings is not one
-          task, and are then summed per (question, chunk).
+postings  the same two ways over rows that hold each chunk's terms with their counts instead of its
+          tokens, as a stored index does. Counting needs no other row, so no term is ever a key of a
+          shuffle, and no (question, chunk) pair leaves a task unless it is among its k best.
 """
 
 from __future__ import annotations
@@ -26,10 +26,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from citeloom.functions.text import tokenize
-from citeloom.operators.topk import BestPerQuery, grid, id_array, merge, partial_schema, rank_within, rounded
+from citeloom.operators.topk import BestPerQuery, grid, id_array, merge, partial_schema
 from citeloom.settings import (
     BM25_B,
     BM25_EPSILON,
@@ -60,7 +60,7 @@ class CorpusStats:
 
 @dataclass(frozen=True)
 class Bm25Index:
-    """``chunks``: chunk_id, dl, tokens (lazy). ``terms``: term, df (a written table)."""
+    """``chunks``: chunk_id, dl and tokens, or terms and counts (lazy). ``terms``: term, df (a written table)."""
 
     chunks: DataFrame
     terms: DataFrame
@@ -133,16 +133,34 @@ def term_table(index: Bm25Index) -> DataFrame:
 
 
 def postings(chunks: DataFrame) -> DataFrame:
-    """chunk_id, dl, tokens to term, chunk_id, tf, dl: the inverted form."""
-    # Not explode: from that, Catalyst infers a filter on the size of ``tokens`` and pushes it below
-    # the tokeniser, which would then run twice per chunk.
-    exploded = chunks.select("chunk_id", "dl", F.explode_outer("tokens").alias("term"))
-    return (
-        exploded.where(F.col("term").isNotNull())
-        .groupBy("term", "chunk_id")
-        .agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    """chunk_id, dl, tokens to chunk_id, dl, terms, counts: each chunk's postings, counted inside its row."""
+    schema = StructType(
+        [
+            *chunks.select("chunk_id", "dl").schema.fields,
+            StructField("terms", ArrayType(StringType())),
+            StructField("counts", ArrayType(IntegerType())),
+        ]
     )
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, term, tf, names = _counted(batch.column("tokens"))
+            ends = pa.array(np.searchsorted(row, np.arange(batch.num_rows + 1)), pa.int32())
+            terms = pa.ListArray.from_arrays(ends, names.take(pa.array(term)).cast(pa.string()))
+            counts = pa.ListArray.from_arrays(ends, pa.array(tf, pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column("chunk_id"), batch.column("dl"), terms, counts], names=schema.fieldNames())
+
+    return chunks.select("chunk_id", "dl", "tokens").mapInArrow(run, schema)
+
+
+def _counted(tokens: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """Row, term number and count of every distinct token of every row, by row; and the terms."""
+    coded = tokens.flatten().dictionary_encode()
+    row = pc.list_parent_indices(tokens).to_numpy(zero_copy_only=False).astype(np.int64)
+    width = max(1, len(coded.dictionary))
+    key, tf = np.unique(row * width + coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), return_counts=True)
+    return key // width, key % width, tf, coded.dictionary
+
 
 def question_terms(questions: DataFrame, query_id: str = "query_id", text: str = "question") -> DataFrame:
     """query_id, term, times: a repeated word counts each time."""
@@ -162,10 +180,6 @@ def question_weights(terms: DataFrame, stats: CorpusStats, questions: DataFrame,
     )
 
 
-def saturation(tf: Column, dl: Column, avgdl: Column) -> Column:
-    return tf * (BM25_K1 + 1) / (tf + BM25_K1 * (1 - BM25_B + BM25_B * dl / avgdl))
-
-
 def search(
     index: Bm25Index,
     questions: DataFrame,
@@ -187,29 +201,7 @@ def search(
         partial = _grid(index, weights, schema, k, max_weights)
     else:
         partial = _scan(index, few, schema, k)
-    return merge(partial, index.chunks, k)
-
-
-def search_postings(
-    posting_rows: DataFrame, stats: CorpusStats, weights: DataFrame, k: int, salts: int = 32
-) -> DataFrame:
-    """Exact scores by a join on the term; see the module text.
-
-    Each weight row is copied ``salts`` times and each posting goes to the copy its chunk hashes to,
-    so a hot term is ``salts`` keys. Where the weights turn out small, the join broadcasts at run
-    time and the salt is merely ignored.
-    """
-    salted = weights.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    rows = posting_rows.withColumn("salt", F.pmod(F.xxhash64("chunk_id"), F.lit(salts)).cast("int"))
-    part = F.col("weight") * saturation(F.col("tf"), F.col("dl"), F.lit(stats.avgdl))
-    scored = (
-        rows.join(salted, ["term", "salt"])
-        .groupBy("query_id", "chunk_id")
-        .agg(F.sum(part).alias("score"))
-        .withColumn("score", rounded(F.col("score")))
-        .where(F.col("score") > 0)
-    )
-    return rank_within(scored, "query_id", "score", "chunk_id", k)
+    return merge(partial, k)
 
 
 def _nothing(index: Bm25Index, questions: DataFrame, query_id: str) -> DataFrame:
@@ -238,21 +230,31 @@ class _Weights:
         return cls(vocabulary, query_ids, query_of, start, rows["weight"].to_numpy())
 
 
+def _asked(batch: pa.RecordBatch, vocabulary: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, place in the vocabulary and count of the asked terms of a batch, by row."""
+    counted = "terms" in batch.schema.names
+    words = batch.column("terms" if counted else "tokens")
+    term = pc.index_in(words.flatten(), value_set=vocabulary)
+    hit = term.is_valid().to_numpy(zero_copy_only=False)
+    row = pc.list_parent_indices(words).to_numpy(zero_copy_only=False)[hit].astype(np.int64)
+    term = term.drop_null().to_numpy(zero_copy_only=False).astype(np.int64)
+    if counted:
+        return row, term, batch.column("counts").flatten().to_numpy(zero_copy_only=False)[hit]
+    key, tf = np.unique(row * len(vocabulary) + term, return_counts=True)
+    return key // len(vocabulary), key % len(vocabulary), tf
+
+
 def _best_of(batches: Iterable[pa.RecordBatch], w: _Weights, avgdl: float, k: int) -> Iterator[pa.RecordBatch]:
-    """Score batches of (chunk_id, dl, tokens) sparsely and give the k best per question."""
-    queries, terms = len(w.query_ids), len(w.vocabulary)
+    """Score batches of (chunk_id, dl, tokens) or (chunk_id, dl, terms, counts) sparsely and give the
+    k best per question."""
+    queries = len(w.query_ids)
     best = BestPerQuery(queries, k, floor=0.5 * 10.0**-SCORE_DECIMALS)
     id_type = None
     for batch in batches:
         id_type = batch.schema.field("chunk_id").type
         ids = id_array(batch.column("chunk_id"))
         dl = batch.column("dl").to_numpy(zero_copy_only=False).astype(np.float64)
-        tokens = batch.column("tokens")
-        term = pc.index_in(tokens.flatten(), value_set=w.vocabulary)
-        hit = term.is_valid().to_numpy(zero_copy_only=False)
-        row = pc.list_parent_indices(tokens).to_numpy(zero_copy_only=False)[hit].astype(np.int64)
-        key, tf = np.unique(row * terms + term.drop_null().to_numpy(zero_copy_only=False), return_counts=True)
-        row, term = key // terms, key % terms
+        row, term, tf = _asked(batch, w.vocabulary)
         part = tf * (BM25_K1 + 1) / (tf + BM25_K1 * (1 - BM25_B + BM25_B * dl[row] / avgdl))
         fan = w.start[term + 1] - w.start[term]
         for low, high in _blocks(row, fan, len(ids), queries):
@@ -285,14 +287,15 @@ def _grid(index: Bm25Index, weights: DataFrame, schema: StructType, k: int, max_
     blocks = max(1, math.ceil(2 * weights.count() / max(1, max_weights)))
 
     # Tokens travel as one string: an array row takes several times the space in a shuffle.
-    packed = index.chunks.withColumn("tokens", F.array_join("tokens", " "))
+    counted = "terms" in index.chunks.columns
+    packed = index.chunks if counted else index.chunks.withColumn("tokens", F.array_join("tokens", " "))
 
     def best(chunks: pa.Table, rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        split = (
-            batch.set_column(batch.schema.get_field_index("tokens"), "tokens", pc.split_pattern(batch["tokens"], " "))
-            for batch in chunks.to_batches(_GRID_BATCH)
-        )
-        return _best_of(split, _Weights.of(rows), avgdl, k)
+        batches = chunks.to_batches(_GRID_BATCH)
+        if not counted:
+            place = chunks.schema.get_field_index("tokens")
+            batches = (b.set_column(place, "tokens", pc.split_pattern(b["tokens"], " ")) for b in batches)
+        return _best_of(batches, _Weights.of(rows), avgdl, k)
 
     return grid(packed, weights, shards, blocks, best, schema)
 

@@ -46,10 +46,11 @@ def with_cached(keyed_texts: DataFrame, cache: DataFrame, id_column: str, dim: i
 def misses(keyed_texts: DataFrame, cache: DataFrame, dim: int = EMBEDDING_DIM, text: str = "text") -> DataFrame:
     """key, text of every distinct text that the cache lacks.
 
-    Copies are folded first, inside the map tasks, so the join sees every key once.
+    Keys are compared first, without their texts; then the texts of the missing keys alone are folded.
     """
-    distinct = keyed_texts.groupBy("key").agg(F.first(text).alias("text"))
-    return distinct.join(usable(cache, dim).select("key"), "key", "left_anti")
+    missing = keyed_texts.select("key").distinct().join(usable(cache, dim).select("key"), "key", "left_anti")
+    texts = keyed_texts.select("key", F.col(text).alias("text")).join(missing, "key", "left_semi")
+    return texts.groupBy("key").agg(F.first("text").alias("text"))
 
 
 def cache_report(keyed_texts: DataFrame, cache: DataFrame, dim: int = EMBEDDING_DIM) -> DataFrame:

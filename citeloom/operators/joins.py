@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from citeloom.sources.scratch import staged
+
 # At most this many keys are spread, so the list of them is a bounded broadcast. Any other key then
 # holds less than one row in HOT_KEYS.
 HOT_KEYS = 1000
@@ -29,3 +31,18 @@ def join_repeated(left: DataFrame, right: DataFrame, key: str, spread_by: str, h
     copies = F.when(hot_flag, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
     copied = right.join(hot, key, "left").withColumn("salt", F.explode(copies)).drop("is_hot")
     return dealt.drop("is_hot").join(copied, [key, "salt"], how).drop("salt")
+
+
+#: Rows of a ranked list that may be sent to every task: about 100 bytes each.
+MAX_SENT_HITS = 500_000
+
+
+def with_content(content: DataFrame, hits: DataFrame, key: str = "chunk_id") -> DataFrame:
+    """Ranked lists with the content of their chunks.
+
+    The lists are written and counted; up to MAX_SENT_HITS rows go to every task and the texts stay
+    where they are. Longer lists meet the texts in a shuffled join.
+    """
+    hits = staged(hits, "lists")
+    few = hits.limit(MAX_SENT_HITS + 1).count() <= MAX_SENT_HITS
+    return content.join(F.broadcast(hits) if few else hits, key)

@@ -23,8 +23,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from citeloom.operators.topk import BestPerQuery, grid, id_array, merge, partial_schema
-from citeloom.settings import MAX_CENTROIDS, MAX_SHIPPED_QUERY_CELLS, POOL, SCORE_DECIMALS
+from citeloom.operators.topk import BestPerQuery, grid, id_array, merge, partial_schema, rank_within
+from citeloom.settings import MAX_SCORE_CELLS, MAX_SHIPPED_QUERY_CELLS, POOL, SCORE_DECIMALS
+from citeloom.sources.scratch import staged
 
 _BLOCK_ROWS = 2048
 
@@ -33,6 +34,17 @@ class DimensionMismatch(ValueError):
     """A vector's length differs from the length of the question vectors."""
 
 
+def rows_at_once(questions: int) -> int:
+    """Rows whose scores for all questions fit the bound on a block, at least one."""
+    return max(1, min(_BLOCK_ROWS, MAX_SCORE_CELLS // max(1, questions)))
+
+
+def no_hits(questions: DataFrame, chunk_id: T.DataType = T.StringType()) -> DataFrame:
+    """What a search of nothing gives: the columns of a ranked list, no row."""
+    schema = partial_schema(questions.schema["query_id"].dataType, chunk_id)
+    return questions.sparkSession.createDataFrame([], schema.add("rank", T.IntegerType()))
+
+
 def matrix(column: pa.Array, dim: int | None = None) -> np.ndarray:
     """A list column as a rows x dim float64 matrix."""
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
@@ -64,7 +76,7 @@ def exact_topk(
         partial = vectors.mapInArrow(_scan_kernel(vectors, small, k), schema)
     else:
         partial = _grid(vectors, questions, k, schema, shard_rows, max_cells)
-    return merge(partial, vectors, k)
+    return merge(partial, k)
 
 
 def _collect_bounded(questions: DataFrame, max_cells: int) -> pa.Table | None:
@@ -97,8 +109,9 @@ def _best_of(
         id_type = batch.schema.field("chunk_id").type
         rows = matrix(batch.column("vector"), weights.shape[0])
         ids = id_array(batch.column("chunk_id"))
-        for low in range(0, len(ids), _BLOCK_ROWS):
-            best.offer(rows[low : low + _BLOCK_ROWS] @ weights, ids[low : low + _BLOCK_ROWS])
+        step = rows_at_once(len(query_ids))
+        for low in range(0, len(ids), step):
+            best.offer(rows[low : low + step] @ weights, ids[low : low + step])
     if id_type is not None:
         yield from best.batch(query_ids, id_type)
 
@@ -141,30 +154,46 @@ def pick_centroids(vectors: DataFrame, count: int | None = None) -> DataFrame:
     """
     if count is None:
         count = math.ceil(math.sqrt(max(1, vectors.count())))
-    chosen = vectors.orderBy(F.md5(F.col("chunk_id").cast("string"))).limit(min(count, MAX_CENTROIDS))
-    # At most MAX_CENTROIDS rows, so numbering them in one task is bounded.
+    chosen = vectors.orderBy(F.md5(F.col("chunk_id").cast("string"))).limit(count)
+    # Numbered in one task: as many rows as cells, by default the square root of the table.
     number = F.row_number().over(Window.orderBy("chunk_id")) - 1
     return chosen.select(number.alias("cell"), "vector")
 
 
-def assign_cells(vectors: DataFrame, centroids: DataFrame) -> DataFrame:
+def assign_cells(
+    vectors: DataFrame, centroids: DataFrame, max_cells: int = MAX_SHIPPED_QUERY_CELLS, shard_rows: int = 50_000
+) -> DataFrame:
     """The rows with ``cell``, the number of the nearest centroid (ties to the smaller cell).
 
-    Other columns pass through, so a store needs no join to attach the cells.
+    Other columns pass through. Centroids of at most ``max_cells`` numbers go to every task, so no join
+    is needed to attach the cells; more of them meet the vectors in a grid of bounded blocks.
     """
-    table = centroids.orderBy("cell").toArrow().combine_chunks()
-    numbers = table["cell"].combine_chunks()
-    weights = matrix(table["vector"].combine_chunks()).T.copy()
+    small = _collect_bounded(centroids.select("cell", "vector").orderBy("cell"), max_cells)
+    if small is None:
+        near = _grid(
+            centroids.select(F.col("cell").alias("chunk_id"), "vector"),
+            vectors.select(F.col("chunk_id").alias("query_id"), "vector"),
+            1,
+            partial_schema(vectors.schema["chunk_id"].dataType, T.IntegerType()),
+            shard_rows,
+            max_cells,
+        )
+        nearest = rank_within(near, "query_id", "score", "chunk_id", 1)
+        return vectors.join(nearest.select(F.col("query_id").alias("chunk_id"), F.col("chunk_id").alias("cell")), "chunk_id")
+    order = np.argsort(small["cell"].to_numpy())
+    numbers = small["cell"].combine_chunks().take(pa.array(order))
+    weights = matrix(small["vector"].combine_chunks())[order].T.copy()
     shipped = vectors.sparkSession.sparkContext.broadcast((numbers, weights))
     schema = T.StructType([*vectors.schema.fields, T.StructField("cell", T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers, weights = shipped.value
         for batch in batches:
-            likeness = matrix(batch.column("vector"), weights.shape[0]) @ weights
-            near = np.round(likeness, SCORE_DECIMALS).argmax(axis=1)
+            rows, step, near = matrix(batch.column("vector"), weights.shape[0]), rows_at_once(len(numbers)), [np.zeros(0, np.int64)]
+            for low in range(0, len(rows), step):
+                near.append(np.round(rows[low : low + step] @ weights, SCORE_DECIMALS).argmax(axis=1))
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, numbers.take(pa.array(near))], names=[*batch.schema.names, "cell"]
+                [*batch.columns, numbers.take(pa.array(np.concatenate(near)))], names=[*batch.schema.names, "cell"]
             )
 
     return vectors.mapInArrow(run, schema)
@@ -172,22 +201,30 @@ def assign_cells(vectors: DataFrame, centroids: DataFrame) -> DataFrame:
 
 def probed_cells(cells: DataFrame, centroids: DataFrame, questions: DataFrame, k: int, probes: int) -> DataFrame:
     """query_id, cell: the ``probes`` nearest cells, and further ones while those nearer hold fewer
-    than ``k`` vectors together, so that every question gets as many results as there are."""
+    than ``k`` vectors together, so that every question gets as many results as there are.
+
+    Only questions whose nearest cells hold too few look further, each time at twice as many cells.
+    """
     near = centroids.select(F.col("cell").alias("chunk_id"), "vector")
     sizes = cells.groupBy("cell").agg(F.count("*").alias("n"))
-    few = sizes.orderBy("n").limit(probes).agg(F.count("*").alias("cells"), F.sum("n").alias("n")).first()
-    if few["cells"] == probes and few["n"] >= k:
-        ranked = exact_topk(near, questions, probes)
-        return ranked.select("query_id", F.col("chunk_id").alias("cell"))
-    ranked = exact_topk(near, questions, MAX_CENTROIDS).select("query_id", F.col("chunk_id").alias("cell"), "rank")
+    total, many = centroids.count(), probes
     nearer = Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
-    held = F.coalesce(F.sum("n").over(nearer), F.lit(0))
-    return (
-        ranked.join(sizes, "cell")
-        .withColumn("held", held)
-        .where((F.col("rank") <= probes) | (F.col("held") < k))
-        .select("query_id", "cell")
-    )
+    asking, done = questions, None
+    while True:
+        ranked = exact_topk(near, asking, min(many, total)).select("query_id", F.col("chunk_id").alias("cell"), "rank")
+        sized = ranked.join(sizes, "cell", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+        held = staged(sized.withColumn("held", F.coalesce(F.sum("n").over(nearer), F.lit(0))), "probed")
+        enough = held.groupBy("query_id").agg(F.sum("n").alias("all")).where(F.col("all") >= k).select("query_id")
+        last = many >= total
+        ready = held if last else held.join(enough, "query_id", "left_semi")
+        ready = ready.where((F.col("rank") <= probes) | (F.col("held") < k)).select("query_id", "cell")
+        done = ready if done is None else done.unionByName(ready)
+        if last:
+            return done
+        asking = staged(asking.select("query_id", "vector").join(enough, "query_id", "left_anti"), "asking")
+        if asking.isEmpty():
+            return done
+        many *= 2
 
 
 def cell_topk(
@@ -219,7 +256,7 @@ def cell_topk(
     else:
         wanted = small["cell"].unique().to_pylist()
         partial = cells.where(F.col("cell").isin(wanted)).mapInArrow(_probe_kernel(cells, small, k), schema)
-    return merge(partial, cells, k)
+    return merge(partial, k)
 
 
 def _probe_kernel(cells: DataFrame, asked: pa.Table, k: int):
@@ -245,7 +282,10 @@ def _probe_kernel(cells: DataFrame, asked: pa.Table, k: int):
             for one in np.unique(cell):
                 who, here = lists.get(one.item()), np.nonzero(cell == one)[0]
                 if who is not None:
-                    best.offer(vectors[here] @ weights[:, who], ids[here], who)
+                    step = rows_at_once(len(who))
+                    for low in range(0, len(here), step):
+                        rows = here[low : low + step]
+                        best.offer(vectors[rows] @ weights[:, who], ids[rows], who)
         if id_type is not None:
             yield from best.batch(query_ids, id_type)
 

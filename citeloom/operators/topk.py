@@ -30,19 +30,16 @@ def rank_within(frame: DataFrame, group: str, score: str, tie: str, k: int, rank
     return frame.withColumn(rank, F.row_number().over(order)).where(F.col(rank) <= k)
 
 
-# From this many input files on, survivors are merged in two rounds: there is at least one task per
-# file, and each hands on k rows per question.
-WIDE_INPUT = 2_000
+# Survivors are merged in two rounds, as every task hands on k rows per question: first within parts
+# of them, so that no task ranks what all tasks have kept for one question.
 _MERGE_PARTS = 64
 
 
-def merge(partial: DataFrame, source: DataFrame, k: int, wide_input: int = WIDE_INPUT) -> DataFrame:
-    """The k best per question of what the tasks over ``source`` kept."""
-    if len(source.inputFiles()) >= wide_input:
-        part = F.pmod(F.xxhash64("chunk_id"), F.lit(_MERGE_PARTS))
-        keyed = partial.withColumn("part", F.struct("query_id", part.alias("part")))
-        partial = rank_within(keyed, "part", "score", "chunk_id", k).drop("part", "rank")
-    return rank_within(partial, "query_id", "score", "chunk_id", k)
+def merge(partial: DataFrame, k: int) -> DataFrame:
+    """The k best per question of what the tasks kept."""
+    part = F.pmod(F.xxhash64("chunk_id"), F.lit(_MERGE_PARTS))
+    keyed = partial.withColumn("part", F.struct("query_id", part.alias("part")))
+    return rank_within(rank_within(keyed, "part", "score", "chunk_id", k).drop("part", "rank"), "query_id", "score", "chunk_id", k)
 
 
 def grid(
@@ -91,6 +88,10 @@ def partial_schema(query_id: T.DataType, chunk_id: T.DataType) -> T.StructType:
     )
 
 
+# Survivors that wait for a merge, at least.
+_FEWEST = 65_536
+
+
 class BestPerQuery:
     """The k best (id, score) of every question seen so far in one task."""
 
@@ -99,6 +100,8 @@ class BestPerQuery:
         self.query = np.zeros(0, np.int64)
         self.score = np.zeros(0, np.float64)
         self.id: np.ndarray | None = None
+        self._waiting: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self._waits = 0
         # A row can only enter a question's list with a score of at least this.
         self.bar = np.full(queries, floor)
 
@@ -114,13 +117,18 @@ class BestPerQuery:
         if not len(row):
             return
         query = col if columns is None else columns[col]
-        self._merge(query, scores[row, col], ids[row])
-
-    def _merge(self, query: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
-        if self.id is not None:
-            query = np.concatenate([self.query, query])
-            score = np.concatenate([self.score, score])
-            ids = np.concatenate([self.id, ids])
+        self._waiting.append((query, scores[row, col], ids[row]))
+        self._waits += len(row)
+        # Merged when as many wait as are kept, so that the kept ones are sorted a few times in all.
+        if self._waits >= max(len(self.query), _FEWEST):
+            self._merge()
+
+    def _merge(self) -> None:
+        if not self._waits:
+            return
+        kept = [] if self.id is None else [(self.query, self.score, self.id)]
+        query, score, ids = (np.concatenate(part) for part in zip(*kept, *self._waiting))
+        self._waiting, self._waits = [], 0
         order = np.lexsort((ids, -score, query))
         query, score, ids = query[order], score[order], ids[order]
         first = np.searchsorted(query, query, side="left")
@@ -131,6 +139,7 @@ class BestPerQuery:
         self.query, self.score, self.id = query[keep], score[keep], ids[keep]
 
     def batch(self, query_ids: pa.Array, id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
+        self._merge()
         if self.id is None or not len(self.query):
             return
         yield pa.RecordBatch.from_arrays(

@@ -13,6 +13,19 @@ from citeloom.settings import COHORTS, PHRASINGS, QUESTION_TYPES
 _HEADS = {"recall": "recall@k", "full_coverage": "full", "mrr": "MRR", "anchor_recall": "anchor", "anchor_full": "anchF"}
 
 
+# --- fixed values: columns of the evidence table and their heads ---
+EVIDENCE_HEADS = {
+    "position": "#",
+    "document": "document",
+    "section": "section",
+    "cosine": "cosine",
+    "vector_rank": "vector rank",
+    "keyword_rank": "BM25 rank",
+    "fused_score": "fused score",
+    "found_by": "found by",
+}
+
+
 def _table(rows: list[list[str]]) -> list[str]:
     widths = [max(len(row[i]) for row in rows) for i in range(len(rows[0]))]
     lines = ["  ".join(cell.ljust(w) for cell, w in zip(row, widths)).rstrip() for row in rows]
@@ -85,12 +98,10 @@ def answer_report(results: DataFrame) -> str:
 
 def evidence_markdown(rows: DataFrame) -> str:
     """The rows of one question's ``evidence_rows`` as a markdown table."""
-    found = rows.orderBy("position").collect()
-    if not found:
-        return "_No chunks were retrieved._"
-    heads = ["#", "document", "section", "cosine", "vector rank", "BM25 rank", "fused score", "found by"]
-    fields = ["position", "document", "section", "cosine", "vector_rank", "keyword_rank", "fused_score", "found_by"]
-    lines = ["| " + " | ".join(heads) + " |", "|" + "|".join("---" for _ in heads) + "|"]
-    for row in found:
-        lines.append("| " + " | ".join(str(row[f]).replace("|", "\\|") for f in fields) + " |")
-    return "\n".join(lines)
+    shown = rows.select(F.col("position").alias("at"), *[F.replace(F.col(f).cast("string"), F.lit("|"), F.lit("\\|")).alias(f) for f in EVIDENCE_HEADS])
+    line = F.concat_ws(" | ", *[F.coalesce(f, F.lit("None")) for f in EVIDENCE_HEADS])
+    body = [r["line"] for r in shown.orderBy("at").select(line.alias("line")).collect()]
+    if not body:
+        return "Nothing was found."
+    head = " | ".join(EVIDENCE_HEADS.values())
+    return "\n".join(f"| {text} |" for text in (head, " | ".join(["---"] * len(EVIDENCE_HEADS)), *body))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citeloom.functions.text import is_blank
+from citeloom.operators.joins import with_content
 from citeloom.operators import answers, bm25, context, fusion, metrics
 from citeloom.operators.chunking import chunk_documents
 from citeloom.plans.models import Embedder, Reranker
@@ -74,8 +75,8 @@ class Retriever:
         return self.keywords.search(questions, self.pool)
 
     def _with_content(self, hits: DataFrame) -> DataFrame:
-        """Texts are joined last, so they never travel through the ranking; the list is the small side."""
-        return self.chunks().join(hits, "chunk_id")
+        """Texts are joined last, so they never travel through the ranking."""
+        return with_content(self.chunks(), hits)
 
 
 class Answerer:

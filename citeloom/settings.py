@@ -56,5 +56,5 @@ MEAN_IDF_DECIMALS = 9
 MAX_SHIPPED_QUERY_CELLS = 4_000_000
 # (query, term) weights: 1M rows are about 40 MB.
 MAX_SHIPPED_WEIGHTS = 1_000_000
-# Coarse cells of the approximate index.
-MAX_CENTROIDS = 4096
+# Scores that one block of a task may hold at a time: 4M doubles are 32 MB.
+MAX_SCORE_CELLS = 4_000_000

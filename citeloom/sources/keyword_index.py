@@ -1,36 +1,21 @@
-"""The keyword index as stored tables.
+"""The keyword index as stored tables: the postings of each chunk, the vocabulary, the corpus statistics.
 
-``postings`` is partitioned by a bucket of the term and sorted by term inside: a search reads the
-buckets of its terms alone and skips row groups that start after or end before them. A bucket with a
-very common term is written as several files.
+Postings are kept by chunk, so a search scores chunks where they lie and every task hands on its k best
+per question; terms that no question asks for are dropped as a batch is read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from citeloom.operators import bm25
 from citeloom.settings import POOL
 from citeloom.sources.tables import read_stored
 
-# Terms of a batch that are pushed down to the scan as a list; with more the join alone selects.
-_PUSHED_TERMS = 1000
-
-
-BUCKETS = 256
-_WRITE_SALTS = 16
-
-
-def _bucket() -> Column:
-    return F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int")
-
 
 def write(index: bm25.Bm25Index, path: str) -> None:
-    rows = bm25.postings(index.chunks).withColumn("bucket", _bucket())
-    salt = F.pmod(F.xxhash64("chunk_id"), F.lit(_WRITE_SALTS))
-    dealt = rows.repartition("bucket", salt).sortWithinPartitions("bucket", "term", "chunk_id")
-    dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    rows = index.chunks if "terms" in index.chunks.columns else bm25.postings(index.chunks)
+    rows.write.mode("overwrite").parquet(f"{path}/postings")
     index.terms.write.mode("overwrite").parquet(f"{path}/terms")
     stats = index.stats
     index.terms.sparkSession.createDataFrame(
@@ -39,7 +24,7 @@ def write(index: bm25.Bm25Index, path: str) -> None:
 
 
 class KeywordIndex:
-    """A stored index, searched through its postings."""
+    """A stored index."""
 
     def __init__(self, postings: DataFrame, terms: DataFrame, stats: bm25.CorpusStats):
         self.postings, self.terms, self.stats = postings, terms, stats
@@ -51,10 +36,4 @@ class KeywordIndex:
         return cls(read_stored(spark, f"{path}/postings"), read_stored(spark, f"{path}/terms"), stats)
 
     def search(self, questions: DataFrame, k: int = POOL, query_id: str = "query_id", text: str = "question") -> DataFrame:
-        weights = bm25.question_weights(self.terms, self.stats, questions, query_id, text)
-        few = weights.select("term", _bucket().alias("bucket")).distinct().limit(_PUSHED_TERMS + 1).collect()
-        rows = self.postings
-        if len(few) <= _PUSHED_TERMS:
-            buckets = sorted({r["bucket"] for r in few})
-            rows = rows.where(F.col("bucket").isin(buckets) & F.col("term").isin([r["term"] for r in few]))
-        return bm25.search_postings(rows.drop("bucket"), self.stats, weights, k)
+        return bm25.search(bm25.Bm25Index(self.postings, self.terms, self.stats), questions, k, query_id, text)

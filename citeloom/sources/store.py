@@ -19,46 +19,48 @@ from citeloom.sources.scratch import staged
 from citeloom.sources.tables import read_stored
 
 CHUNK_COLUMNS = ("chunk_id", "doc_id", "doc_title", "source_path", "section", "text", "index_text", "ordinal")
-# Up to this many vectors a cell store looks into every cell, which is exact.
-EXACT_BELOW = 10_000
 _WRITE_SALTS = 8
 
 
 def paired(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
-    """Join chunks(chunk_id, ...) with vectors(chunk_id, vector); refuse anything that does not fit."""
+    """Join chunks(chunk_id, ...) with vectors(chunk_id, vector); raise ValueError for what does not fit.
+
+    Each side is counted by id before the two meet, so an id that stands twice on a side is an error
+    and can neither multiply rows nor put one chunk's text beside another chunk's vector.
+    """
+    left = chunks.groupBy("chunk_id").agg(F.count("*").alias("n_chunks"))
+    right = vectors.groupBy("chunk_id").agg(
+        F.count("*").alias("n_vectors"),
+        F.min(F.size("vector")).alias("low_dim"),
+        F.max(F.size("vector")).alias("high_dim"),
+        F.min(norm(F.col("vector"))).alias("low_norm"),
+        F.max(norm(F.col("vector"))).alias("high_norm"),
+        F.count_if(~is_unit(F.col("vector"))).alias("not_unit"),
+    )
     found = (
-        chunks.select("chunk_id", F.lit(1).alias("is_chunk"))
-        .join(
-            vectors.select(
-                "chunk_id",
-                F.lit(1).alias("is_vector"),
-                F.size("vector").alias("dim"),
-                norm(F.col("vector")).alias("norm"),
-                is_unit(F.col("vector")).alias("unit"),
-            ),
-            "chunk_id",
-            "full",
-        )
+        left.join(right, "chunk_id", "full")
         .agg(
-            F.count("is_chunk").alias("chunks"),
-            F.count("is_vector").alias("vectors"),
-            F.count_if(F.col("is_chunk").isNull() | F.col("is_vector").isNull()).alias("lonely"),
-            F.count_if(~F.col("unit")).alias("uneven"),
-            F.min("norm").alias("least"),
-            F.max("norm").alias("most"),
-            F.min("dim").alias("narrow"),
-            F.max("dim").alias("wide"),
+            F.count_if(F.col("n_vectors").isNull()).alias("bare"),
+            F.count_if(F.col("n_chunks").isNull()).alias("spare"),
+            F.count_if((F.col("n_chunks") > 1) | (F.col("n_vectors") > 1)).alias("twice"),
+            F.min(F.when((F.col("n_chunks") > 1) | (F.col("n_vectors") > 1), F.col("chunk_id"))).alias("one"),
+            F.count("*").alias("ids"),
+            F.coalesce(F.sum("not_unit"), F.lit(0)).alias("uneven"),
+            *[F.min(c).alias(c) for c in ("low_dim", "low_norm")],
+            *[F.max(c).alias(c) for c in ("high_dim", "high_norm")],
         )
         .first()
     )
-    if found["lonely"] or found["chunks"] != found["vectors"]:
-        raise ValueError(f"{found['chunks']} chunks but {found['vectors']} vectors, {found['lonely']} without a partner")
-    if not found["chunks"]:
-        raise ValueError("refusing to add an empty batch")
-    if found["narrow"] != found["wide"]:
-        raise ValueError(f"vector dimensions range from {found['narrow']} to {found['wide']}")
+    if not found["ids"]:
+        raise ValueError("nothing to add: no chunk and no vector")
+    if found["twice"]:
+        raise ValueError(f"chunk ids must be unique, but {found['twice']} stand more than once, such as {found['one']}")
+    if found["bare"] or found["spare"]:
+        raise ValueError(f"{found['bare']} chunks lack a vector and {found['spare']} vectors lack a chunk")
+    if found["low_dim"] != found["high_dim"]:
+        raise ValueError(f"all vectors need one dimension; found {found['low_dim']} to {found['high_dim']}")
     if found["uneven"]:
-        raise ValueError(f"vectors are not unit length: norms range from {found['least']:.4f} to {found['most']:.4f}")
+        raise ValueError(f"all vectors need length 1; found {found['low_norm']:.4f} to {found['high_norm']:.4f}")
     return chunks.join(vectors.select("chunk_id", F.col("vector").cast("array<float>").alias("vector")), "chunk_id")
 
 
@@ -67,16 +69,26 @@ def _check_dimension(stored: DataFrame | None, added: DataFrame) -> None:
     old = None if stored is None else stored.select(F.size("vector")).first()
     new = added.select(F.size("vector")).first()
     if old is not None and old[0] != new[0]:
-        raise ValueError(f"vector dimension {new[0]} does not match the stored dimension {old[0]}")
+        raise ValueError(f"the store holds vectors of dimension {old[0]}; these have {new[0]}")
 
 
 def upserted(stored: DataFrame | None, added: DataFrame, key: str = "chunk_id") -> DataFrame:
-    """Stored rows whose key is not added, and the added rows."""
+    """Stored rows whose key is not added, and the added rows, one for each key.
+
+    Of added rows with one key the greatest stays, compared column by column in their order.
+    """
+    others = [c for c in added.columns if c != key]
+    added = added.groupBy(key).agg(F.max(F.struct(*others)).alias("row")).select(key, "row.*").select(added.columns)
     if stored is None:
         return added
     return stored.join(added.select(key), key, "left_anti").unionByName(added)
 
 
+def merged(stored: DataFrame | None, added: DataFrame, key: str = "chunk_id") -> DataFrame:
+    """``upserted`` for added rows whose keys are known to be unique."""
+    return added if stored is None else stored.join(added.select(key), key, "left_anti").unionByName(added)
+
+
 def latest(rows: DataFrame, key: str, version: str) -> DataFrame:
     """The newest row of every key. ``max_by`` keeps one row per key in each map task already."""
     others = [c for c in rows.columns if c != key]
@@ -93,12 +105,12 @@ class TableStore:
     def add(self, chunks: DataFrame, vectors: DataFrame) -> None:
         added = staged(paired(chunks, vectors), "added")
         _check_dimension(self.rows, added)
-        self.rows = staged(upserted(self.rows, added), "store")
+        self.rows = staged(merged(self.rows, added), "store")
 
     def search(self, questions: DataFrame, k: int = POOL) -> DataFrame:
         """questions(query_id, vector) to query_id, chunk_id, score, rank."""
         if self.rows is None:
-            raise ValueError("the store is empty")
+            return knn.no_hits(questions)
         return knn.exact_topk(self.rows, questions, k)
 
     def chunks(self) -> DataFrame:
@@ -116,9 +128,13 @@ class TableStore:
 
 
 class CellStore:
-    """Approximate search; bound to one folder, which ``add`` writes."""
+    """Search by cells; bound to one folder, which ``add`` writes.
+
+    ``probes`` is how many nearest cells a question looks into. None, the default, is all of them,
+    which is exact; any number holds however many rows there are.
+    """
 
-    def __init__(self, spark: SparkSession, path: str, probes: int = 8):
+    def __init__(self, spark: SparkSession, path: str, probes: int | None = None):
         self.spark, self.path, self.probes = spark, path, probes
 
     def _versions(self) -> DataFrame | None:
@@ -141,7 +157,7 @@ class CellStore:
         kept = None if stored is None else stored.drop("cell")
         added = staged(paired(chunks, vectors), "added")
         _check_dimension(kept, added)
-        rows = staged(upserted(kept, added), "cells")
+        rows = staged(merged(kept, added), "cells")
         centroids = staged(knn.pick_centroids(rows.select("chunk_id", "vector")), "centroids")
         # A new folder per version, named last: a lost job leaves the former version in use.
         known = self._versions()
@@ -161,12 +177,10 @@ class CellStore:
     def search(self, questions: DataFrame, k: int = POOL) -> DataFrame:
         folder = self._current()
         if folder is None:
-            raise ValueError("the store is empty")
+            return knn.no_hits(questions)
         centroids = read_stored(self.spark, f"{folder}/centroids")
         cells = self.rows()
-        probes = self.probes
-        if cells.count() <= EXACT_BELOW:
-            probes = max(1, centroids.count())
+        probes = max(1, centroids.count()) if self.probes is None else self.probes
         return knn.cell_topk(cells.select("chunk_id", "vector", "cell"), centroids, questions, k, probes)
 
     def chunks(self) -> DataFrame:
@@ -180,9 +194,9 @@ class CellStore:
     def persist(self, path: str) -> None:
         """``add`` has already written; only the bound folder can be named."""
         if path != self.path:
-            raise ValueError(f"this store is bound to {self.path}; it cannot persist to {path}")
+            raise ValueError(f"rows are kept in {self.path} and are not copied to {path}")
 
     @classmethod
-    def load(cls, spark: SparkSession, path: str, probes: int = 8) -> "CellStore":
+    def load(cls, spark: SparkSession, path: str, probes: int | None = None) -> "CellStore":
         read_stored(spark, f"{path}/current")
         return cls(spark, path, probes)

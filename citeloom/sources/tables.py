@@ -6,7 +6,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
-_SMALL_FILES = 64
+#: Session setting: number of tasks over which small inputs are dealt out.
+SPREAD = "spark.citeloom.inputPartitions"
 
 
 def read_stored(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:
@@ -27,13 +28,10 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def read_spread(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
     """Read for per-row work that costs much more than reading (tokenising, chunking).
 
-    A table of one or a few files with one row group each would be worked on by as many cores. Only
-    such a table is dealt out over the cores; a table of many files has enough tasks as it is, and
-    shuffling its text would cost more than it gains.
+    A table in one row group is one task, however many cores there are. A session that reads such
+    tables says in SPREAD over how many tasks the rows are dealt out; unset, nothing is shuffled.
     """
     frame = read_table(spark, folder, name)
     frame = frame.select(*columns) if columns else frame
-    cores = spark.sparkContext.defaultParallelism
-    if len(frame.inputFiles()) >= min(cores, _SMALL_FILES):
-        return frame
-    return frame.repartition(cores)
+    parts = int(spark.conf.get(SPREAD, "0"))
+    return frame.repartition(parts) if parts else frame

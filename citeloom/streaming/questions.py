@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from citeloom.plans.retrieval import Retriever
-from citeloom.sources.scratch import staged
+from citeloom.sources.scratch import released, staged
 
 
 def retrieve_stream(
@@ -26,9 +26,10 @@ def retrieve_stream(
     def handle(batch: DataFrame, number: int) -> None:
         if batch.isEmpty():
             return
-        asked = staged(batch, "questions")
-        found = retriever.retrieve(asked, k, mode).drop("vector").withColumn("batch", F.lit(number))
-        found.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(output)
+        with released(batch.sparkSession):
+            asked = staged(batch, "questions")
+            found = retriever.retrieve(asked, k, mode).drop("vector").withColumn("batch", F.lit(number))
+            found.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(output)
 
     return (
         questions.writeStream.foreachBatch(handle)

@@ -105,10 +105,10 @@ def test_conflict_rates_leave_out_underspecified_questions(spark):
         (question("q", "riddle"), "unknown type"),
         (question("q", phrasing="verse"), "unknown phrasing"),
         (question("q", cohort="later"), "unknown cohort"),
-        (question("q", docs=[]), "needs expected_documents"),
-        (question("q", "unanswerable", ["a"], []), "must not expect"),
-        (question("q", anchors=[]), "at least one anchor"),
-        (question("q", "unanswerable", [], ["x"]), "must not have anchors"),
+        (question("q", docs=[]), "names no expected"),
+        (question("q", "unanswerable", ["a"], []), "names expected documents"),
+        (question("q", anchors=[]), "has no anchor"),
+        (question("q", "unanswerable", [], ["x"]), "has anchor texts"),
         (question("p"), "duplicate"),
     ],
 )

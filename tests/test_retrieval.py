@@ -56,7 +56,7 @@ def test_end_to_end(spark, folder, embedder):
 
     table = reports.evidence_markdown(fusion.evidence_rows(hits.where("query_id = 'q1'"))).splitlines()
     assert table[0].startswith("| # | document | section |") and len(table) == 5
-    assert reports.evidence_markdown(fusion.evidence_rows(hits.limit(0))) == "_No chunks were retrieved._"
+    assert reports.evidence_markdown(fusion.evidence_rows(hits.limit(0))) == "Nothing was found."
 
     results = retrieval.evaluate_modes(retriever, questions, 3)
     alone = {r["query_id"]: r["recall"] for r in retrieval.evaluate_retrieval(retriever, questions, 3, "keyword").collect()}
@@ -65,7 +65,7 @@ def test_end_to_end(spark, folder, embedder):
 
     answerer = retrieval.Answerer(retriever, "g", stub_complete)
     scored = {r["query_id"]: r for r in retrieval.evaluate_answers(answerer, questions, 3).collect()}
-    assert scored["q1"]["facts_found"] == 1 and scored["q1"]["invalid_citations"] == [9]
+    assert scored["q1"]["facts_found"] == 1 and scored["q1"]["invalid_citations"] == ["9"]
     assert scored["q3"]["refused"] and scored["q3"]["refusal_correct"]
     with pytest.raises(ValueError, match="empty"):
         answerer.answer(spark.createDataFrame([("e", "  ")], "query_id string, question string"))
@@ -128,15 +128,18 @@ def test_stores_refuse_what_does_not_fit(spark):
     chunks, vectors = chunk_rows(spark, 4)
     target = store.TableStore()
     for bad_chunks, bad_vectors, message in (
-        (chunks, vectors.where("chunk_id <> 'd::001'"), "without a partner"),
-        (chunks.limit(0), vectors.limit(0), "empty batch"),
-        (chunks, vectors.withColumn("vector", F.transform("vector", lambda x: x * 2)), "unit length"),
-        (chunks, vectors.withColumn("vector", F.when(F.col("chunk_id") == "d::000", F.array(F.lit(1.0).cast("float"))).otherwise(F.col("vector"))), "dimensions"),
+        (chunks, vectors.where("chunk_id <> 'd::001'"), "lack a vector"),
+        (chunks.unionByName(chunks.limit(1)), vectors, "unique"),
+        (chunks, vectors.unionByName(vectors.limit(1)), "unique"),
+        (chunks.unionByName(chunks.limit(1)), vectors.unionByName(vectors.limit(1)), "unique"),
+        (chunks.limit(0), vectors.limit(0), "nothing to add"),
+        (chunks, vectors.withColumn("vector", F.transform("vector", lambda x: x * 2)), "length 1"),
+        (chunks, vectors.withColumn("vector", F.when(F.col("chunk_id") == "d::000", F.array(F.lit(1.0).cast("float"))).otherwise(F.col("vector"))), "one dimension"),
     ):
         with pytest.raises(ValueError, match=message):
             target.add(bad_chunks, bad_vectors)
     target.add(chunks, vectors)
-    with pytest.raises(ValueError, match="does not match"):
+    with pytest.raises(ValueError, match="holds vectors of dimension"):
         target.add(*chunk_rows(spark, 2, dim=4))
 
 
@@ -145,8 +148,7 @@ def test_stores_replace_persist_and_reload(spark, tmp_path, kind):
     path = str(tmp_path / kind)
     target = store.TableStore() if kind == "table" else store.CellStore(spark, path)
     assert target.count() == 0
-    with pytest.raises(ValueError, match="empty"):
-        target.search(chunk_rows(spark, 1)[1].withColumnRenamed("chunk_id", "query_id"))
+    assert target.search(chunk_rows(spark, 1)[1].withColumnRenamed("chunk_id", "query_id")).count() == 0
     target.add(*chunk_rows(spark, 40))
     target.add(*chunk_rows(spark, 10, seed=2))
     assert target.count() == 40
@@ -167,9 +169,9 @@ def test_the_two_stores_agree_and_a_cell_store_is_bound_to_its_folder(spark, tmp
         target.add(*chunk_rows(spark, 60))
     asked = chunk_rows(spark, 5, seed=4)[1].withColumnRenamed("chunk_id", "query_id")
     assert sorted(map(str, table.search(asked, 10).collect())) == sorted(map(str, cells.search(asked, 10).collect()))
-    with pytest.raises(ValueError, match="does not match"):
+    with pytest.raises(ValueError, match="holds vectors of dimension"):
         cells.add(*chunk_rows(spark, 2, dim=4))
-    with pytest.raises(ValueError, match="bound to"):
+    with pytest.raises(ValueError, match="not copied"):
         cells.persist(str(tmp_path / "elsewhere"))
     with pytest.raises(ValueError, match="unknown store"):
         retrieval.build_retriever(spark, "x", None, store="shelf")

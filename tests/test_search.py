@@ -79,8 +79,9 @@ def test_bm25_is_the_published_formula(index, questions):
 def test_all_ways_to_search_agree(spark, index, questions, tmp_path):
     shipped = lists(bm25.search(index, questions, 3))
     grid = lists(bm25.search(index, questions, 3, max_weights=2))
-    weights = bm25.question_weights(index.terms, index.stats, questions, "query_id", "question")
-    joined = lists(bm25.search_postings(bm25.postings(index.chunks), index.stats, weights, 3))
+    counted = bm25.Bm25Index(bm25.postings(index.chunks), index.terms, index.stats)
+    joined = lists(bm25.search(counted, questions, 3))
+    assert lists(bm25.search(counted, questions, 3, max_weights=2)) == grid
     write(index, str(tmp_path / "keywords"))
     stored = lists(KeywordIndex.load(spark, str(tmp_path / "keywords")).search(questions, 3))
     assert shipped == grid == joined == stored
@@ -165,11 +166,39 @@ def test_small_cells_are_topped_up(spark, stored, asked):
     assert {len(hits) for hits in lists(knn.cell_topk(cells, centroids, asked, 400, probes=1)).values()} == {300}
 
 
-def test_survivors_of_many_tasks_are_merged_in_two_rounds(spark, stored, asked, index, questions):
+def test_survivors_of_many_tasks_are_merged_in_two_rounds(spark, stored, asked):
     partial = knn.exact_topk(stored, asked, 10).drop("rank")
-    once, twice = topk.merge(partial, stored, 4), topk.merge(partial, stored, 4, wide_input=0)
-    assert lists(once) == lists(twice)
-    assert "part" not in twice.columns
+    twice = topk.merge(partial, 4)
+    assert lists(topk.rank_within(partial, "query_id", "score", "chunk_id", 4)) == lists(twice)
+    assert twice.columns == ["query_id", "chunk_id", "score", "rank"]
+
+
+def test_survivors_wait_for_few_merges():
+    rng = np.random.default_rng(1)
+    scores = np.round(rng.random((3000, 40)), 2)
+    whole, best = topk.BestPerQuery(40, 7, -np.inf), topk.BestPerQuery(40, 7, -np.inf)
+    whole.offer(scores, np.arange(3000))
+    for low in range(0, 3000, 11):
+        best.offer(scores[low : low + 11], np.arange(low, min(low + 11, 3000)))
+    for kept in (whole, best):
+        kept._merge()
+    assert (whole.query == best.query).all() and (whole.id == best.id).all() and (whole.score == best.score).all()
+    for q in range(40):
+        want = np.lexsort((np.arange(3000), -scores[:, q]))[:7]
+        assert best.id[best.query == q].tolist() == want.tolist()
+
+
+def test_postings_leave_no_pairs_and_no_term_exchange(spark, index, questions):
+    counted = bm25.Bm25Index(bm25.postings(index.chunks), index.terms, index.stats)
+    plan = bm25.search(counted, questions, 3)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "hashpartitioning(term" not in plan
+
+
+def test_more_centroids_than_are_shipped(spark, stored):
+    centroids = knn.pick_centroids(stored, 60)
+    one, other = knn.assign_cells(stored, centroids), knn.assign_cells(stored, centroids, max_cells=100, shard_rows=20)
+    both = one.select("chunk_id", "cell").join(other.select("chunk_id", F.col("cell").alias("again")), "chunk_id")
+    assert both.count() == stored.count() and both.where("cell <> again").count() == 0
 
 
 def test_chunks_without_text_are_counted_as_empty(spark):

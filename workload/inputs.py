@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from citeloom.functions.text import sentences
 from citeloom.operators import bm25, knn
 from citeloom.operators.chunking import chunk_documents
+from citeloom.operators.joins import with_content
 from citeloom.settings import POOL
 from citeloom.sources.documents import structured
 from citeloom.sources.tables import read_spread, read_table
@@ -156,7 +157,7 @@ def golden(spark: SparkSession, folder: str) -> DataFrame:
             F.when(answerable, F.slice(F.split("question", " "), 2, 2)).otherwise(none).alias("expected_facts"),
             F.lit("").alias("expected_answer"),
             F.when(F.substring("question", 1, 1) < "N", "prose").otherwise("code").alias("phrasing"),
-            F.when(answerable, F.slice(sentences(F.col("question")), 1, 2)).otherwise(none).alias("anchors"),
+            F.when(answerable, sentences(F.col("question"))).otherwise(none).alias("anchors"),
             F.when(F.length("question") % 2 == 0, "original").otherwise("extended").alias("cohort"),
         )
     )
@@ -197,7 +198,7 @@ def with_documents(spark: SparkSession, folder: str, hits: DataFrame) -> DataFra
         F.concat(F.col("source"), F.lit(".txt")).alias("source_path"),
         "text",
     )
-    return payload.join(hits, "chunk_id")
+    return with_content(payload, hits)
 
 
 # --- model responses ---------------------------------------------------------------------------

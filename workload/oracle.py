@@ -328,7 +328,7 @@ gold AS MATERIALIZED (SELECT item_id AS query_id, text AS question,
     CASE WHEN length(text) % 2 = 0 THEN 'original' ELSE 'extended' END AS cohort,
     coalesce(docs, []::VARCHAR[]) AS expected_documents,
     CASE WHEN docs IS NULL THEN []::VARCHAR[] ELSE string_split(text, ' ')[2:3] END AS expected_facts,
-    CASE WHEN docs IS NULL THEN []::VARCHAR[] ELSE ({sentences('text', 'gs')})[1:2] END AS anchors
+    CASE WHEN docs IS NULL THEN []::VARCHAR[] ELSE ({sentences('text', 'gs')}) END AS anchors
   FROM benchmark LEFT JOIN expd ON query_id = item_id)"""
 
 
@@ -522,12 +522,14 @@ def oracle_sql() -> dict[str, str]:
     q["bm25_topk"] = f"WITH {bm25(DOCS)} SELECT * FROM hits"
     q["bm25_postings"] = q["bm25_topk"]
     q["bm25_grid"] = q["bm25_topk"]
+    q["bm25_stored"] = q["bm25_topk"]
     q["bm25_chunks"] = f"WITH {bm25(f'SELECT chunk_id, index_text AS text FROM ({chunks(PLAIN)})')} SELECT * FROM hits"
 
     q["vector_norms"] = f"""SELECT vec_id AS chunk_id, round(n, 6) AS norm, abs(n - 1) <= 1e-3 + 1e-5 AS unit, abs(2 * n - 1) <= 1e-3 + 1e-5 AS doubled_unit,
       round((embedding[1]::DOUBLE / n)::FLOAT::DOUBLE, 7) AS first, round({dot('embedding', 'list_reverse(embedding)')}, 6) AS mirrored
       FROM (SELECT *, sqrt({dot('embedding', 'embedding')}) AS n FROM embeddings)"""
     q["vector_topk"] = f"WITH {vector_hits()} SELECT * FROM vhits"
+    q["stored_topk"] = q["vector_topk"]
     q["vector_neighbours"] = f"""SELECT * FROM (SELECT query_id, chunk_id, score,
         CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INT) AS rank FROM (
       SELECT q.vec_id AS query_id, e.vec_id AS chunk_id, round({dot('e.embedding', 'q.embedding')}, 8) AS score FROM embeddings q, embeddings e)) WHERE rank <= 10"""
@@ -594,10 +596,10 @@ def oracle_sql() -> dict[str, str]:
     q["golden_problems"] = f"""WITH {GOLDEN}, dm AS (SELECT query_id, CASE WHEN cohort = 'extended' THEN 'unanswerable' ELSE type END AS type, expected_documents,
         CASE WHEN phrasing = 'code' THEN []::VARCHAR[] ELSE anchors END AS anchors, unnest(range(0, length(question) % 3 + 1)) AS copy FROM gold)
       SELECT query_id, problem FROM (SELECT query_id, CASE
-        WHEN {_ANSWERABLE} AND len(expected_documents) = 0 THEN 'an answerable question needs expected_documents'
-        WHEN NOT {_ANSWERABLE} AND len(expected_documents) > 0 THEN 'an unanswerable question must not expect any document'
-        WHEN {_ANSWERABLE} AND len(anchors) = 0 THEN 'an answerable question needs at least one anchor'
-        WHEN NOT {_ANSWERABLE} AND len(anchors) > 0 THEN 'an unanswerable question must not have anchors' END AS problem FROM dm) WHERE problem IS NOT NULL
+        WHEN {_ANSWERABLE} AND len(expected_documents) = 0 THEN 'answerable, but names no expected document'
+        WHEN NOT {_ANSWERABLE} AND len(expected_documents) > 0 THEN 'unanswerable, but names expected documents'
+        WHEN {_ANSWERABLE} AND len(anchors) = 0 THEN 'answerable, but has no anchor text'
+        WHEN NOT {_ANSWERABLE} AND len(anchors) > 0 THEN 'unanswerable, but has anchor texts' END AS problem FROM dm) WHERE problem IS NOT NULL
       UNION ALL SELECT query_id, 'duplicate question id' FROM dm GROUP BY query_id HAVING count(*) > 1"""
 
     scored = f"{BOTH},{EVIDENCE},{fused()},{PAYLOAD},{GOLDEN},{results('SELECT * FROM fu JOIN pay USING (chunk_id)', 'rr')}"
@@ -637,6 +639,22 @@ def oracle_sql() -> dict[str, str]:
     q["cache_vectors"] = f"""WITH {CACHE} SELECT doc_id, round(vector[1]::DOUBLE, 7) AS first
       FROM keyed k LEFT JOIN (SELECT key, vector FROM cache WHERE len(vector) = 64) c ON c.key = k.key"""
     q["cache_misses"] = f"WITH {CACHE} SELECT DISTINCT key, length(text) AS chars FROM keyed WHERE key NOT IN (SELECT key FROM usable)"
+    q["upsert_repeated"] = """SELECT doc_id, source AS role FROM documents WHERE doc_id NOT IN (SELECT conv_id FROM conversations)
+      UNION ALL SELECT conv_id, max(role || '-' || turn) FROM conversations GROUP BY conv_id"""
+    big = "99999999999999999999"
+    removed = f"CASE WHEN n > {PASSAGES} THEN replace(replace(raw, '[{big}]', ''), '[' || n || ']', '') ELSE replace(raw, '[{big}]', '') END"
+    tidy = strip(f"replace(replace(regexp_replace({removed}, '[ \\t]{{2,}}', ' ', 'g'), ' .', '.'), ' ,', ',')")
+    far = f"CASE WHEN n > {PASSAGES} THEN [n] ELSE []::BIGINT[] END"
+    near = "CASE WHEN d = 0 THEN [0] ELSE []::BIGINT[] END"
+    high = f"CASE WHEN d > {PASSAGES} AND d <> n THEN [d] ELSE []::BIGINT[] END"
+    q["citation_numbers_any_size"] = f"""WITH a AS (
+      SELECT conv_id || '-' || turn AS query_id, {strip(f"text || ' see [{big}] and [' || (turn + 1) || ']'")} AS raw, turn + 1 AS n, conv_id % 7 AS d FROM conversations)
+      SELECT query_id, md5({tidy}) AS digest, array_to_string(list_concat(
+          CASE WHEN n <= {PASSAGES} THEN [n] ELSE []::BIGINT[] END,
+          CASE WHEN d BETWEEN 1 AND {PASSAGES} AND d <> n THEN [d] ELSE []::BIGINT[] END), ',') AS citations,
+        array_to_string(list_concat({near}, list_sort(list_concat({far}, {high}))), ',')
+          || CASE WHEN d = 0 OR n > {PASSAGES} OR d > {PASSAGES} THEN ',' ELSE '' END || '18446744073709551616,{big}' AS invalid_citations,
+        false AS grounded FROM a"""
     q["upsert_latest"] = """SELECT conv_id, turn, role, md5(text) AS digest FROM (
       SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM conversations) WHERE rn = 1"""
     q["upsert_merge"] = """SELECT doc_id, md5(text) AS digest, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import wraps
 
@@ -14,9 +15,9 @@ from citeloom.operators import answers, bm25, chunking, context, embedding, fusi
 from citeloom.operators.topk import rounded
 from citeloom.settings import DOCUMENT_TASK, MAX_RETRY_WAIT, RETRIEVAL_MODES, TOP_K
 from citeloom.sources import golden as golden_source
-from citeloom.sources import store
+from citeloom.sources import keyword_index, store
 from citeloom.sources.documents import structured
-from citeloom.sources.scratch import staged
+from citeloom.sources.scratch import shared_folder, staged
 from citeloom.sources.tables import read_table
 from workload import inputs
 
@@ -197,10 +198,18 @@ def bm25_topk(spark, folder):
 
 @query
 def bm25_postings(spark, folder):
-    """The same lists by way of the postings join."""
+    """The same lists from each chunk's postings."""
     index = bm25.build(inputs.documents(spark, folder, "doc_id", "text"), "doc_id", "text")
-    weights = bm25.question_weights(index.terms, index.stats, inputs.questions(spark, folder), "query_id", "question")
-    return bm25.search_postings(bm25.postings(index.chunks), index.stats, weights, 20)
+    counted = bm25.Bm25Index(bm25.postings(index.chunks), index.terms, index.stats)
+    return bm25.search(counted, inputs.questions(spark, folder), 20)
+
+
+@query
+def bm25_stored(spark, folder):
+    """The same lists from an index that was written and read again."""
+    path = f"{shared_folder(spark)}/keyword-index-{uuid.uuid4().hex}"
+    keyword_index.write(bm25.build(inputs.documents(spark, folder, "doc_id", "text"), "doc_id", "text"), path)
+    return keyword_index.KeywordIndex.load(spark, path).search(inputs.questions(spark, folder), 20)
 
 
 @query
@@ -256,10 +265,21 @@ def vector_neighbours_grid(spark, folder):
 
 @query
 def ann_topk(spark, folder):
+    """Through the stored cells: written by ``add``, opened again, only probed partitions read."""
+    path = f"{shared_folder(spark)}/cell-store-{uuid.uuid4().hex}"
     stored = inputs.vectors(spark, folder)
-    centroids = knn.pick_centroids(stored)
-    cells = staged(knn.assign_cells(stored, centroids), "cells")
-    return knn.cell_topk(cells, centroids, inputs.question_vectors(spark, folder), 20, probes=8)
+    store.CellStore(spark, path).add(stored.select("chunk_id"), stored)
+    return store.CellStore.load(spark, path, probes=8).search(inputs.question_vectors(spark, folder), 20)
+
+
+@query
+def stored_topk(spark, folder):
+    """Exact lists from a table store that was written and opened again."""
+    path = f"{shared_folder(spark)}/table-store-{uuid.uuid4().hex}"
+    stored, target = inputs.vectors(spark, folder), store.TableStore()
+    target.add(stored.select("chunk_id"), stored)
+    target.persist(path)
+    return store.TableStore.load(spark, path).search(inputs.question_vectors(spark, folder), 20)
 
 
 @query
@@ -589,6 +609,31 @@ def upsert_latest(spark, folder):
     return store.latest(turns, "conv_id", "turn").select("conv_id", "turn", "role", F.md5("text").alias("digest"))
 
 
+@query
+def upsert_repeated(spark, folder):
+    """Added rows whose key repeats: the conversations of every document number, one of each stays."""
+    stored = inputs.documents(spark, folder, "doc_id", "source").withColumnRenamed("source", "role")
+    turns = read_table(spark, folder, "conversations").select(F.col("conv_id").alias("doc_id"), F.concat("role", F.lit("-"), "turn").alias("role"))
+    return store.upserted(stored, turns, "doc_id")
+
+
+@query
+def citation_numbers_any_size(spark, folder):
+    """Every turn as an answer that cites a number beyond 64 bits, its turn and, declared, a large one."""
+    turn = F.col("turn")
+    answer = F.concat("text", F.lit(" see [99999999999999999999] and ["), turn + 1, F.lit("]"))
+    body = F.to_json(F.struct(answer.alias("answer"), F.lit(False).alias("refused"), F.lit(False).alias("conflict")))
+    declared = F.concat(F.lit(', "citations": [18446744073709551616, '), F.col("conv_id") % 7, F.lit("]}"))
+    rows = read_table(spark, folder, "conversations").select(
+        F.concat("conv_id", F.lit("-"), "turn").alias("query_id"),
+        F.lit(inputs.PASSAGES).alias("passages"),
+        F.concat(F.substring(body, F.lit(1), F.length(body) - 1), declared).alias("response"),
+    )
+    return answers.validate(rows).select(
+        "query_id", F.md5("text").alias("digest"), _joined("citations"), _joined("invalid_citations"), "grounded"
+    )
+
+
 @query
 def upsert_merge(spark, folder):
     stored = inputs.documents(spark, folder, "doc_id", "text", "source")
