@@ -9,6 +9,8 @@ _GAP[[0x20, 9, 10, 11, 12, 13]] = True
 _BASE = 0x9E3779B97F4A7C15 | 5
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _BYTE = np.random.default_rng(20240229).integers(0, 1 << 64, 256, dtype=np.uint64)
+#: Enough for a slice of text; longer texts get theirs made for them.
+_KEPT_POWERS = (1 << 20) + 4096
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -24,11 +26,11 @@ def mixed(values: np.ndarray) -> np.ndarray:
 def _powers_of(base: int, n: int) -> np.ndarray:
     have = _powers.get(base)
     if have is None or len(have) < n:
-        size = max(n, 1 << 21)
+        size = max(n, _KEPT_POWERS)
         have = np.ones(size, np.uint64)
         have[1:] = np.uint64(base)
         have = np.multiply.accumulate(have)
-        if size == 1 << 21:
+        if size == _KEPT_POWERS:
             _powers[base] = have
     return have[:n]
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from citeloom.deploy import ship
 from citeloom.sources.scratch import shared_folder, staged
 
 #: Words are what stands between these characters.
@@ -20,6 +21,17 @@ GAP = r"[\x20\x09-\x0D]+"
 SLICE_BYTES = 1 << 20
 
 
+#: Bytes of rows that Spark hands to a Python task in one batch. Its own default, 64 MB, is held
+#: several times over (in the JVM, in Arrow, as Python objects) by every core.
+BATCH_BYTES = "4m"
+
+
+def prepare(spark: SparkSession) -> None:
+    """Make the package importable in the tasks, and bound what they are handed at a time."""
+    ship(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def with_columns(schema: StructType, drop: str, added: str) -> StructType:
     """The schema without one column, and the columns of a DDL string after it."""
     return StructType([f for f in schema.fields if f.name != drop] + StructType.fromDDL(added).fields)

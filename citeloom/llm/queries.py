@@ -9,8 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeloom.deploy import ship
 from citeloom.llm import crosspolytope, licenses, mixing, multiset, pieces, quality, simhash, substring, token_lengths, toxicity
+from citeloom.llm.frames import prepare
 from citeloom.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,7 +22,7 @@ MODEL = "piece_bpe_32k.model"
 def query(function: Query) -> Query:
     @wraps(function)
     def shipped(spark: SparkSession, folder: str) -> DataFrame:
-        ship(spark)
+        prepare(spark)
         return function(spark, folder)
 
     REGISTRY[function.__name__] = shipped

@@ -38,9 +38,10 @@ from citeloom.sources.scratch import staged
 
 SPAN = 13
 GRAM = 4
-#: 16 MB.
-BITS = 1 << 27
-SHARD = 4096
+#: 8 MB.
+BITS = 1 << 26
+#: References in a shard, about.
+SHARD = 2048
 CROWD = 1024
 
 
@@ -233,15 +234,19 @@ def repeats(docs: DataFrame) -> DataFrame:
     return hits.groupBy("doc_id", "digest").agg(F.flatten(F.collect_list("places")).alias("starts"))
 
 
-def _chosen(docs: DataFrame, ids: Broadcast, inside: bool) -> DataFrame:
-    """The rows whose doc_id the bitmap of ids has, or the others; null ids are among the others."""
+def _held(part: pa.RecordBatch, ids: Broadcast) -> np.ndarray:
+    """Whether the bitmap of ids has each row's doc_id; it has no null."""
+    column = part.column("doc_id").cast(pa.int64())
+    key = flat.mixed(column.fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64))
+    return ids.value.holds(key) & column.is_valid().to_numpy(zero_copy_only=False)
+
+
+def _chosen(docs: DataFrame, ids: Broadcast) -> DataFrame:
+    """The rows whose doc_id the bitmap of ids has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
-            column = part.column("doc_id").cast(pa.int64())
-            key = flat.mixed(column.fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64))
-            held = ids.value.holds(key) & column.is_valid().to_numpy(zero_copy_only=False)
-            yield part.filter(pa.array(held == inside))
+            yield part.filter(pa.array(_held(part, ids)))
 
     return docs.mapInArrow(run, docs.schema)
 
@@ -264,15 +269,15 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     marked = staged(repeats(docs), "repeats").withColumnsRenamed({"doc_id": "_id", "digest": "_digest", "starts": "_starts"})
     # Only documents that may have repeats are shuffled to meet them.
     ids = bitmap_of(_id_keys(marked))
-    joined = _chosen(docs, ids, True).join(
+    joined = _chosen(docs, ids).join(
         marked, (F.col("doc_id") == F.col("_id")) & (digest(F.col("text")) == F.col("_digest")), "left"
     )
-    others = _chosen(docs, ids, False).withColumn("_starts", F.lit(None).cast("array<int>"))
-    rows = others.unionByName(joined.drop("_id", "_digest"))
-    names = [c for c in rows.columns if c != "_starts"]
+    names = docs.columns
+    none = F.lit(None).cast("array<int>").alias("_starts")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch], ids: Broadcast | None = None) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
+            part = part if ids is None else part.filter(pa.array(~_held(part, ids)))
             total, removed, kept = [], [], []
             for text, starts in zip(part.column("text").to_pylist(), part.column("_starts").to_pylist()):
                 words = text.encode().split() if text else []
@@ -293,7 +298,9 @@ def without_repeats(docs: DataFrame) -> DataFrame:
                 names=[*names, "_words", "_removed", "_kept"],
             )
 
-    return rows.mapInArrow(run, with_columns(rows.schema, "_starts", "_words bigint, _removed bigint, _kept string"))
+    schema = with_columns(docs.schema, "", "_words bigint, _removed bigint, _kept string")
+    others = docs.select("*", none).mapInArrow(lambda batches: run(batches, ids), schema)
+    return others.unionByName(joined.drop("_id", "_digest").mapInArrow(run, schema))
 
 
 SQL = """
