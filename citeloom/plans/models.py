@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citeloom.operators import context, embedding, rerank
-from citeloom.plans.prompts import DEFAULT_RERANK_PROMPT, RERANK_PROMPTS
+from citeloom.plans.prompts import DEFAULT_RERANK_PROMPT, RERANK_PROMPTS, RERANK_SCHEMA
 from citeloom.providers import TextModel, complete
 from citeloom.settings import DOCUMENT_TASK, EMBED_BATCH, EMBEDDING_DIM, QUERY_TASK, TOP_K
 from citeloom.sources import caches
@@ -63,7 +63,7 @@ class Embedder:
 
 
 class Reranker:
-    """Orderings for candidate lists, by way of a cache table at ``cache``."""
+    """Orderings for candidate lists, by way of a cache table at ``cache`` and of given JSON files."""
 
     def __init__(
         self,
@@ -73,20 +73,30 @@ class Reranker:
         answer: TextModel | None = None,
         prompt: str = DEFAULT_RERANK_PROMPT,
         prompts: dict[str, str] = RERANK_PROMPTS,
+        files: str | None = None,
     ):
         if prompt not in prompts:
             raise ValueError(f"unknown reranker prompt {prompt!r}; expected one of {list(prompts)}")
         self.spark, self.model, self.cache, self.answer = spark, model, cache, answer
         self.prompt_name, self.prompt = prompt, prompts[prompt]
+        self.files = files
         self.cache_hits = 0
         self.api_calls = 0
 
+    def _stored(self) -> DataFrame:
+        """The cache table, and orderings in ``files`` (a folder of JSON files) that it lacks."""
+        table = caches.read_ordering_table(self.spark, self.cache)
+        if self.files is None:
+            return table
+        more = caches.read_orderings(self.spark, self.files).join(table.select("key"), "key", "left_anti")
+        return table.unionByName(more)
+
     def rerank(self, candidates: DataFrame, questions: DataFrame, k: int = TOP_K) -> DataFrame:
         """candidates(query_id, rank, chunk_id, doc_title, section, text, ...) reordered, k kept."""
         if k <= 0:
             return candidates.limit(0)
         wanted = rerank.requests(candidates, questions, self.model, self.prompt)
-        stored = caches.read_ordering_table(self.spark, self.cache)
+        stored = self._stored()
         missing = staged(rerank.missing_orderings(wanted, stored), "requests")
         total, absent = wanted.where(F.size("candidates") > 1).count(), missing.count()
         self.cache_hits += total - absent
@@ -97,7 +107,7 @@ class Reranker:
                 )
             asked = candidates.join(missing.select("query_id"), "query_id", "left_semi")
             prompts = context.rerank_prompts(missing.select("query_id", "question"), asked)
-            responses = missing.join(complete(prompts, self.answer, self.prompt), "query_id")
+            responses = missing.join(complete(prompts, self.answer, self.prompt, RERANK_SCHEMA), "query_id")
             orders = rerank.orderings_of_responses(responses)
             rows = missing.join(orders, "key").select(
                 "key", F.lit(self.model).alias("model"), F.lit(self.prompt_name).alias("prompt"),
@@ -105,5 +115,5 @@ class Reranker:
             )
             caches.append_orderings(staged(rows, "orderings"), self.cache)
             self.api_calls += absent
-            stored = caches.read_ordering_table(self.spark, self.cache)
+            stored = self._stored()
         return rerank.rerank(candidates, questions, stored, self.model, self.prompt, k)

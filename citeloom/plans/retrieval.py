@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citeloom.functions.text import is_blank
-from citeloom.operators.joins import with_content
 from citeloom.operators import answers, bm25, context, fusion, metrics
 from citeloom.operators.chunking import chunk_documents
+from citeloom.operators.joins import with_content
 from citeloom.plans.models import Embedder, Reranker
-from citeloom.plans.prompts import ANSWER_SYSTEM
+from citeloom.plans.prompts import ANSWER_SCHEMA, ANSWER_SYSTEM
 from citeloom.providers import TextModel, complete
 from citeloom.settings import POOL, RETRIEVAL_MODES, RRF_CONSTANT, TOP_K
 from citeloom.sources.documents import load_documents
@@ -90,7 +90,7 @@ class Answerer:
         if not questions.where(is_blank(F.col("question"))).isEmpty():
             raise ValueError("a question is empty")
         hits = staged(self.retriever.retrieve(questions, k), "hits")
-        responses = staged(complete(context.answer_prompts(questions, hits), self._answer, ANSWER_SYSTEM), "responses")
+        responses = staged(complete(context.answer_prompts(questions, hits), self._answer, ANSWER_SYSTEM, ANSWER_SCHEMA), "responses")
         given = hits.groupBy("query_id").agg(F.count("*").cast("int").alias("passages"))
         checked = answers.validate(
             responses.join(given, "query_id", "left").fillna(0, ["passages"])

@@ -1,6 +1,7 @@
 """Where external models plug in.
 
-An embedder is ``(texts, task) -> vectors``; a text model is ``(system, prompt) -> response text``.
+An embedder is ``(texts, task) -> vectors``; a text model is ``(system, prompt, schema) -> response
+text``, the schema being that of the JSON object it is to return.
 Both run inside Spark tasks, so they must be picklable and open their client on first use. Nothing
 here calls a network by itself; without a model the engine is offline and a miss is an error.
 """
@@ -18,7 +19,7 @@ from pyspark.sql import types as T
 from citeloom.functions.text import RETRY_ALWAYS, RETRY_DELAY, RETRY_NEVER
 from citeloom.settings import MAX_RETRY_WAIT, MODEL_ATTEMPTS
 
-TextModel = Callable[[str, str], str]
+TextModel = Callable[[str, str, dict], str]
 
 
 def worth_retrying(message: str) -> bool:
@@ -48,14 +49,14 @@ def with_retries(
             wait(max(2.0**attempt, asked_delay(str(error))))
 
 
-def complete(prompts: DataFrame, model: TextModel, system: str, key: str = "query_id") -> DataFrame:
+def complete(prompts: DataFrame, model: TextModel, system: str, expected: dict, key: str = "query_id") -> DataFrame:
     """(key, prompt) to (key, response), one model call per row, inside the tasks."""
     schema = T.StructType([prompts.schema[key], T.StructField("response", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             answers = [
-                with_retries(lambda: model(system, prompt), MODEL_ATTEMPTS, worth_retrying)
+                with_retries(lambda: model(system, prompt, expected), MODEL_ATTEMPTS, worth_retrying)
                 for prompt in rows.column("prompt").to_pylist()
             ]
             yield pa.RecordBatch.from_arrays(

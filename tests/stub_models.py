@@ -18,9 +18,9 @@ def stub_embed(texts, task):
     return out
 
 
-def stub_complete(system, prompt):
+def stub_complete(system, prompt, schema):
     """Ranks backwards; answers with the first passage and one that was never given."""
-    if "ranking" in system:
+    if "ranking" in schema["properties"]:
         numbers = [int(n) for n in re.findall(r"^\[(\d+)\]", prompt, re.M)]
         return json.dumps({"ranking": numbers[::-1]})
     refused = "moon" in prompt.rsplit("Question:", 1)[1]

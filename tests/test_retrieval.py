@@ -70,7 +70,7 @@ def test_end_to_end(spark, folder, embedder):
     with pytest.raises(ValueError, match="empty"):
         answerer.answer(spark.createDataFrame([("e", "  ")], "query_id string, question string"))
     with pytest.raises(retrieval.AnswerError):
-        retrieval.Answerer(retriever, "g", lambda system, prompt: "oops").answer(questions)
+        retrieval.Answerer(retriever, "g", lambda system, prompt, schema: "oops").answer(questions)
 
 
 def test_vectors_are_cached_by_model_task_and_text(spark, folder, embedder):
@@ -202,6 +202,24 @@ def test_command_line(spark, folder, capsys):
     assert cli.main([*shared, *models, "ask", "When is payment due?", "--verbose"], spark) == 0
     assert "Sources:\n  [1]" in capsys.readouterr().out
     assert cli.main([*shared, "ask", "When?"], spark) == 1
+    assert cli.main([*shared, "ask", "When is payment due?"], spark) == 0
+    assert "| # | document |" in capsys.readouterr().out
+    (folder / "index" / "table" / "left").mkdir()
+    assert cli.main([*shared, *models, "index", "--refresh"], spark) == 0
+    assert not (folder / "index" / "table" / "left").exists()
+
+
+def test_orderings_in_json_files_are_used(spark, folder, embedder):
+    questions = load_golden_set(spark, str(folder / "golden.yaml"))
+    retriever = retrieval.build_retriever(spark, str(folder / "docs"), embedder)
+    retriever.reranker = Reranker(spark, "r", str(folder / "orders"), stub_complete)
+    first = sorted(map(str, retriever.retrieve(questions, 2).collect()))
+    (folder / "files").mkdir()
+    for row in spark.read.parquet(str(folder / "orders")).collect():
+        stored = {name: row[name] for name in ("model", "prompt", "question", "candidates", "order")}
+        (folder / "files" / f"{row['key']}.json").write_text(json.dumps(stored))
+    retriever.reranker = Reranker(spark, "r", str(folder / "none"), files=str(folder / "files"))
+    assert sorted(map(str, retriever.retrieve(questions, 2).collect())) == first and retriever.reranker.cache_hits == 3
 
 
 def test_a_stream_of_questions_gets_the_batch_lists(spark, folder, embedder):
