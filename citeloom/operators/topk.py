@@ -63,6 +63,9 @@ def grid(
     left = stored.withColumn("shard", F.pmod(F.xxhash64("chunk_id"), F.lit(shards))).withColumn("block", every(blocks))
     right = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).withColumn("shard", every(shards))
 
+    # Both sides may come from one table; new names keep their columns apart.
+    right = right.select(*[F.col(c).alias(c) for c in right.columns])
+
     def cell(chunks: pa.Table, questions: pa.Table) -> pa.Table:
         types = [questions.schema.field("query_id").type, chunks.schema.field("chunk_id").type, pa.float64()]
         into = pa.schema(list(zip(schema.fieldNames(), types)))
