@@ -93,14 +93,18 @@ def hashed(vectors: DataFrame, settings: Settings) -> DataFrame:
 
 
 def _nearest(questions: pa.Table, rows: pa.Table, k: int) -> pa.Table:
-    """The k nearest rows of each question within one block, by (distance, vec_id), itself left out."""
+    """The k nearest ids of each question within one block, by (distance, vec_id), itself left out."""
     ids, scores, asked = [], [], []
     if questions.num_rows and rows.num_rows:
         dim = rows.column("dim")[0].as_py()
-        vectors, own = _matrix(rows.column("vector"), dim), rows.column("vec_id").to_numpy()
+        repeated = rows.column("vec_id").to_numpy()
+        order = np.argsort(repeated, kind="stable")
+        vectors = _matrix(rows.column("vector"), dim)[order]
+        # An id that stands in several rows takes one place, at its nearest row.
+        own, starts = np.unique(repeated[order], return_index=True)
         for q, vector in zip(questions.column("vec_id").to_pylist(), _matrix(questions.column("vector"), dim)):
             apart = vectors - vector
-            distance = np.sqrt(np.einsum("ij,ij->i", apart, apart))
+            distance = np.minimum.reduceat(np.sqrt(np.einsum("ij,ij->i", apart, apart)), starts)
             distance[own == q] = np.inf
             near = np.arange(len(own))
             if len(own) > k:
