@@ -95,10 +95,13 @@ def holders(spark: SparkSession, folder: str) -> DataFrame:
     """query_id, doc_id: documents that hold a benchmark text literally.
 
     A text's second to fifth word stand side by side in any document that holds it, so the two meet
-    by an equi-join on four-word runs; ``contains`` then decides.
+    by an equi-join on four-word runs; ``contains`` then decides. Texts of fewer words are looked for
+    in every document.
     """
     asked = questions(spark, folder)
-    key = asked.select("query_id", "question", _inner_words(F.split("question", "[ \n]"), 2).alias("run"))
+    split = F.split("question", "[ \n]")
+    key = asked.where(F.size(split) >= 5).select("query_id", _inner_words(split, 2).alias("run"))
+    short = asked.where(F.size(split) < 5)
     words = F.split("text", "[ \n]")
     spread = documents(spark, folder, "doc_id", "text").select("doc_id", "text", words.alias("words"))
     runs = spread.select(
@@ -113,26 +116,28 @@ def holders(spark: SparkSession, folder: str) -> DataFrame:
         ).alias("run"),
     )
     # Only ids travel with the runs; the few matching texts are fetched afterwards.
-    maybe = runs.join(key.select("query_id", "run"), "run").select("query_id", "doc_id")
+    maybe = runs.join(key, "run").select("query_id", "doc_id")
     texts = documents(spark, folder, "doc_id", "text")
-    return (
+    long_ones = (
         texts.join(maybe, "doc_id")
         .join(asked, "query_id")
         .where(F.contains(F.col("text"), F.col("question")))
         .select("query_id", "doc_id")
     )
+    short_ones = texts.join(short, F.contains(F.col("text"), F.col("question"))).select("query_id", "doc_id")
+    return long_ones.unionByName(short_ones)
 
 
 def golden(spark: SparkSession, folder: str) -> DataFrame:
-    """Questions with the first and the last document that holds their text; the labels of all that
-    hold it decide the type. Only minima, maxima and counts are kept, as copies may be many."""
+    """Questions with all documents that hold their text, smallest id first; the labels of these decide
+    the type."""
     labels = read_table(spark, folder, "labels")
     expected = (
         holders(spark, folder)
         .join(labels, "doc_id", "left")
         .groupBy("query_id")
         .agg(
-            F.array_distinct(F.array(F.min("doc_id"), F.max("doc_id"))).alias("docs"),
+            F.sort_array(F.collect_set("doc_id")).alias("docs"),
             F.coalesce(F.bool_or(F.col("toxic") == 1), F.lit(False)).alias("toxic"),
             F.coalesce(F.bool_or(F.col("quality") == 0), F.lit(False)).alias("poor"),
         )
