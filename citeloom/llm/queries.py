@@ -9,13 +9,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeloom.llm import crosspolytope, licenses, mixing, multiset, pieces, quality, simhash, substring, token_lengths, toxicity
+from citeloom.llm import crosspolytope, divergence, licenses, mixing, multiset, pieces, quality, simhash, substring, token_lengths, toxicity
 from citeloom.llm.frames import prepare
 from citeloom.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
-ORACLE: dict[str, str] = {"op1_mix_sources": mixing.SQL, "op10_substring_dedup": substring.SQL}
+ORACLE: dict[str, str] = {"op1_mix_sources": mixing.SQL, "op10_substring_dedup": substring.SQL, "op11_source_divergence": divergence.SQL}
 MODEL = "piece_bpe_32k.model"
 
 
@@ -98,3 +98,8 @@ def op10_substring_dedup(spark, folder):
     return left.select(
         "doc_id", F.col("_words").alias("n_words"), F.col("_removed").alias("n_removed"), F.sha2("_kept", 256).alias("kept_sha256")
     )
+
+
+@query
+def op11_source_divergence(spark, folder):
+    return divergence.audit(read_table(spark, folder, "documents"))
