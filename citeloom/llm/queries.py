@@ -9,13 +9,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeloom.llm import crosspolytope, divergence, licenses, mixing, multiset, pieces, quality, simhash, substring, token_lengths, toxicity
+from citeloom.llm import chosenpath, crosspolytope, divergence, licenses, mixing, multiset, pieces, prefixtrie, quality, simhash, substring, token_lengths, toxicity
 from citeloom.llm.frames import prepare
 from citeloom.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
-ORACLE: dict[str, str] = {"op1_mix_sources": mixing.SQL, "op10_substring_dedup": substring.SQL, "op11_source_divergence": divergence.SQL}
+ORACLE: dict[str, str] = {"op1_mix_sources": mixing.SQL, "op10_substring_dedup": substring.SQL, "op11_source_divergence": divergence.SQL, "op12_chosen_path": chosenpath.SQL, "op13_conversation_trie": prefixtrie.SQL}
 MODEL = "piece_bpe_32k.model"
 
 
@@ -103,3 +103,14 @@ def op10_substring_dedup(spark, folder):
 @query
 def op11_source_divergence(spark, folder):
     return divergence.audit(read_table(spark, folder, "documents"))
+
+
+@query
+def op12_chosen_path(spark, folder):
+    copies = chosenpath.near_copies(read_table(spark, folder, "documents"))
+    return copies.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+@query
+def op13_conversation_trie(spark, folder):
+    return prefixtrie.trie(read_table(spark, folder, "conversations"))
