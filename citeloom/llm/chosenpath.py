@@ -216,10 +216,10 @@ def _forest(cell: np.ndarray, one: np.ndarray, other: np.ndarray, alike: np.ndar
     return on
 
 
-def _compared(rows: pa.Table, cell: str) -> pa.Table:
+def _compared(rows: pa.Table) -> pa.Table:
     """Rows (cell, key, root, n, sketch) -> pairs (a, b, forest) of one cell each that may be similar."""
-    rows = rows.take(pa.compute.sort_indices(rows, [(cell, "ascending"), ("key", "ascending")]))
-    of, key, root, n = (rows[c].to_numpy() for c in (cell, "key", "root", "n"))
+    rows = rows.take(pa.compute.sort_indices(rows, [("cell", "ascending"), ("key", "ascending")]))
+    of, key, root, n = (rows[c].to_numpy() for c in ("cell", "key", "root", "n"))
     n, sketch = n.astype(np.int64), _sketches(rows["sketch"])
     found = []
     widest = int(np.diff(np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1], [True]]))).max()) if len(of) else 0
@@ -241,9 +241,8 @@ _PAIRS = "a bigint, b bigint, forest boolean"
 def _pairs_of_small(rows: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs of nodes of at most LEAF sets; many nodes to a task."""
     shards = math.ceil(max(1, rows.count()) / SHARD_ROWS)
-    held = rows.select("node", "key", "root").join(sets.select("key", "n", "sketch"), "key")
-    dealt = held.groupBy(F.pmod(F.xxhash64("node"), F.lit(shards)).alias("shard"))
-    return dealt.applyInArrow(functools.partial(_compared, cell="node"), _PAIRS)
+    held = rows.select(F.col("node").alias("cell"), "key", "root").join(sets.select("key", "n", "sketch"), "key")
+    return held.groupBy(F.pmod(F.xxhash64("cell"), F.lit(shards)).alias("shard")).applyInArrow(_compared, _PAIRS)
 
 
 def _pairs_of_large(rows: DataFrame, sets: DataFrame) -> DataFrame:
@@ -254,7 +253,7 @@ def _pairs_of_large(rows: DataFrame, sets: DataFrame) -> DataFrame:
     cells = own.select("node", "key", "root", "own", partners)
     cells = cells.withColumn("cell", F.xxhash64("node", F.least("own", "partner"), F.greatest("own", "partner")))
     held = cells.select("cell", "key", "root").join(sets.select("key", "n", "sketch"), "key")
-    return held.groupBy("cell").applyInArrow(functools.partial(_compared, cell="cell"), _PAIRS)
+    return held.groupBy("cell").applyInArrow(_compared, _PAIRS)
 
 
 def _stars(rows: DataFrame, sets: DataFrame) -> DataFrame:
