@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citeloom.functions.text import contains_flat, flatten_space, let
@@ -17,49 +17,58 @@ def is_answerable(kind: Column) -> Column:
     return kind != "unanswerable"
 
 
-def retrieval_results(hits: DataFrame, questions: DataFrame, modes: Sequence[str] = ()) -> DataFrame:
+def expected_of(questions: DataFrame) -> DataFrame:
+    """query_id, doc_id: the expected documents of a golden set, one row each."""
+    return questions.select("query_id", F.explode("expected_documents").alias("doc_id"))
+
+
+def retrieval_results(
+    hits: DataFrame, questions: DataFrame, modes: Sequence[str] = (), expected: DataFrame | None = None
+) -> DataFrame:
     """Score the retrieved list of every answerable question.
 
-    hits(query_id, rank, doc_id, text); questions(query_id, type, phrasing, cohort,
-    expected_documents, anchors). A question has at most k hits, so its list is one row. With
-    ``modes``, hits carry a ``mode`` and every question is scored once per mode.
+    hits(query_id, rank, doc_id, text); questions(query_id, type, phrasing, cohort, anchors).
+    ``expected``(query_id, doc_id) has the expected documents, by default those in the questions'
+    ``expected_documents``. There may be any number: they are counted, and met by the at most k retrieved
+    documents of a question in a join. With ``modes``, hits carry a ``mode`` and every question is scored
+    once per mode. A question without expected documents has recall 0.
     """
     keys = ["mode", "query_id"] if modes else ["query_id"]
+    wanted = (expected_of(questions) if expected is None else expected).select(
+        "query_id", F.col("doc_id").cast("string").alias("doc_id")
+    ).distinct()
+    asked = questions.where(is_answerable(F.col("type"))).select("query_id", "type", "phrasing", "cohort", "anchors")
+    asked = asked.join(wanted.groupBy("query_id").agg(F.count("*").alias("wanted")), "query_id", "left")
     if modes:
-        questions = questions.withColumn("mode", F.explode(F.array(*[F.lit(m) for m in modes])))
-    lists = hits.groupBy(*keys).agg(
-        F.array_sort(
-            F.collect_list(F.struct("rank", F.col("doc_id").cast("string").alias("doc_id"), "text"))
-        ).alias("hits")
-    )
-    asked = questions.where(is_answerable(F.col("type"))).join(lists, keys, "left")
-    found = F.coalesce(F.col("hits"), F.array().cast("array<struct<rank:int,doc_id:string,text:string>>"))
-    listed = asked.select(
+        asked = asked.withColumn("mode", F.explode(F.array(*[F.lit(m) for m in modes])))
+    hits = hits.select(*keys, "rank", F.col("doc_id").cast("string").alias("doc_id"), "text")
+    # A document's place is among distinct documents, by its first passage.
+    first = hits.groupBy(*keys, "doc_id").agg(F.min("rank").alias("rank"))
+    placed = first.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy("rank")))
+    found = placed.join(wanted, ["query_id", "doc_id"]).groupBy(*keys).agg(F.count("*").alias("found"), F.min("place").alias("place"))
+    lists = hits.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("rank", "doc_id", "text"))).alias("hits"))
+    met = F.coalesce(F.col("hits"), F.array().cast("array<struct<rank:int,doc_id:string,text:string>>"))
+    listed = asked.join(lists, keys, "left").join(found, keys, "left").select(
         *keys,
         "type",
         "phrasing",
         "cohort",
-        F.array_distinct(F.col("expected_documents").cast("array<string>")).alias("expected"),
+        F.coalesce("wanted", F.lit(0)).alias("wanted"),
+        F.coalesce("found", F.lit(0)).alias("found"),
+        "place",
         "anchors",
-        F.array_distinct(F.transform(found, lambda h: h["doc_id"])).alias("retrieved_documents"),
-        F.array_join(F.transform(found, lambda h: flatten_space(h["text"])), _PASSAGE_SEPARATOR).alias("seen"),
-    )
-    place = F.array_min(
-        F.filter(
-            F.transform(F.col("expected"), lambda d: F.array_position(F.col("retrieved_documents"), d)),
-            lambda p: p > 0,
-        )
+        F.array_distinct(F.transform(met, lambda h: h["doc_id"])).alias("retrieved_documents"),
+        F.array_join(F.transform(met, lambda h: flatten_space(h["text"])), _PASSAGE_SEPARATOR).alias("seen"),
     )
-    hit_documents = F.size(F.array_intersect("expected", "retrieved_documents"))
     hit_anchors = F.size(F.filter("anchors", lambda a: contains_flat(F.col("seen"), a)))
     return listed.select(
         *keys,
         "type",
         "phrasing",
         "cohort",
-        (hit_documents / F.size("expected")).alias("recall"),
-        F.when(hit_documents == F.size("expected"), 1.0).otherwise(0.0).alias("full_coverage"),
-        F.coalesce(F.lit(1.0) / place, F.lit(0.0)).alias("mrr"),
+        (F.col("found") / F.greatest("wanted", F.lit(1))).alias("recall"),
+        F.when((F.col("wanted") > 0) & (F.col("found") == F.col("wanted")), 1.0).otherwise(0.0).alias("full_coverage"),
+        F.coalesce(F.lit(1.0) / F.col("place"), F.lit(0.0)).alias("mrr"),
         let(
             hit_anchors,
             lambda n: F.when(F.size("anchors") > 0, n / F.size("anchors")).otherwise(0.0),

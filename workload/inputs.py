@@ -6,15 +6,16 @@ from their rows; ``oracle.py`` builds the same rows in SQL.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citeloom.functions.text import sentences
-from citeloom.operators import bm25, knn
+from citeloom.operators import bm25, containment, knn
 from citeloom.operators.chunking import chunk_documents
 from citeloom.operators.joins import with_content
 from citeloom.settings import POOL
 from citeloom.sources.documents import structured
+from citeloom.sources.scratch import staged
 from citeloom.sources.tables import read_spread, read_table
 
 MODEL = "model-a"
@@ -87,85 +88,55 @@ def questions(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def _inner_words(words: Column, start: Column | int) -> Column:
-    return F.array_join(F.slice(words, start, 4), " ")
-
-
 def holders(spark: SparkSession, folder: str) -> DataFrame:
-    """query_id, doc_id: documents that hold a benchmark text literally.
-
-    A text's second to fifth word stand side by side in any document that holds it, so the two meet
-    by an equi-join on four-word runs; ``contains`` then decides. Texts of fewer words are looked for
-    in every document.
-    """
-    asked = questions(spark, folder)
-    split = F.split("question", "[ \n]")
-    key = asked.where(F.size(split) >= 5).select("query_id", _inner_words(split, 2).alias("run"))
-    short = asked.where(F.size(split) < 5)
-    words = F.split("text", "[ \n]")
-    spread = documents(spark, folder, "doc_id", "text").select("doc_id", "text", words.alias("words"))
-    runs = spread.select(
-        "doc_id",
-        F.explode(
-            F.array_distinct(
-                F.transform(
-                    F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("words") - 3)),
-                    lambda i: _inner_words(F.col("words"), i),
-                )
-            )
-        ).alias("run"),
-    )
-    # Only ids travel with the runs; the few matching texts are fetched afterwards.
-    maybe = runs.join(key, "run").select("query_id", "doc_id")
-    texts = documents(spark, folder, "doc_id", "text")
-    long_ones = (
-        texts.join(maybe, "doc_id")
-        .join(asked, "query_id")
-        .where(F.contains(F.col("text"), F.col("question")))
-        .select("query_id", "doc_id")
-    )
-    short_ones = texts.join(short, F.contains(F.col("text"), F.col("question"))).select("query_id", "doc_id")
-    return long_ones.unionByName(short_ones)
+    """query_id, doc_id: documents that hold a benchmark text literally, all of them."""
+    asked = questions(spark, folder).select(F.col("query_id").alias("short_id"), F.col("question").alias("short"))
+    texts = documents(spark, folder, "doc_id", "text").withColumnRenamed("doc_id", "text_id")
+    found = containment.holders(texts, asked)
+    # Few and narrow, but a pass over all documents: written once for all that use them.
+    return staged(found.select(F.col("short_id").alias("query_id"), F.col("text_id").alias("doc_id")), "holders")
 
 
-def golden(spark: SparkSession, folder: str) -> DataFrame:
-    """Questions with all documents that hold their text, smallest id first; the labels of these decide
-    the type."""
+def golden(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Questions whose type follows from the labels of the documents that hold their text, and
+    (query_id, doc_id) of those documents. A question knows their number, ``expected``, not their names."""
     labels = read_table(spark, folder, "labels")
+    held = holders(spark, folder)
     expected = (
-        holders(spark, folder)
-        .join(labels, "doc_id", "left")
+        held.join(labels, "doc_id", "left")
         .groupBy("query_id")
         .agg(
-            F.sort_array(F.collect_set("doc_id")).alias("docs"),
+            F.count_distinct("doc_id").alias("expected"),
             F.coalesce(F.bool_or(F.col("toxic") == 1), F.lit(False)).alias("toxic"),
             F.coalesce(F.bool_or(F.col("quality") == 0), F.lit(False)).alias("poor"),
         )
     )
+    answerable = F.col("expected") > 0
     kind = (
-        F.when(F.col("docs").isNull(), "unanswerable")
+        F.when(~answerable, "unanswerable")
         .when(F.col("toxic"), "contradiction")
         .when(F.col("poor"), "underspecified")
-        .when(F.size("docs") > 1, "multi_hop")
+        .when(F.col("expected") > 1, "multi_hop")
         .otherwise("factual")
     )
     none = F.array().cast("array<string>")
-    answerable = F.col("docs").isNotNull()
-    return (
+    asked = (
         questions(spark, folder)
         .join(expected, "query_id", "left")
+        .withColumn("expected", F.coalesce("expected", F.lit(0)))
         .select(
             "query_id",
             kind.alias("type"),
             "question",
-            F.coalesce(F.col("docs").cast("array<string>"), none).alias("expected_documents"),
-            F.when(answerable, F.slice(F.split("question", " "), 2, 2)).otherwise(none).alias("expected_facts"),
+            "expected",
+            F.when(answerable, F.split("question", " ")).otherwise(none).alias("expected_facts"),
             F.lit("").alias("expected_answer"),
             F.when(F.substring("question", 1, 1) < "N", "prose").otherwise("code").alias("phrasing"),
             F.when(answerable, sentences(F.col("question"))).otherwise(none).alias("anchors"),
             F.when(F.length("question") % 2 == 0, "original").otherwise("extended").alias("cohort"),
         )
     )
+    return asked, held
 
 
 # --- ranked lists ------------------------------------------------------------------------------
@@ -258,7 +229,7 @@ def response_questions(spark: SparkSession, folder: str) -> DataFrame:
         F.concat("conv_id", F.lit("-"), "turn").alias("query_id"),
         kind.alias("type"),
         F.when(F.col("role") == "system", none)
-        .otherwise(F.array(words[0], F.lit("[1]")))
+        .otherwise(F.concat(words, F.array(F.lit("[1]"))))
         .alias("expected_facts"),
     )
 

@@ -318,7 +318,7 @@ cells AS MATERIALIZED (SELECT vec_id, embedding, CAST(cell AS INT) AS cell FROM
 
 GOLDEN = f"""
 hold AS (SELECT b.item_id AS query_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
-expd AS (SELECT query_id, CASE WHEN min(doc_id) = max(doc_id) THEN [CAST(min(doc_id) AS VARCHAR)] ELSE [CAST(min(doc_id) AS VARCHAR), CAST(max(doc_id) AS VARCHAR)] END AS docs,
+expd AS (SELECT query_id, list(DISTINCT CAST(doc_id AS VARCHAR)) AS docs,
     coalesce(bool_or(toxic = 1), false) AS toxic, coalesce(bool_or(quality = 0), false) AS poor
   FROM hold LEFT JOIN labels USING (doc_id) GROUP BY query_id),
 gold AS MATERIALIZED (SELECT item_id AS query_id, text AS question,
@@ -327,7 +327,7 @@ gold AS MATERIALIZED (SELECT item_id AS query_id, text AS question,
     CASE WHEN text[1] < 'N' THEN 'prose' ELSE 'code' END AS phrasing,
     CASE WHEN length(text) % 2 = 0 THEN 'original' ELSE 'extended' END AS cohort,
     coalesce(docs, []::VARCHAR[]) AS expected_documents,
-    CASE WHEN docs IS NULL THEN []::VARCHAR[] ELSE string_split(text, ' ')[2:3] END AS expected_facts,
+    CASE WHEN docs IS NULL THEN []::VARCHAR[] ELSE string_split(text, ' ') END AS expected_facts,
     CASE WHEN docs IS NULL THEN []::VARCHAR[] ELSE ({sentences('text', 'gs')}) END AS anchors
   FROM benchmark LEFT JOIN expd ON query_id = item_id)"""
 
@@ -430,7 +430,7 @@ cs AS MATERIALIZED (SELECT v.query_id, CAST(place AS INT) AS place, CAST(number
 _KINDS = "['factual', 'multi_hop', 'contradiction', 'underspecified', 'unanswerable']"
 ANSWERED = f"""
 rq AS (SELECT conv_id || '-' || turn AS query_id, {_KINDS}[(conv_id + turn) % 5 + 1] AS type,
-    CASE WHEN role = 'system' THEN []::VARCHAR[] ELSE [string_split(text, ' ')[1], '[1]'] END AS facts FROM conversations),
+    CASE WHEN role = 'system' THEN []::VARCHAR[] ELSE list_append(string_split(text, ' '), '[1]') END AS facts FROM conversations),
 an AS MATERIALIZED (SELECT query_id, type, refused, conflict, grounded, len(citations) AS citation_count,
     len(list_filter(facts, lambda f: contains(lower(text), lower(f)))) AS facts_found, len(facts) AS facts_expected,
     refused <> (type <> 'unanswerable') AS refusal_correct
@@ -591,8 +591,9 @@ def oracle_sql() -> dict[str, str]:
     q["cited_documents"] = f"""WITH {RESPONSES},{VALIDATED},{PAYLOAD},{CITED} SELECT query_id, string_agg(doc_id, ',' ORDER BY p) AS cited_documents
       FROM (SELECT query_id, doc_id, min(place) AS p FROM cs GROUP BY ALL) GROUP BY query_id"""
 
-    q["golden_questions"] = f"""WITH {GOLDEN} SELECT query_id, type, phrasing, cohort, array_to_string(expected_documents, ',') AS expected_documents,
-      md5(array_to_string(anchors, '|')) AS anchors, array_to_string(expected_facts, '|') AS expected_facts FROM gold"""
+    q["golden_questions"] = f"""WITH {GOLDEN} SELECT query_id, type, phrasing, cohort, CAST(len(expected_documents) AS BIGINT) AS expected,
+      md5(array_to_string(anchors, '|')) AS anchors, md5(array_to_string(expected_facts, '|')) AS expected_facts FROM gold"""
+    q["golden_documents"] = "SELECT b.item_id AS query_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)"
     q["golden_problems"] = f"""WITH {GOLDEN}, dm AS (SELECT query_id, CASE WHEN cohort = 'extended' THEN 'unanswerable' ELSE type END AS type, expected_documents,
         CASE WHEN phrasing = 'code' THEN []::VARCHAR[] ELSE anchors END AS anchors, unnest(range(0, length(question) % 3 + 1)) AS copy FROM gold)
       SELECT query_id, problem FROM (SELECT query_id, CASE
