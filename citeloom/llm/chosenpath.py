@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from citeloom.llm import flat
 from citeloom.llm.bits import broadcast_bits
 from citeloom.llm.components import components
-from citeloom.llm.frames import slices, utf8, with_columns
+from citeloom.llm.frames import slices, unused, utf8, with_columns
 from citeloom.sources.scratch import staged
 
 SHINGLE = 2
@@ -343,6 +343,16 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE, *, empty_alike: bool =
     return placed.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
+def kept_of_each(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """The rows of ``docs`` that stay, columns unchanged: of each component those of the smallest id, texts without words being one.
+
+    Rows that repeat that id all stay, as one document. A component without any id stays whole.
+    """
+    (kept,) = unused(docs, "_kept_id")
+    keep = near_copies(docs, shingle, empty_alike=True).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return docs.join(keep.select(F.col("doc_id").alias(kept)).distinct(), F.col("doc_id").eqNullSafe(F.col(kept)), "left_semi")
+
+
 SQL = """
 WITH RECURSIVE split AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),

@@ -37,6 +37,17 @@ def with_columns(schema: StructType, drop: str, added: str) -> StructType:
     return StructType([f for f in schema.fields if f.name != drop] + StructType.fromDDL(added).fields)
 
 
+def unused(frame: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores put before it as it takes to be no column of the frame."""
+    taken, found = {c.lower() for c in frame.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        found.append(name)
+    return found
+
+
 def word_count(text: Column) -> Column:
     """Number of words; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -11,12 +11,13 @@ With a window at most an eighth of its length off, a text that holds 0.8 of a te
 
 A band can only collide if the window holds a shingle that is a minimum of some template. Texts and
 windows without any of those (a literal array, at most BANDS per template) are left out first; that
-changes no collision. Templates are a parameter of bounded size; no text moves between tasks.
+changes no collision. Templates are a parameter of bounded size; no text moves between tasks. A license
+may have several: a notice, and the text that stands at the head of a file or of the license itself.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,6 +43,37 @@ TEMPLATES = {
     ),
     "BSD": "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
 }
+#: File headers and opening clauses, as published with the licenses.
+BODIES = {
+    "Apache-2.0": (
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance'
+        " with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless"
+        " required by applicable law or agreed to in writing, software distributed under the License is distributed on an"
+        ' "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the'
+        " specific language governing permissions and limitations under the License."
+    ),
+    "MIT": (
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated"
+        ' documentation files (the "Software"), to deal in the Software without restriction, including without limitation'
+        " the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and"
+        " to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above"
+        " copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
+    ),
+    "BSD": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the"
+        " following conditions are met: Redistributions of source code must retain the above copyright notice, this list of"
+        " conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice,"
+        " this list of conditions and the following disclaimer in the documentation and/or other materials provided with the"
+        " distribution."
+    ),
+    "GPL-3.0": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public"
+        " License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any"
+        " later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without"
+        " even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public"
+        " License for more details."
+    ),
+}
 
 
 def _words(text: Column) -> Column:
@@ -71,17 +103,21 @@ def _seeds(spark) -> list[int]:
     return list(row)
 
 
-def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, least: float = LEAST) -> DataFrame:
-    """doc_id, text -> doc_id, license, containment, word: one row per document and template found.
+#: Each license with all that it is looked for by.
+TEXTS = {name: [notice, *([BODIES[name]] if name in BODIES else [])] for name, notice in TEMPLATES.items()}
+
+
+def scan(docs: DataFrame, templates: Mapping[str, Sequence[str]] = TEXTS, least: float = LEAST) -> DataFrame:
+    """doc_id, text -> doc_id, license, containment, word: one row per document and license found.
 
-    containment: the largest share of the template's distinct shingles within a window and its
+    containment: the largest share of a template's distinct shingles within a window and its
     surroundings; word: where the first window with it begins (from 0). Empty and null texts, and texts
     of under five words, hold none; a template of under five words is an error. Rows that repeat an id
     give one row per id and template. Other columns are ignored.
     """
     spark = docs.sparkSession
     seeds = _seeds(spark)
-    named = spark.createDataFrame(sorted(templates.items()), "license string, notice string")
+    named = spark.createDataFrame([(name, text) for name in sorted(templates) for text in templates[name]], "license string, notice string")
     made = named.select("license", F.array_distinct(shingles(F.col("notice"))).alias("own")).withColumn("minima", _minima(F.col("own"), seeds))
     rows = made.collect()  # as many as templates were passed in
     if any(not r.own for r in rows):

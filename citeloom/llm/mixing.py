@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from citeloom.llm.frames import running_sum, word_count, words
+from citeloom.llm.frames import running_sum, unused, word_count, words
 from citeloom.sources.scratch import staged
 
 #: Weights of the sources in code-point order, repeating; and how often a source may be repeated.
@@ -97,18 +97,21 @@ def mixed(docs: DataFrame) -> DataFrame:
     """The mix itself: the rows of ``docs``, each as often as it is taken, in the columns of ``docs``.
 
     A document taken in part comes once more with its first words, joined by single spaces. Documents
-    of which nothing is taken go; so do those without words. ``n_chars`` follows the text.
+    of which nothing is taken go; so do those without words. ``n_chars`` follows the text. Other columns may
+    have any names and are left as they are.
     """
-    numbered = staged(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    share = mix(numbered, keep=("_row",)).where("taken > 0").select("_row", F.col("size").alias("_size"), F.col("taken").alias("_taken"))
-    joined = numbered.join(share, "_row")
-    whole = F.floor(F.col("_taken") / F.greatest("_size", F.lit(1))).cast("int")
-    part = (F.col("_taken") - whole * F.col("_size")).cast("int")
+    row, size, taken, copy = unused(docs, "_row", "_size", "_taken", "_copy")
+    numbered = staged(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    narrow = numbered.select(row, "doc_id", "source", "text")
+    share = mix(narrow, keep=(row,)).where("taken > 0").select(row, F.col("size").alias(size), F.col("taken").alias(taken))
+    joined = numbered.join(share, row)
+    whole = F.floor(F.col(taken) / F.greatest(size, F.lit(1))).cast("int")
+    part = (F.col(taken) - whole * F.col(size)).cast("int")
     cut = F.when(part > 0, F.concat_ws(" ", F.slice(words(F.col("text")), 1, F.greatest(part, F.lit(1)))))
     texts = F.filter(F.concat(F.array_repeat("text", whole), F.array(cut)), lambda t: t.isNotNull())
-    copies = joined.withColumn("_copy", F.explode(texts))
+    copies = joined.withColumn(copy, F.explode(texts))
     return copies.select(*[
-        F.col("_copy").alias("text") if c == "text" else F.length("_copy").cast("long").alias(c) if c == "n_chars" else c
+        F.col(copy).alias("text") if c == "text" else F.length(copy).cast("long").alias(c) if c == "n_chars" else c
         for c in docs.columns
     ])
 

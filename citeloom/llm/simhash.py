@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citeloom.llm.components import components
-from citeloom.llm.frames import slices, with_columns
+from citeloom.llm.frames import slices, unused, with_columns
 from citeloom.sources.scratch import staged
 
 SHINGLE = 3
@@ -125,5 +125,6 @@ def kept_of_each(docs: DataFrame) -> DataFrame:
     Rows that repeat that id all stay, as one document. A component without any id stays whole.
     """
     printed = near_duplicates(docs)
-    keep = printed.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi")
+    (kept,) = unused(docs, "_kept_id")
+    keep = printed.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(kept)).distinct()
+    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col(kept)), "left_semi")

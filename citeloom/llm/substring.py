@@ -30,10 +30,11 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from citeloom.llm import flat
 from citeloom.llm.automaton import SuffixAutomaton
-from citeloom.llm.frames import slices, utf8, with_columns
+from citeloom.llm.frames import slices, unused, utf8
 from citeloom.sources.scratch import staged
 
 SPAN = 13
@@ -260,26 +261,32 @@ def _id_keys(marked: DataFrame) -> DataFrame:
     return marked.select("_id").mapInArrow(run, "key bigint")
 
 
-def without_repeats(docs: DataFrame) -> DataFrame:
+def without_repeats(docs: DataFrame, added: tuple[str, str, str] = ("_words", "_removed", "_kept")) -> DataFrame:
     """``docs`` with all its columns and _words, _removed (long), _kept: the words left, joined by single spaces.
 
+    ``added`` are the names of these three, which the columns of ``docs`` must not have.
+
     Windows are judged on the input, whatever is removed elsewhere. A null text has no words. A row
     without id keeps its words and is no reference. Rows that repeat an id do not repeat each other.
     """
-    marked = staged(repeats(docs), "repeats").withColumnsRenamed({"doc_id": "_id", "digest": "_digest", "starts": "_starts"})
+    clash = set(added) & set(docs.columns)
+    if clash:
+        raise ValueError(f"columns {sorted(clash)} are there already; name others in added")
+    id_, mark, starts_ = held = unused(docs, "_id", "_digest", "_starts")
+    marked = staged(repeats(docs), "repeats").withColumnsRenamed(dict(zip(("doc_id", "digest", "starts"), held)))
     # Only documents that may have repeats are shuffled to meet them.
-    ids = bitmap_of(_id_keys(marked))
+    ids = bitmap_of(_id_keys(marked.select(F.col(id_).alias("_id"))))
     joined = _chosen(docs, ids).join(
-        marked, (F.col("doc_id") == F.col("_id")) & (digest(F.col("text")) == F.col("_digest")), "left"
+        marked, (F.col("doc_id") == F.col(id_)) & (digest(F.col("text")) == F.col(mark)), "left"
     )
     names = docs.columns
-    none = F.lit(None).cast("array<int>").alias("_starts")
+    none = F.lit(None).cast("array<int>").alias(starts_)
 
     def run(batches: Iterator[pa.RecordBatch], ids: Broadcast | None = None) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
             part = part if ids is None else part.filter(pa.array(~_held(part, ids)))
             total, removed, kept = [], [], []
-            for text, starts in zip(part.column("text").to_pylist(), part.column("_starts").to_pylist()):
+            for text, starts in zip(part.column("text").to_pylist(), part.column(starts_).to_pylist()):
                 words = text.encode().split() if text else []
                 total.append(len(words))
                 if starts:
@@ -295,12 +302,12 @@ def without_repeats(docs: DataFrame) -> DataFrame:
                 kept.append(b" ".join(words))
             yield pa.RecordBatch.from_arrays(
                 [*(part.column(c) for c in names), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())],
-                names=[*names, "_words", "_removed", "_kept"],
+                names=[*names, *added],
             )
 
-    schema = with_columns(docs.schema, "", "_words bigint, _removed bigint, _kept string")
+    schema = StructType([*docs.schema.fields, *[StructField(n, t()) for n, t in zip(added, (LongType, LongType, StringType))]])
     others = docs.select("*", none).mapInArrow(lambda batches: run(batches, ids), schema)
-    return others.unionByName(joined.drop("_id", "_digest").mapInArrow(run, schema))
+    return others.unionByName(joined.drop(id_, mark).mapInArrow(run, schema))
 
 
 SQL = """

@@ -4,7 +4,7 @@ P(grade <= g) = logistic(cut[g] - weights . x) with one weight per word, shared
 ascending order. The expected severity is the sum over grades of P(grade >= g). Grades of labelled
 documents: 0 is not toxic; toxic ones are graded 1 to GRADES by how many distinct words they hold that
 are tied to the label, in equal parts. Features: which words (runs of letters, A-Z lowered) occur, from
-a vocabulary of words in at least LEAST_DOCS documents of the sample, looked up by 64-bit hash.
+all words in at least LEAST_DOCS documents of the sample, looked up by 64-bit hash.
 """
 
 from __future__ import annotations
@@ -23,10 +23,9 @@ from citeloom.llm.frames import slices, utf8, with_columns
 from citeloom.llm.quality import held_out
 
 GRADES = 3
-#: Labelled documents fitted on at most, the ones of smallest hash; and the vocabulary's bounds.
+#: Labelled documents fitted on at most, the ones of smallest hash. They bound the vocabulary as well.
 SAMPLE = 10_000
 LEAST_DOCS = 5
-VOCABULARY = 1 << 16
 
 _APART = np.ones(256, bool)
 _APART[[*range(ord("a"), ord("z") + 1), *range(ord("A"), ord("Z") + 1), *range(128, 256)]] = False
@@ -88,8 +87,7 @@ def fit(word: np.ndarray, doc: np.ndarray, toxic: np.ndarray, rounds: int = 400,
         return Model(np.zeros(0, np.uint64), np.zeros(0), -np.log(share / (1 - share)) + np.arange(GRADES))
     grade = graded(word, doc, toxic)
     keys, count = np.unique(word, return_counts=True)
-    often = np.argsort(-count, kind="stable")[:VOCABULARY]
-    vocabulary = np.sort(keys[often][count[often] >= LEAST_DOCS])
+    vocabulary = keys[count >= LEAST_DOCS]
     at, known = _looked_up(vocabulary, word)
     at, doc = at[known], doc[known]
     weights = np.zeros(len(vocabulary))
@@ -139,7 +137,9 @@ def learned(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             yield pa.RecordBatch.from_arrays([part.column("label_id"), part.column("toxic"), lists], names=["label_id", "toxic", "words"])
 
     kind = rows.schema["label_id"].dataType.simpleString(), rows.schema["toxic"].dataType.simpleString()
-    found = rows.mapInArrow(run, f"label_id {kind[0]}, toxic {kind[1]}, words array<bigint>").toArrow().sort_by([("label_id", "ascending"), ("toxic", "ascending")])
+    found = rows.mapInArrow(run, f"label_id {kind[0]}, toxic {kind[1]}, words array<bigint>")
+    # Documents may repeat an id: the bound holds for rows, chosen by a hash of what they are.
+    found = found.orderBy(F.xxhash64("label_id", "words"), "label_id", "toxic").limit(sample).toArrow()
     lists = found.column("words").combine_chunks()
     counts = lists.value_lengths().to_numpy(zero_copy_only=False)
     word = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from citeloom.llm import crosspolytope, licenses, mixing, multiset, pieces, quality, simhash, substring, token_lengths, toxicity
+from citeloom.llm import chosenpath, crosspolytope, divergence, licenses, mixing, multiset, pieces, quality, simhash, substring, token_lengths, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 LONG = " ".join(f"w{i % 977}x{i % 31}" for i in range(60_000))
@@ -61,6 +61,9 @@ def results(docs, labels, model):
     yield quality.accepted(docs, labels), False
     yield toxicity.classify(docs, labels), True
     yield substring.without_repeats(docs), True
+    yield chosenpath.near_copies(docs), True
+    yield chosenpath.kept_of_each(docs, 5), False
+    yield divergence.audit(docs), False
 
 
 def test_rows_in_rows_out(docs, labels, model):
@@ -88,6 +91,20 @@ def test_stages_on_odd_rows(spark, tmp_path, labels):
                 assert made.columns == SCHEMA.replace(" string", "").replace(" long", "").split(", "), name
 
 
+def test_names_with_underscores(spark, docs, labels, tmp_path):
+    names = "_row _copy _size _taken _words _removed _kept words removed kept _starts _id _digest _kept_id _text _part _root _n".split()
+    odd = docs.select(*SCHEMA.replace(" string", "").replace(" long", "").split(", "), *[F.lit(f"own {n}").alias(n) for n in names])
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        made = stage(spark, odd, str(tmp_path))
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert made.columns == odd.columns, name
+        rows = made.collect()
+        assert rows and all(r[n] == f"own {n}" for r in rows for n in names), name
+    with pytest.raises(ValueError):
+        substring.without_repeats(odd)
+
+
 def test_mix_values(docs):
     rows = {(r.doc_id, r.source): r for r in mixing.mix(docs).collect() if r.doc_id in (1, 2, 3, 4)}
     assert (rows[1, "a"].size, rows[2, "a"].size, rows[3, None].size, rows[4, "b"].size) == (7, 0, 0, 0)

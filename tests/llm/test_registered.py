@@ -11,6 +11,7 @@ import public_tokenizers
 import pytest
 import sentencepiece
 import xxhash
+from test_chosen_path import brute
 
 import __spark_entry__
 import corpus_pipeline
@@ -189,8 +190,8 @@ def test_toxicity_on_held_out_labels(spark):
 def test_pipeline_against_plain_python(spark, duck, texts, library):
     scores = quality.classify(spark.read.parquet(f"{FOLDER}/documents.parquet"), spark.read.parquet(f"{FOLDER}/labels.parquet"))
     kept = {r.doc_id: texts[r.doc_id] for r in scores.where("predicted = 1").collect()}
-    component = classes({i: fingerprint(t) for i, t in kept.items()})
-    kept = {i: t for i, t in kept.items() if component[i] == i}
+    component = brute(kept, corpus_pipeline.SHINGLE, empty_alike=True)
+    kept = {i: t for i, t in kept.items() if component[i][1] == i}
     first = {}
     for i in sorted(kept):
         words = kept[i].split()

@@ -15,7 +15,7 @@ from citeloom.operators import answers, bm25, chunking, context, embedding, fusi
 from citeloom.operators.topk import rounded
 from citeloom.settings import DOCUMENT_TASK, MAX_RETRY_WAIT, RETRIEVAL_MODES, TOP_K
 from citeloom.sources import golden as golden_source
-from citeloom.sources import keyword_index, store
+from citeloom.sources import coded_store, keyword_index, store
 from citeloom.sources.documents import structured
 from citeloom.sources.scratch import shared_folder, staged
 from citeloom.sources.tables import read_table
@@ -263,13 +263,35 @@ def vector_neighbours_grid(spark, folder):
     return knn.exact_topk(stored, asked, 10, max_cells=10_000, shard_rows=200)
 
 
+def _coded(spark, stored: DataFrame) -> str:
+    """The folder of a coded store whose searches are measured to find every true neighbour."""
+    path = f"{shared_folder(spark)}/coded-store-{uuid.uuid4().hex}"
+    coded_store.CodedStore(spark, path, recall=1.0).add(stored.select("chunk_id"), stored)
+    return path
+
+
 @query
 def ann_topk(spark, folder):
-    """Through the stored cells: written by ``add``, opened again, only probed partitions read."""
-    path = f"{shared_folder(spark)}/cell-store-{uuid.uuid4().hex}"
-    stored = inputs.vectors(spark, folder)
-    store.CellStore(spark, path).add(stored.select("chunk_id"), stored)
-    return store.CellStore.load(spark, path, probes=8).search(inputs.question_vectors(spark, folder), 20)
+    """Through stored cells and codes: written by ``add``, opened again, candidates by code, exact ranks."""
+    path = _coded(spark, inputs.vectors(spark, folder))
+    return coded_store.CodedStore.load(spark, path).search(inputs.question_vectors(spark, folder), 20)
+
+
+@query
+def ann_deltas(spark, folder):
+    """A store that grew: a base of two thirds, two deltas that replace and add, ids removed; opened again."""
+    stored, path = inputs.vectors(spark, folder), f"{shared_folder(spark)}/coded-store-{uuid.uuid4().hex}"
+    grown = coded_store.CodedStore(spark, path, recall=1.0)
+    turned = stored.withColumn("vector", F.transform("vector", lambda x: -x))
+    for part in (
+        turned.where(F.col("chunk_id") % 3 == 0).unionByName(stored.where(F.col("chunk_id") % 3 == 1)),
+        stored.where(F.col("chunk_id") % 6 == 0),
+        stored.where(F.col("chunk_id") % 3 == 2),
+    ):
+        grown.add(part.select("chunk_id"), part)
+    grown.delete(stored.where(F.col("chunk_id") % 7 == 5).select("chunk_id"))
+    rows = coded_store.CodedStore.load(spark, path).rows()
+    return rows.select("chunk_id", F.round(F.element_at("vector", 1).cast("double"), 6).alias("first"))
 
 
 @query
@@ -284,12 +306,9 @@ def stored_topk(spark, folder):
 
 @query
 def ann_topk_grid(spark, folder):
-    """The same lists by way of the grid."""
-    stored = inputs.vectors(spark, folder)
-    centroids = knn.pick_centroids(stored)
-    cells = staged(knn.assign_cells(stored, centroids), "cells")
-    asked = inputs.question_vectors(spark, folder)
-    return knn.cell_topk(cells, centroids, asked, 20, probes=8, max_cells=1_000, shard_rows=10)
+    """The same lists with questions sent in blocks, as where they are too many to be sent at once."""
+    path = _coded(spark, inputs.vectors(spark, folder))
+    return coded_store.CodedStore.load(spark, path).search(inputs.question_vectors(spark, folder), 20, max_cells=1_000)
 
 
 @query
@@ -457,21 +476,27 @@ def cited_documents(spark, folder):
 
 @query
 def golden_questions(spark, folder):
-    return inputs.golden(spark, folder).select(
+    return inputs.golden(spark, folder)[0].select(
         "query_id",
         "type",
         "phrasing",
         "cohort",
-        F.array_join("expected_documents", ",").alias("expected_documents"),
+        "expected",
         F.md5(F.array_join("anchors", "|")).alias("anchors"),
-        F.array_join("expected_facts", "|").alias("expected_facts"),
+        F.md5(F.array_join("expected_facts", "|")).alias("expected_facts"),
     )
 
 
+@query
+def golden_documents(spark, folder):
+    """Every (question, expected document)."""
+    return inputs.golden(spark, folder)[1]
+
+
 @query
 def golden_problems(spark, folder):
     """The rules applied to a damaged golden set: anchors dropped, types swapped, ids repeated."""
-    good = staged(inputs.golden(spark, folder), "golden")
+    good = staged(inputs.golden(spark, folder)[0], "golden")
     damaged = (
         good.withColumn("type", F.when(F.col("cohort") == "extended", "unanswerable").otherwise(F.col("type")))
         .withColumn(
@@ -480,12 +505,13 @@ def golden_problems(spark, folder):
         )
         .withColumn("copy", F.explode(F.sequence(F.lit(0), F.length("question") % 3)))
     )
-    return golden_source.problems(damaged)
+    return golden_source.problems(damaged, F.col("expected") > 0)
 
 
 def _results(spark, folder) -> DataFrame:
     hits = inputs.with_documents(spark, folder, _fused(spark, folder))
-    return metrics.retrieval_results(hits, inputs.golden(spark, folder))
+    asked, expected = inputs.golden(spark, folder)
+    return metrics.retrieval_results(hits, asked, expected=expected)
 
 
 def _rounded_metrics(frame: DataFrame) -> list:
@@ -511,9 +537,8 @@ def retrieval_summary(spark, folder):
 def retrieval_breakdown(spark, folder):
     fused = fusion.fuse_modes(inputs.vector_hits(spark, folder), inputs.keyword_hits(spark, folder))
     hits = inputs.with_documents(spark, folder, fused)
-    table = metrics.retrieval_breakdown(
-        metrics.retrieval_results(hits, inputs.golden(spark, folder), RETRIEVAL_MODES)
-    )
+    asked, expected = inputs.golden(spark, folder)
+    table = metrics.retrieval_breakdown(metrics.retrieval_results(hits, asked, RETRIEVAL_MODES, expected))
     return table.select("mode", "axis", "value", "questions", *_rounded_metrics(table))
 
 
@@ -522,9 +547,10 @@ def _before_after(spark, folder) -> tuple[DataFrame, DataFrame]:
     reranked = rerank.rerank(
         pool, inputs.questions(spark, folder), _orderings(spark, folder, pool), inputs.MODEL, inputs.PROMPT
     )
-    golden = staged(inputs.golden(spark, folder), "golden")
-    before = metrics.retrieval_results(inputs.with_documents(spark, folder, pool.where(F.col("rank") <= TOP_K)), golden)
-    return before, metrics.retrieval_results(inputs.with_documents(spark, folder, reranked), golden)
+    asked, expected = inputs.golden(spark, folder)
+    asked = staged(asked, "golden")
+    before = metrics.retrieval_results(inputs.with_documents(spark, folder, pool.where(F.col("rank") <= TOP_K)), asked, expected=expected)
+    return before, metrics.retrieval_results(inputs.with_documents(spark, folder, reranked), asked, expected=expected)
 
 
 @query
@@ -559,7 +585,7 @@ def answer_summary(spark, folder):
 
 @query
 def question_counts(spark, folder):
-    return metrics.question_counts(inputs.golden(spark, folder))
+    return metrics.question_counts(inputs.golden(spark, folder)[0])
 
 
 # --- stored state ------------------------------------------------------------------------------
