@@ -98,14 +98,20 @@ def _fitted_words(sample: np.ndarray, part: int, words: int) -> np.ndarray:
     for rows in shape.parts(sample):
         points = rows[np.linspace(0, len(rows) - 1, min(words, len(rows))).astype(np.int64)].copy()
         for _ in range(ROUNDS):
-            near = _nearest(rows, points)
-            count = np.bincount(near, minlength=len(points))
-            sums = np.stack([np.bincount(near, weights=rows[:, d], minlength=len(points)) for d in range(part)], axis=1)
-            points[count > 0] = sums[count > 0] / count[count > 0, None]
+            points = _moved(rows, points)
         fitted.append(points)
     return np.stack(fitted)
 
 
+def _moved(rows: np.ndarray, points: np.ndarray) -> np.ndarray:
+    """The mean of the rows nearest to each point; points without any stay."""
+    near = _nearest(rows, points)
+    count, sums, out = np.bincount(near, minlength=len(points)), np.zeros_like(points), points.copy()
+    np.add.at(sums, near, rows)
+    out[count > 0] = sums[count > 0] / count[count > 0, None]
+    return out
+
+
 def _refined(sample: DataFrame, centroids: np.ndarray) -> np.ndarray:
     """One round of Lloyd's refinement over the sample: tasks send sums per cell, not vectors."""
     shipped, dim = sample.sparkSession.sparkContext.broadcast(centroids), centroids.shape[1]
@@ -145,9 +151,10 @@ def fitted(vectors: DataFrame, part: int = PART, words: int = WORDS) -> Codes:
     sample = staged(vectors.where(F.pmod(mixed, F.lit(share)) == 0).select("chunk_id", "vector"), "sample")
     chosen = sample.orderBy(mixed, "chunk_id").limit(max(cells, min(SAMPLE, MAX_SHIPPED_QUERY_CELLS // dim))).toArrow()
     rows = knn.matrix(chosen["vector"].combine_chunks(), dim)
-    centroids = rows[:cells].copy()
+    centroids, whole = rows[:cells].copy(), sample.limit(len(rows) + 1).count() <= len(rows)
     for _ in range(ROUNDS):
-        centroids = _refined(sample, centroids)
+        # A sample that has come whole needs no job to go over it again.
+        centroids = _moved(rows, centroids) if whole else _refined(sample, centroids)
     return Codes(centroids, _fitted_words(rows, part, words))
 
 

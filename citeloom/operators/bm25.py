@@ -247,10 +247,17 @@ def _asked(batch: pa.RecordBatch, vocabulary: pa.Array) -> tuple[np.ndarray, np.
 def _best_of(batches: Iterable[pa.RecordBatch], w: _Weights, avgdl: float, k: int) -> Iterator[pa.RecordBatch]:
     """Score batches of (chunk_id, dl, tokens) or (chunk_id, dl, terms, counts) sparsely and give the
     k best per question."""
+    yield from _best_of_visits(((batch, None) for batch in batches), w, avgdl, k)
+
+
+def _best_of_visits(
+    visits: Iterable[tuple[pa.RecordBatch, np.ndarray | None]], w: _Weights, avgdl: float, k: int
+) -> Iterator[pa.RecordBatch]:
+    """``_best_of`` where each batch comes with the places of the questions it is for; None is all."""
     queries = len(w.query_ids)
     best = BestPerQuery(queries, k, floor=0.5 * 10.0**-SCORE_DECIMALS)
     id_type = None
-    for batch in batches:
+    for batch, asking in visits:
         id_type = batch.schema.field("chunk_id").type
         ids = id_array(batch.column("chunk_id"))
         dl = batch.column("dl").to_numpy(zero_copy_only=False).astype(np.float64)
@@ -264,7 +271,11 @@ def _best_of(batches: Iterable[pa.RecordBatch], w: _Weights, avgdl: float, k: in
             cell = np.repeat(row[first:last] - low, n) * queries + w.query_of[at]
             gain = np.repeat(part[first:last], n) * w.weight[at]
             score = np.bincount(cell, weights=gain, minlength=(high - low) * queries)
-            best.offer(score.reshape(high - low, queries), ids[low:high])
+            score = score.reshape(high - low, queries)
+            if asking is None:
+                best.offer(score, ids[low:high])
+            else:
+                best.offer(score[:, asking], ids[low:high], asking)
     if id_type is not None:
         yield from best.batch(w.query_ids, id_type)
 

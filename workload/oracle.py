@@ -523,6 +523,7 @@ def oracle_sql() -> dict[str, str]:
     q["bm25_postings"] = q["bm25_topk"]
     q["bm25_grid"] = q["bm25_topk"]
     q["bm25_stored"] = q["bm25_topk"]
+    q["bm25_pruned"] = q["bm25_topk"]
     q["bm25_chunks"] = f"WITH {bm25(f'SELECT chunk_id, index_text AS text FROM ({chunks(PLAIN)})')} SELECT * FROM hits"
 
     q["vector_norms"] = f"""SELECT vec_id AS chunk_id, round(n, 6) AS norm, abs(n - 1) <= 1e-3 + 1e-5 AS unit, abs(2 * n - 1) <= 1e-3 + 1e-5 AS doubled_unit,
@@ -535,15 +536,9 @@ def oracle_sql() -> dict[str, str]:
       SELECT q.vec_id AS query_id, e.vec_id AS chunk_id, round({dot('e.embedding', 'q.embedding')}, 8) AS score FROM embeddings q, embeddings e)) WHERE rank <= 10"""
     q["vector_neighbours_grid"] = q["vector_neighbours"]
     q["ann_cells"] = f"WITH {CELLS} SELECT cell, count(*) AS n FROM cells GROUP BY cell"
-    q["ann_topk"] = f"""WITH {CELLS},
-      qv AS (SELECT item_id AS query_id, embedding AS v FROM benchmark JOIN embeddings ON vec_id = item_id),
-      nr AS (SELECT query_id, v, cell, n, row_number() OVER (PARTITION BY query_id ORDER BY round({dot('v', 'c')}, 8) DESC, cell) AS near
-        FROM qv, cent JOIN (SELECT cell, count(*) AS n FROM cells GROUP BY cell) USING (cell)),
-      pb AS (SELECT * FROM (SELECT *, coalesce(sum(n) OVER (PARTITION BY query_id ORDER BY near ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS held FROM nr)
-        WHERE near <= 8 OR held < 20)
-      SELECT * FROM (SELECT query_id, chunk_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INT) AS rank FROM (
-        SELECT query_id, vec_id AS chunk_id, round({dot('embedding', 'v')}, 8) AS score FROM pb JOIN cells USING (cell))) WHERE rank <= 20"""
-
+    q["ann_topk"] = q["vector_topk"]
+    q["ann_deltas"] = """SELECT vec_id AS chunk_id, round(CASE WHEN vec_id % 3 = 0 AND vec_id % 6 <> 0 THEN -1 ELSE 1 END * embedding[1]::DOUBLE, 6) AS first
+      FROM embeddings WHERE vec_id % 7 <> 5"""
     q["ann_topk_grid"] = q["ann_topk"]
 
     vector_only = "(SELECT query_id, chunk_id, rank AS vector_rank, score AS vector_score, NULL::INT AS keyword_rank, NULL::DOUBLE AS keyword_score FROM vhits)"

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from citeloom.deploy import ship
 from citeloom.functions import payload, text, vectors
-from citeloom.operators import answers, bm25, chunking, context, embedding, fusion, knn, metrics, rerank
+from citeloom.operators import answers, blockmax, bm25, chunking, context, embedding, fusion, knn, metrics, rerank
 from citeloom.operators.topk import rounded
 from citeloom.settings import DOCUMENT_TASK, MAX_RETRY_WAIT, RETRIEVAL_MODES, TOP_K
 from citeloom.sources import golden as golden_source
@@ -212,6 +212,14 @@ def bm25_stored(spark, folder):
     return keyword_index.KeywordIndex.load(spark, path).search(inputs.questions(spark, folder), 20)
 
 
+@query
+def bm25_pruned(spark, folder):
+    """The same lists from stored blocks, of which only those that can reach a list are scored."""
+    path = f"{shared_folder(spark)}/block-index-{uuid.uuid4().hex}"
+    blockmax.write(bm25.build(inputs.documents(spark, folder, "doc_id", "text"), "doc_id", "text"), path)
+    return blockmax.search(blockmax.load(spark, path), inputs.questions(spark, folder), 20)[0]
+
+
 @query
 def bm25_grid(spark, folder):
     """The same lists by way of the grid, as for question sets too large to ship."""
