@@ -45,7 +45,7 @@ def broadcast_bits(keys: DataFrame, count: int) -> Broadcast:
         F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits")
     )
     taken = np.zeros(size // 8, np.uint8)
-    for row in parts.toLocalIterator():
+    for row in parts.collect():
         piece = np.frombuffer(row.bits, np.uint8)
         taken[(row.part - 1) * len(piece) : row.part * len(piece)] = piece
     return keys.sparkSession.sparkContext.broadcast(Bits(taken))

@@ -2,18 +2,23 @@
 
 Every tree sends a set down several branches: at each node those of its shingles that are smallest under
 the hash of that tree and level (BRANCHES of them), so that similar sets mostly choose the same. All sets that come
-to a node together are compared there if they are few; larger nodes branch again, and nodes of the last
-level are compared in blocks. Independent trees are repeated until a pair of the least similarity is missed
-with a chance of about (1 - 0.9974 ^ level) ^ TREES: 2e-8 at the first level, 1e-6 at the fourth (0.9974:
-the chance that two sets of similarity 0.8 share one of their 3 smallest shingles). More similar pairs are missed less often.
-
-Comparing happens in two steps. A sketch (the smallest hash of each of BINS bins) must agree in LEAST_ALIKE
-of the bins, seven standard deviations below what similarity 0.8 gives. What passes is confirmed on the full
-sets, first along a spanning forest of the most alike pairs of each node; then only pairs that are not
-connected yet. In large nodes all are first compared with one of them. So a large group of near copies
-costs about as many confirmations as it has members, and two sets that are in no confirmed chain together have been compared.
-
-Equal sets are one set from the start.
+to a node together are compared there if they are few; larger nodes branch again. Independent trees are repeated
+until a pair of the least similarity is missed with a chance of about (1 - 0.9974 ^ level) ^ TREES: 7e-6 at the
+first level, 3e-5 at the second (0.9974: the chance that two sets of similarity 0.8 share one of their 3 smallest
+shingles). More similar pairs are missed less often.
+
+What is compared how:
+
+- Nodes of up to LEAF sets: by sketches (the smallest hash of each of BINS bins), which must agree in LEAST_ALIKE of
+  the bins, five to six standard deviations below what similarity 0.8 gives. What passes is confirmed on the full sets,
+  first along a spanning forest of the most alike pairs of a node; then only pairs that are not connected yet.
+- Larger nodes branch once more in any case. Of what is still together then, sets whose sketch agrees with none of the
+  others go. The rest is mostly groups of copies: all sets are confirmed against one in the middle, and what is not connected by
+  that is compared with all others of the node on the full sets, in the task that has them, so that only links leave it. Nodes of
+  over BLOCK_ROWS sets go on branching; at the last level they are compared in blocks.
+
+So a large group of near copies costs rows and links in proportion to its members. Two sets that meet in a node
+and are in no confirmed chain together have been compared. Equal sets are one set from the start.
 """
 
 from __future__ import annotations
@@ -24,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citeloom.llm import flat
@@ -36,16 +41,19 @@ from citeloom.sources.scratch import staged
 SHINGLE = 2
 #: Least similarity as a fraction, so that sizes are compared in whole numbers.
 SIMILAR = (4, 5)
-TREES = 3
+TREES = 2
 BRANCHES = 3
 LEVELS = 4
 #: Sets of a node that are compared with each other at once.
 LEAF = 32
-BINS = 256
+BINS = 128
 LEAST_ALIKE = 0.6
-#: Rows of a task that compares small nodes, about, and of a block of a large one.
+#: Rows of a task that compares small nodes, about, and sets of a large node that are compared at once.
 SHARD_ROWS = 20_000
 BLOCK_ROWS = 4096
+#: Sets of a large node from which the one in the middle is chosen, and shingles that are counted at once.
+MIDDLE = 64
+COLUMNS = 2048
 
 _SEEDS = np.random.default_rng(20240301).integers(0, 1 << 64, TREES * LEVELS, dtype=np.uint64)
 
@@ -85,7 +93,7 @@ def keys_of(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 def sketches_of(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Sets x BINS: 0 for an empty bin, else a byte of its smallest hash."""
     of = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-    bin_ = of * BINS + (hashes >> np.uint64(56)).astype(np.int64)
+    bin_ = of * BINS + (hashes >> np.uint64(64 - BINS.bit_length() + 1)).astype(np.int64)
     lead = np.flatnonzero(np.concatenate([[True], bin_[1:] != bin_[:-1]])) if len(bin_) else bin_
     out = np.zeros((len(bounds) - 1) * BINS, np.uint8)
     out[bin_[lead]] = np.maximum(1, (hashes[lead] >> np.uint64(20)) & np.uint64(255))
@@ -171,12 +179,10 @@ def _rooted(rows: DataFrame, roots: DataFrame | None, key: str = "key", root: st
 
 
 def _met(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """Rows of nodes in which not all are connected: node, tree, key, root, many, center."""
+    """Rows of nodes in which not all are connected: node, tree, key, root, many."""
     rows = _rooted(rows, roots)
-    nodes = rows.groupBy("node").agg(
-        F.count("*").alias("many"), F.min("key").alias("center"), F.min("root").alias("low"), F.max("root").alias("high")
-    )
-    return rows.join(nodes.where("low <> high").select("node", "many", "center"), "node")
+    nodes = rows.groupBy("node").agg(F.count("*").alias("many"), F.min("root").alias("low"), F.max("root").alias("high"))
+    return rows.join(nodes.where("low <> high").select("node", "many"), "node")
 
 
 def _alike(one: np.ndarray, other: np.ndarray) -> np.ndarray:
@@ -238,6 +244,30 @@ def _compared(rows: pa.Table) -> pa.Table:
 _PAIRS = "a bigint, b bigint, forest boolean"
 
 
+def _suspected(rows: pa.Table) -> pa.Table:
+    """Rows (node, tree, key, root, n, sketch) -> those that may be similar to one of another root in their node."""
+    rows = rows.take(pa.compute.sort_indices(rows, [("node", "ascending"), ("key", "ascending")]))
+    node, root, n = (rows[c].to_numpy() for c in ("node", "root", "n"))
+    n, sketch, hit = n.astype(np.int64), _sketches(rows["sketch"]), np.zeros(len(node), bool)
+    widest = int(np.diff(np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1], [True]]))).max()) if len(node) else 0
+    for step in range(1, widest):
+        i = np.flatnonzero((node[:-step] == node[step:]) & (root[:-step] != root[step:]) & ~(hit[:-step] & hit[step:]) & _sized(n[:-step], n[step:]))
+        for low in range(0, len(i), BLOCK_ROWS):
+            part = i[low : low + BLOCK_ROWS]
+            part = part[_alike(sketch[part], sketch[part + step]) >= LEAST_ALIKE]
+            hit[part] = hit[part + step] = True
+    kept = rows.filter(pa.array(hit))
+    return kept.select(["node", "tree", "key", "many"])
+
+
+def _suspects(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """Of nodes of at most BLOCK_ROWS sets, those that may be similar to another; nodes stay whole in a task."""
+    shards = math.ceil(max(1, rows.count()) / SHARD_ROWS)
+    held = rows.select("node", "tree", "key", "root", "many").join(sets.select("key", "n", "sketch"), "key")
+    dealt = held.groupBy(F.pmod(F.xxhash64("node"), F.lit(shards)).alias("shard"))
+    return dealt.applyInArrow(_suspected, "node bigint, tree int, key bigint, many bigint")
+
+
 def _pairs_of_small(rows: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs of nodes of at most LEAF sets; many nodes to a task."""
     shards = math.ceil(max(1, rows.count()) / SHARD_ROWS)
@@ -245,20 +275,91 @@ def _pairs_of_small(rows: DataFrame, sets: DataFrame) -> DataFrame:
     return held.groupBy(F.pmod(F.xxhash64("cell"), F.lit(shards)).alias("shard")).applyInArrow(_compared, _PAIRS)
 
 
-def _pairs_of_large(rows: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs of nodes of the last level, which may be of any size: blocks of their sets against blocks."""
+def _counted(sets: list[np.ndarray], left: np.ndarray) -> np.ndarray:
+    """How many shingles each set of ``left`` (places in ``sets``) shares with every set."""
+    sizes = np.array([len(x) for x in sets])
+    row = np.repeat(np.arange(len(sets)), sizes)
+    _, code, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    # Shingles of one set only are shared with none.
+    several = np.cumsum(times > 1) - 1
+    keep = times[code] > 1
+    row, code = row[keep], several[code[keep]]
+    order = np.argsort(code, kind="stable")
+    row, code = row[order], code[order]
+    shared = np.zeros((len(left), len(sets)), np.float32)
+    for low in range(0, int(code[-1]) + 1 if len(code) else 0, COLUMNS):
+        part = slice(*np.searchsorted(code, (low, low + COLUMNS)))
+        holds = np.zeros((len(sets), COLUMNS), np.float32)
+        holds[row[part], code[part] - low] = 1
+        shared += holds[left] @ holds.T
+    return shared
+
+
+def _linked(rows: pa.Table) -> pa.Table:
+    """Rows (key, root, shingles) of one cell -> links (a, b) that connect all that can be connected in it."""
+    part, whole = SIMILAR
+    key, root = rows["key"].to_numpy(), rows["root"].to_numpy()
+    sets = rows["shingles"].combine_chunks()
+    flat_, bounds = sets.flatten().to_numpy(), sets.offsets.to_numpy() - sets.offsets[0].as_py()
+    sets = [flat_[bounds[i] : bounds[i + 1]] for i in range(len(key))]
+    size = np.diff(bounds)
+    classes, of, many = np.unique(root, return_inverse=True, return_counts=True)
+    above = list(range(len(classes)))
+
+    def find(x: int) -> int:
+        while above[x] != x:
+            above[x] = above[above[x]]
+            x = above[x]
+        return x
+
+    # All but the largest class are compared with everything; that one is connected within itself.
+    rest, found = np.flatnonzero(of != many.argmax()), []
+    for low in range(0, len(rest), 1024):
+        left = rest[low : low + 1024]
+        shared = _counted(sets, left).astype(np.int64)
+        hit = whole * shared >= part * (size[left][:, None] + size[None, :] - shared)
+        for i, j in zip(*np.nonzero(hit & (of[left][:, None] != of[None, :]))):
+            a, b = find(int(of[left[i]])), find(int(of[j]))
+            if a != b:
+                above[a] = b
+                found.append((key[left[i]], key[j]))
+    one, other = zip(*found) if found else ((), ())
+    return pa.table([pa.array(one, pa.int64()), pa.array(other, pa.int64())], names=["a", "b"])
+
+
+def _links_of_large(rows: DataFrame, full: DataFrame) -> DataFrame:
+    """Links within large nodes, found on the full sets. A node of over BLOCK_ROWS sets is blocks of them against blocks."""
     blocks = F.ceil(F.col("many") / BLOCK_ROWS).cast("int")
     own = rows.select("node", "key", "root", blocks.alias("blocks")).withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    partners = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("partner")
-    cells = own.select("node", "key", "root", "own", partners)
-    cells = cells.withColumn("cell", F.xxhash64("node", F.least("own", "partner"), F.greatest("own", "partner")))
-    held = cells.select("cell", "key", "root").join(sets.select("key", "n", "sketch"), "key")
-    return held.groupBy("cell").applyInArrow(_compared, _PAIRS)
+    whole = own.where("blocks = 1").select(F.col("node").alias("cell"), "key", "root")
+    split = own.where("blocks > 1").select("node", "key", "root", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("partner"))
+    cell = F.xxhash64("node", F.least("own", "partner"), F.greatest("own", "partner"))
+    cells = whole.unionByName(split.select(cell.alias("cell"), "key", "root"))
+    return cells.join(full, "key").groupBy("cell").applyInArrow(_linked, "a bigint, b bigint")
+
+
+def _middle(rows: pa.Table) -> pa.Table:
+    """Rows (node, place, key, sketch), at most MIDDLE of a node -> each node's set that is most like the others."""
+    rows = rows.take(pa.compute.sort_indices(rows, [("node", "ascending"), ("place", "ascending")]))
+    node, key, sketch = rows["node"].to_numpy(), rows["key"].to_numpy(), _sketches(rows["sketch"])
+    edges = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1], [True]])) if len(node) else np.zeros(1, np.int64)
+    chosen = []
+    for low, high in zip(edges[:-1], edges[1:]):
+        here = sketch[low:high]
+        alike = [((here == one) & (one > 0)).sum() for one in here]
+        chosen.append(low + int(np.argmax(alike)))
+    return pa.table([pa.array(node[chosen]), pa.array(key[chosen])], names=["node", "center"])
 
 
 def _stars(rows: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs of each large node's smallest key with its other sets that may be similar."""
-    pairs = rows.where("key <> center").select(F.col("center").alias("a"), F.col("key").alias("b")).distinct()
+    """Pairs of a set in the middle of each large node with its other sets that may be similar."""
+    # The same sets are looked at in all nodes of a group, so that the same one is chosen.
+    order = Window.partitionBy("node").orderBy("mixed", "key")
+    few = rows.select("node", "key", F.xxhash64("key").alias("mixed")).withColumn("place", F.row_number().over(order)).where(F.col("place") <= MIDDLE)
+    few = few.join(sets.select("key", "sketch"), "key").select("node", "place", "key", "sketch")
+    shards = math.ceil(max(1, rows.count()) / SHARD_ROWS)
+    centers = few.groupBy(F.pmod(F.xxhash64("node"), F.lit(shards)).alias("shard")).applyInArrow(_middle, "node bigint, center bigint")
+    pairs = rows.join(centers, "node").where("key <> center").select(F.col("center").alias("a"), F.col("key").alias("b")).distinct()
     one, other = sets.select(F.col("key").alias("a"), F.col("n").alias("m"), F.col("sketch").alias("left")), sets.select(F.col("key").alias("b"), "n", "sketch")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,7 +370,7 @@ def _stars(rows: DataFrame, sets: DataFrame) -> DataFrame:
             hit &= _alike(_sketches(part.column("left")), _sketches(part.column("sketch"))) >= LEAST_ALIKE
             yield part.filter(pa.array(hit)).select(["a", "b"])
 
-    return pairs.join(one, "a").join(other, "b").mapInArrow(run, "a bigint, b bigint").withColumn("forest", F.lit(True))
+    return pairs.join(one, "a").join(other, "b").mapInArrow(run, "a bigint, b bigint")
 
 
 def _confirmed(pairs: DataFrame, full: DataFrame) -> DataFrame:
@@ -288,9 +389,14 @@ def links(docs: DataFrame, sets: DataFrame, shingle: int) -> DataFrame | None:
         rows = staged(rows, "met")
         return rows.where(F.col("many") <= LEAF), rows.where(F.col("many") > LEAF)
 
+    def suspects(large: DataFrame) -> DataFrame:
+        few = _suspects(large.where(F.col("many") <= BLOCK_ROWS), sets)
+        return staged(few.unionByName(large.where(F.col("many") > BLOCK_ROWS).select(few.columns)), "suspects")
+
     small, large = split(_met(_branched(None, sets, 0), None))
     pairs = _pairs_of_small(small, sets)
     small, large = split(_met(_branched(large, sets, 1), None))
+    large = suspects(large)
     pairs = pairs.unionByName(_pairs_of_small(small, sets)).groupBy("a", "b").agg(F.bool_or("forest").alias("forest"))
     pairs = staged(pairs, "pairs")
     keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).unionByName(large.select("key"))
@@ -299,21 +405,26 @@ def links(docs: DataFrame, sets: DataFrame, shingle: int) -> DataFrame | None:
         return None
     full = staged(_full_sets(docs, keys, shingle), "full")
     seen = [pairs]
-    found = staged(_confirmed(pairs.where("forest").select("a", "b").unionByName(_stars(large, sets).select("a", "b")), full), "links")
+    found = staged(_confirmed(pairs.where("forest").select("a", "b").unionByName(_stars(large, sets)), full), "links")
     roots = staged(components(found), "roots")
     for level in range(2, LEVELS + 1):
         left = staged(_met(large.select("key", "tree", "node"), roots), "left")
         if left.isEmpty():
             break
-        if level == LEVELS:
-            pairs, stars = _pairs_of_large(left, sets), None
-        else:
-            small, large = split(_met(_branched(left, sets, level), roots))
-            pairs, stars = _pairs_of_small(small, sets), _stars(large, sets)
-        pairs = staged(pairs.groupBy("a", "b").agg(F.bool_or("forest").alias("forest")), "pairs")
-        seen.append(pairs)
-        asked = pairs.where("forest").select("a", "b")
-        found = found.unionByName(staged(_confirmed(asked if stars is None else asked.unionByName(stars.select("a", "b")), full), "links"))
+        at_once = F.lit(True) if level == LEVELS else F.col("many") <= BLOCK_ROWS
+        inside = staged(_links_of_large(left.where(at_once), full), "links")
+        if not inside.isEmpty():
+            found = found.unionByName(inside)
+            roots = staged(components(found), "roots")
+        deeper = left.where(~at_once)
+        if deeper.isEmpty():
+            break
+        small, large = split(_met(_branched(deeper, sets, level), roots))
+        large = suspects(large)
+        pairs = _pairs_of_small(small, sets).groupBy("a", "b").agg(F.bool_or("forest").alias("forest"))
+        seen.append(staged(pairs, "pairs"))
+        asked = seen[-1].where("forest").select("a", "b").unionByName(_stars(large, sets))
+        found = found.unionByName(staged(_confirmed(asked, full), "links"))
         roots = staged(components(found), "roots")
     # What no forest had, and is still apart.
     rest = functools.reduce(DataFrame.unionByName, seen).where("NOT forest").select("a", "b")
@@ -346,7 +457,7 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE, *, empty_alike: bool =
 def kept_of_each(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """The rows of ``docs`` that stay, columns unchanged: of each component those of the smallest id, texts without words being one.
 
-    Rows that repeat that id all stay, as one document. A component without any id stays whole.
+    Rows that repeat that id all stay, as one document. A component without any id stays whole, and with it all rows without an id.
     """
     (kept,) = unused(docs, "_kept_id")
     keep = near_copies(docs, shingle, empty_alike=True).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
