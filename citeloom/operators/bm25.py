@@ -8,8 +8,8 @@ Search has three exact ways with the same result:
 scan      question weights are few (checked): they go to every task, each task scores its own chunks
           and keeps its k best per question. The corpus is never shuffled; a term that occurs in
           every chunk costs no more than its occurrences.
-grid      more questions than may be shipped: both sides are dealt into bounded cells (chunk shard x
-          question block), each cell is scored like a task of the scan.
+blocks    more questions than may be shipped go in blocks. The postings are written once, and scanned
+          for each block.
 postings  the same two ways over rows that hold each chunk's terms with their counts instead of its
           tokens, as a stored index does. Counting needs no other row, so no term is ever a key of a
           shuffle, and no (question, chunk) pair leaves a task unless it is among its k best.
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from citeloom.functions.text import tokenize
-from citeloom.operators.topk import BestPerQuery, grid, id_array, merge, partial_schema
+from citeloom.operators.topk import BestPerQuery, id_array, merge, partial_schema
 from citeloom.settings import (
     BM25_B,
     BM25_EPSILON,
@@ -44,9 +44,6 @@ from citeloom.sources.scratch import staged
 # Scores of one block of rows are summed in one array of this many (row, question) cells at most.
 _BLOCK_CELLS = 2_000_000
 _BLOCK_CONTRIBUTIONS = 4_000_000
-# Tokens in one shard of the grid.
-_SHARD_TOKENS = 5_000_000
-_GRID_BATCH = 10_000
 
 
 @dataclass(frozen=True)
@@ -86,7 +83,8 @@ def tokenized(chunks: DataFrame, chunk_id: str = "chunk_id", text: str = "index_
 
 def count_terms(tokens: DataFrame) -> DataFrame:
     """term, df, tokens: from one scan. The row with a null term counts chunks and all their tokens."""
-    marks = F.array_append(F.array_distinct("tokens"), F.lit(None).cast("string"))
+    distinct = F.col("terms") if "terms" in tokens.columns else F.array_distinct("tokens")
+    marks = F.array_append(distinct, F.lit(None).cast("string"))
     return (
         tokens.select("dl", F.explode(marks).alias("term"))
         .groupBy("term")
@@ -112,15 +110,22 @@ def corpus_stats(counted: DataFrame) -> CorpusStats:
 
 
 def build(
-    chunks: DataFrame, chunk_id: str = "chunk_id", text: str = "index_text", keep_tokens: bool = False
+    chunks: DataFrame,
+    chunk_id: str = "chunk_id",
+    text: str = "index_text",
+    keep_tokens: bool = False,
+    keep_postings: bool = False,
 ) -> Bm25Index:
     """One pass over the chunks; the vocabulary table is written, so later steps do not repeat it.
 
-    With ``keep_tokens`` the tokens are written as well: worth the space where the chunks are costly
-    to compute or the index is searched more than once.
+    With ``keep_tokens`` the tokens are written as well, with ``keep_postings`` each chunk's terms and counts: worth
+    the space where the chunks are costly to compute or the index is searched at all, as texts are then
+    split once.
     """
     tokens = tokenized(chunks, chunk_id, text)
-    if keep_tokens:
+    if keep_postings:
+        tokens = staged(postings(tokens), "postings")
+    elif keep_tokens:
         tokens = staged(tokens, "tokens")
     counted = staged(count_terms(tokens), "terms")
     stats = corpus_stats(counted)
@@ -198,7 +203,7 @@ def search(
         return _nothing(index, questions, query_id)
     schema = partial_schema(questions.schema[query_id].dataType, index.chunks.schema["chunk_id"].dataType)
     if few.num_rows > max_weights:
-        partial = _grid(index, weights, schema, k, max_weights)
+        partial = _in_blocks(index, weights, schema, k, max_weights)
     else:
         partial = _scan(index, few, schema, k)
     return merge(partial, k)
@@ -291,24 +296,19 @@ def _scan(index: Bm25Index, weights: pa.Table, schema: StructType, k: int) -> Da
     return index.chunks.mapInArrow(run, schema)
 
 
-def _grid(index: Bm25Index, weights: DataFrame, schema: StructType, k: int, max_weights: int) -> DataFrame:
-    """Bounded cells of (chunk shard, question block); a cell gives its k best per question."""
-    avgdl = index.stats.avgdl
-    shards = max(1, math.ceil(index.stats.n * avgdl / _SHARD_TOKENS))
-    blocks = max(1, math.ceil(2 * weights.count() / max(1, max_weights)))
-
-    # Tokens travel as one string: an array row takes several times the space in a shuffle.
-    counted = "terms" in index.chunks.columns
-    packed = index.chunks if counted else index.chunks.withColumn("tokens", F.array_join("tokens", " "))
-
-    def best(chunks: pa.Table, rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        batches = chunks.to_batches(_GRID_BATCH)
-        if not counted:
-            place = chunks.schema.get_field_index("tokens")
-            batches = (b.set_column(place, "tokens", pc.split_pattern(b["tokens"], " ")) for b in batches)
-        return _best_of(batches, _Weights.of(rows), avgdl, k)
-
-    return grid(packed, weights, shards, blocks, best, schema)
+def _in_blocks(index: Bm25Index, weights: DataFrame, schema: StructType, k: int, max_weights: int) -> DataFrame:
+    """Question blocks of about ``max_weights`` weights, sent one after another."""
+    weights = staged(weights, "weights")
+    blocks = math.ceil(2 * weights.count() / max(1, max_weights))
+    rows = index.chunks if "terms" in index.chunks.columns else staged(postings(index.chunks), "postings")
+    counted, found = Bm25Index(rows, index.terms, index.stats), None
+    for block in range(blocks):
+        asked = weights.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).toArrow()
+        if asked.num_rows:
+            # Written at once, so that no more than one block is held.
+            part = staged(_scan(counted, asked, schema, k), "best")
+            found = part if found is None else found.unionByName(part)
+    return found
 
 
 def _blocks(row: np.ndarray, fan: np.ndarray, rows: int, queries: int) -> Iterator[tuple[int, int]]:

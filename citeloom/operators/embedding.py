@@ -9,13 +9,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from citeloom.functions.text import sha256
 from citeloom.functions.vectors import unit
-from citeloom.operators.joins import join_repeated
 from citeloom.providers import with_retries
 from citeloom.settings import EMBED_ATTEMPTS, EMBED_BATCH, EMBEDDING_DIM
 
@@ -34,13 +33,13 @@ def usable(cache: DataFrame, dim: int) -> DataFrame:
     return cache.where(F.size("vector") == dim).select("key", "vector")
 
 
-def with_cached(keyed_texts: DataFrame, cache: DataFrame, id_column: str, dim: int = EMBEDDING_DIM) -> DataFrame:
+def with_cached(keyed_texts: DataFrame, cache: DataFrame, dim: int = EMBEDDING_DIM) -> DataFrame:
     """Every text with its vector, or null; only vectors of length ``dim`` count.
 
-    Copies of one text share a key, and copies may be a large share of all texts, so frequent keys
-    are spread by ``id_column``.
+    Copies of one text share a key, and copies may be a large share of all texts: a key of the left side of
+    this join, which Spark's adaptive join splits.
     """
-    return join_repeated(keyed_texts, usable(cache, dim), "key", id_column)
+    return keyed_texts.join(usable(cache, dim), "key", "left")
 
 
 def misses(keyed_texts: DataFrame, cache: DataFrame, dim: int = EMBEDDING_DIM, text: str = "text") -> DataFrame:
@@ -81,10 +80,19 @@ def require_cached(embedded: DataFrame) -> DataFrame:
     )
 
 
-def embed_missing(missing: DataFrame, embed: EmbedBatch, task: str, batch: int = EMBED_BATCH) -> DataFrame:
-    """key, vector (unit length) for texts without one. Calls run in the tasks, a batch at a time."""
+def embed_missing(
+    missing: DataFrame, embed: EmbedBatch, task: str, batch: int = EMBED_BATCH, observed: Observation | None = None
+) -> DataFrame:
+    """key, vector (unit length) for texts without one. Calls run in the tasks, a batch at a time.
+
+    ``observed`` gets ``calls``, the number of calls whose vectors the pass has given, when it has run.
+    """
     schema = T.StructType(
-        [T.StructField("key", T.StringType()), T.StructField("vector", T.ArrayType(T.FloatType()))]
+        [
+            T.StructField("key", T.StringType()),
+            T.StructField("vector", T.ArrayType(T.FloatType())),
+            T.StructField("calls", T.IntegerType()),
+        ]
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,9 +104,16 @@ def embed_missing(missing: DataFrame, embed: EmbedBatch, task: str, batch: int =
                 if len(vectors) != len(texts):
                     raise RuntimeError(f"{len(vectors)} vectors for {len(texts)} texts")
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("key"), pa.array(vectors, type=pa.list_(pa.float32()))],
-                    names=["key", "vector"],
+                    [
+                        part.column("key"),
+                        pa.array(vectors, type=pa.list_(pa.float32())),
+                        # The first row of a call counts it.
+                        pa.array([1] + [0] * (len(texts) - 1), pa.int32()),
+                    ],
+                    names=["key", "vector", "calls"],
                 )
 
     called = missing.select("key", "text").mapInArrow(run, schema)
+    if observed is not None:
+        called = called.observe(observed, F.sum("calls").alias("calls"))
     return called.select("key", unit(F.col("vector")).alias("vector"))

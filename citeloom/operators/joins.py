@@ -1,4 +1,4 @@
-"""A join for a side whose keys repeat very unevenly."""
+"""Ranked lists and the content of their chunks."""
 
 from __future__ import annotations
 
@@ -7,32 +7,6 @@ from pyspark.sql import functions as F
 
 from citeloom.sources.scratch import staged
 
-# At most this many keys are spread, so the list of them is a bounded broadcast. Any other key then
-# holds less than one row in HOT_KEYS.
-HOT_KEYS = 1000
-SALTS = 64
-
-
-def join_repeated(left: DataFrame, right: DataFrame, key: str, spread_by: str, how: str = "left") -> DataFrame:
-    """Join ``left``, where one key may hold a large share of the rows, with ``right``, where keys
-    are unique.
-
-    The most frequent keys of ``left`` are spread over ``SALTS`` parts by ``spread_by``; the matching
-    rows of ``right`` are copied to each part. Everything else joins as usual, in the same exchange.
-    """
-    counts = left.groupBy(key).agg(F.count("*").alias("rows"))
-    hot = F.broadcast(
-        counts.where(F.col("rows") > 1).orderBy(F.desc("rows")).limit(HOT_KEYS).select(key, F.lit(True).alias("is_hot"))
-    )
-    hot_flag = F.coalesce(F.col("is_hot"), F.lit(False))
-    dealt = left.join(hot, key, "left").withColumn(
-        "salt", F.when(hot_flag, F.pmod(F.xxhash64(spread_by), F.lit(SALTS)).cast("int")).otherwise(0)
-    )
-    copies = F.when(hot_flag, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    copied = right.join(hot, key, "left").withColumn("salt", F.explode(copies)).drop("is_hot")
-    return dealt.drop("is_hot").join(copied, [key, "salt"], how).drop("salt")
-
-
 #: Rows of a ranked list that may be sent to every task: about 100 bytes each.
 MAX_SENT_HITS = 500_000
 

@@ -1,12 +1,10 @@
 """Exact and approximate cosine top-k for a batch of question vectors.
 
-Vectors have unit length, so the dot product is the cosine. Three plans:
+Vectors have unit length, so the dot product is the cosine. Two plans:
 
 ``exact_topk``   the question matrix is small (checked) and goes to every task; each task multiplies
                  its Arrow batches with it and keeps its k best per question. One scan, no shuffle of
-                 vectors. Beyond the bound, both sides are dealt into a grid of bounded cells
-                 (vector shard x question block), each cell is one matrix product, and every cell
-                 again emits only its k best.
+                 vectors. Beyond the bound, the questions go in blocks, with one scan for each.
 ``assign_cells`` / ``cell_topk``  the approximate index: vectors are labelled with their nearest
                  centroid, questions look only into their nearest cells. Stored partitioned by cell,
                  a search reads the probed cells alone.
@@ -62,7 +60,6 @@ def exact_topk(
     questions: DataFrame,
     k: int = POOL,
     max_cells: int = MAX_SHIPPED_QUERY_CELLS,
-    shard_rows: int = 50_000,
 ) -> DataFrame:
     """vectors(chunk_id, vector), questions(query_id, vector) to query_id, chunk_id, score, rank."""
     vectors, questions = vectors.select("chunk_id", "vector"), questions.select("query_id", "vector")
@@ -75,10 +72,25 @@ def exact_topk(
             return vectors.sparkSession.createDataFrame([], schema.add("rank", T.IntegerType()))
         partial = vectors.mapInArrow(_scan_kernel(vectors, small, k), schema)
     else:
-        partial = _grid(vectors, questions, k, schema, shard_rows, max_cells)
+        partial = _in_blocks(vectors, questions, k, schema, max_cells)
     return merge(partial, k)
 
 
+def _in_blocks(vectors: DataFrame, questions: DataFrame, k: int, schema: T.StructType, max_cells: int) -> DataFrame:
+    """Question blocks of about ``max_cells`` numbers, sent one after another: a scan of the vectors for each."""
+    questions = staged(questions, "questions")
+    sizes = questions.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("dim")).first()
+    blocks = math.ceil(2 * sizes["n"] * sizes["dim"] / max_cells)
+    found = None
+    for block in range(blocks):
+        asked = questions.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).toArrow().combine_chunks()
+        if asked.num_rows:
+            # Written at once, so that no more than one block is held.
+            part = staged(vectors.mapInArrow(_scan_kernel(vectors, asked, k), schema), "best")
+            found = part if found is None else found.unionByName(part)
+    return found
+
+
 def _collect_bounded(questions: DataFrame, max_cells: int) -> pa.Table | None:
     """The questions, if they have at most ``max_cells`` numbers in all; at most that many are read."""
     one = questions.limit(1).toArrow()

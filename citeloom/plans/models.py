@@ -3,7 +3,7 @@ where a model is plugged in, and is an error where none is."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from citeloom.operators import context, embedding, rerank
@@ -55,11 +55,12 @@ class Embedder:
                     f"(task {task}) and no model is plugged in; index them with one first"
                 )
             missing = embedding.misses(wanted, stored, self.dim)
-            fresh = staged(embedding.embed_missing(missing, self.embed, task, EMBED_BATCH), "vectors")
-            self.api_calls += -(-fresh.count() // EMBED_BATCH)
+            calls = Observation("embedding calls")
+            fresh = staged(embedding.embed_missing(missing, self.embed, task, EMBED_BATCH, calls), "vectors")
+            self.api_calls += calls.get["calls"] or 0
             caches.append_vectors(fresh, self.cache)
             stored = caches.read_vectors(self.spark, self.cache)
-        return embedding.require_cached(embedding.with_cached(wanted, stored, key, self.dim)).select(key, "vector")
+        return embedding.require_cached(embedding.with_cached(wanted, stored, self.dim)).select(key, "vector")
 
 
 class Reranker:

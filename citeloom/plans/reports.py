@@ -43,9 +43,9 @@ def retrieval_report(results: DataFrame, k: int, primary: str = "hybrid") -> str
     )
     rows = [["id", "type", *_HEADS.values(), "retrieved documents"]]
     for r in shown.orderBy("query_id").collect():
-        missed = "" if r["anchor_full"] else "  <- answering passage missed"
+        missed = "" if r["anchor_full"] else "  (lacks an anchor)"
         rows.append([str(r["query_id"]), r["type"], *_values(r), r["documents"] + missed])
-    out = [f"RETRIEVAL, k={k}, mode={primary}", *_table(rows)]
+    out = [f"Questions, {primary} lists of {k}", *_table(rows)]
 
     cells = {(r["mode"], r["axis"], r["value"]): r for r in metrics.retrieval_breakdown(results).collect()}
     modes = [primary, *sorted({m for m, _, _ in cells} - {primary})]
@@ -55,29 +55,29 @@ def retrieval_report(results: DataFrame, k: int, primary: str = "hybrid") -> str
             row = cells.get((primary, axis, value))
             if row is not None:
                 rows.append([value, str(row["questions"]), *_values(row)])
-        out += ["", f"BY {axis.upper()} (mode={primary})", *_table(rows)]
+        out += ["", f"Means of each {axis}, {primary} lists", *_table(rows)]
     rows = [["mode", "n", *_HEADS.values()]]
     rows += [[m, str(cells[m, "all", "all"]["questions"]), *_values(cells[m, "all", "all"])] for m in modes if (m, "all", "all") in cells]
-    out += ["", "BY MODE", *_table(rows)]
+    out += ["", "Means of each mode", *_table(rows)]
     rows = [["phrasing", *modes]]
     for phrasing in PHRASINGS:
         found = [cells.get((m, "phrasing", phrasing)) for m in modes]
         rows.append([phrasing] + ["-" if c is None else f"{c['recall']:.3f} / {c['anchor_recall']:.3f}" for c in found])
-    return "\n".join([*out, "", "BY PHRASING (document recall / anchor recall)", *_table(rows)])
+    return "\n".join([*out, "", "Documents and anchors recalled, for each phrasing", *_table(rows)])
 
 
 def rerank_report(before: DataFrame, after: DataFrame, k: int) -> str:
     found = {r["metric"]: r for r in metrics.rerank_comparison(before, after).collect()}
-    rows = [["metric", "fusion only", "+ reranker", "change"]]
+    rows = [["mean", "as fused", "as reordered", "gain"]]
     for name in metrics.RETRIEVAL_METRICS:
         r = found[name]
         rows.append([_HEADS[name], f"{r['before']:.3f}", f"{r['after']:.3f}", f"{r['change']:+.3f}"])
-    out = [f"RERANKING, k={k}", *_table(rows), ""]
+    out = [f"Reordered lists of {k}", *_table(rows), ""]
     moved = metrics.moved_questions(before, after).orderBy("query_id").collect()
     if not moved:
-        return "\n".join([*out, "No question changed its anchor recall."])
-    lines = [f"  {r['query_id']}: {r['before']:.2f} -> {r['after']:.2f}  {r['direction']}" for r in moved]
-    return "\n".join([*out, "Questions whose answering passages moved (anchor recall):", *lines])
+        return "\n".join([*out, "Every question keeps the anchors that it had."])
+    lines = [f"- {r['query_id']} {r['direction'].lower()}: from {r['before']:.0%} of its anchors to {r['after']:.0%}" for r in moved]
+    return "\n".join([*out, f"{len(moved)} with other anchors than before:", *lines])
 
 
 def answer_report(results: DataFrame) -> str:
@@ -85,15 +85,15 @@ def answer_report(results: DataFrame) -> str:
     bad = []
     for r in results.orderBy("query_id").collect():
         facts = f"{r['facts_found']}/{r['facts_expected']}" if r["facts_expected"] else "-"
-        wrong = "" if r["refusal_correct"] else "  <- wrong refusal decision"
+        wrong = "" if r["refusal_correct"] else "  (should have answered)" if r["refused"] else "  (should have refused)"
         rows.append(
             [str(r["query_id"]), r["type"], str(r["refused"]), str(r["conflict"]), str(r["citation_count"]), str(r["grounded"]), facts + wrong]
         )
         if not r["grounded"]:
-            bad.append(f"  {r['query_id']}: citations without a passage {list(r['invalid_citations'])}")
+            bad.append(f"- {r['query_id']} cites passages that it was not given: {', '.join(map(str, r['invalid_citations']))}")
     total = metrics.answer_summary(results).first().asDict()
     lines = [f"  {name:24} {value:.3f}" if isinstance(value, float) else f"  {name:24} {value}" for name, value in total.items()]
-    return "\n".join(["ANSWERS", *_table(rows), "", "ANSWER METRICS", *lines, *bad])
+    return "\n".join(["Answers", *_table(rows), "", "Over all of them", *lines, *bad])
 
 
 def evidence_markdown(rows: DataFrame) -> str:

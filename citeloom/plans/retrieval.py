@@ -14,6 +14,7 @@ from citeloom.plans.prompts import ANSWER_SCHEMA, ANSWER_SYSTEM
 from citeloom.providers import TextModel, complete
 from citeloom.settings import POOL, RETRIEVAL_MODES, RRF_CONSTANT, TOP_K
 from citeloom.sources.documents import load_documents
+from citeloom.sources.keyword_index import KeywordIndex
 from citeloom.sources.scratch import staged
 from citeloom.sources.store import CellStore, TableStore
 
@@ -122,6 +123,20 @@ def build_retriever(
     return Retriever(target, bm25.build(chunks, keep_tokens=True), embedder, top_k=top_k, reranker=reranker)
 
 
+def open_retriever(
+    spark: SparkSession, index: str, embedder: Embedder, store: str = "table", top_k: int = TOP_K, reranker: Reranker | None = None
+) -> Retriever:
+    """A retriever over what is stored under ``index`` (folders ``<store>`` and ``keywords``); nothing is read but by searches.
+
+    FileNotFoundError where a part of it is not stored.
+    """
+    if store not in STORES:
+        raise ValueError(f"unknown store {store!r}; expected one of {STORES}")
+    path = f"{index}/{store}"
+    target = TableStore.load(spark, path) if store == "table" else CellStore.load(spark, path)
+    return Retriever(target, KeywordIndex.load(spark, f"{index}/keywords"), embedder, top_k=top_k, reranker=reranker)
+
+
 def evaluate_retrieval(retriever: Retriever, questions: DataFrame, k: int, mode: str = "hybrid") -> DataFrame:
     asked = questions.where(metrics.is_answerable(F.col("type")))
     return metrics.retrieval_results(retriever.retrieve(asked, k, mode), questions)

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 from datetime import date
-from pathlib import Path
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 
 from citeloom.operators import metrics
 from citeloom.settings import COHORTS
+from citeloom.sources import files
 from citeloom.sources.tables import read_stored
 
 VECTOR_SCHEMA = "key string, vector array<float>"
@@ -103,13 +103,14 @@ def results_payload(
 
 
 def write_results(payload: dict, path: str) -> str:
-    Path(path).write_text(json.dumps(payload, indent=2) + "\n", encoding="utf-8")
+    """Write to any file system that Spark knows; the path comes back."""
+    files.write_text(SparkSession.active(), path, json.dumps(payload, indent=2) + "\n")
     return path
 
 
 def read_results(path: str) -> dict | None:
     """The last results, or None where there are none or they cannot be read."""
     try:
-        return json.loads(Path(path).read_text(encoding="utf-8"))
+        return json.loads(files.read_text(SparkSession.active(), path))
     except (FileNotFoundError, json.JSONDecodeError):
         return None

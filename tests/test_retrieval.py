@@ -1,15 +1,16 @@
 import json
+import re
+import uuid
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from citeloom.operators import embedding, fusion
-from citeloom.operators.joins import join_repeated
 from citeloom.plans import cli, reports, retrieval
 from citeloom.plans.models import Embedder, EmbeddingCacheMiss, Reranker, RerankCacheMiss
 from citeloom.plans.prompts import RERANK_PROMPTS
-from citeloom.sources import store
+from citeloom.sources import payload, store
 from citeloom.sources.golden import load_golden_set
 from citeloom.streaming.questions import retrieve_stream
 from stub_models import stub_complete, stub_embed
@@ -177,14 +178,6 @@ def test_the_two_stores_agree_and_a_cell_store_is_bound_to_its_folder(spark, tmp
         retrieval.build_retriever(spark, "x", None, store="shelf")
 
 
-def test_repeated_keys_are_spread_without_changing_the_result(spark):
-    left = spark.createDataFrame([(i, "hot" if i % 3 else f"k{i}") for i in range(300)], "id int, key string")
-    right = spark.createDataFrame([("hot", 1), ("k0", 2), ("k3", 3), ("unused", 4)], "key string, value int")
-    got = join_repeated(left, right, "key", "id").select("id", "key", "value")
-    want = left.join(right, "key", "left").select("id", "key", "value")
-    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
-
-
 def test_command_line(spark, folder, capsys):
     shared = [
         "--documents", str(folder / "docs"), "--golden", str(folder / "golden.yaml"), "--index", str(folder / "index"),
@@ -194,13 +187,13 @@ def test_command_line(spark, folder, capsys):
     with pytest.raises(EmbeddingCacheMiss):
         cli.main([*shared, "index", "--offline"], spark)
     assert cli.main([*shared, *models, "index", "--rerank"], spark) == 0
-    assert "Indexed 2 documents into 6 chunks" in capsys.readouterr().out
+    assert "documents: 2" in capsys.readouterr().out
     assert cli.main([*shared, "eval", "--retrieval-only", "--rerank", "--k", "3"], spark) == 0
-    assert "RERANKING, k=3" in capsys.readouterr().out
+    assert "Reordered lists of 3" in capsys.readouterr().out
     assert cli.main([*shared, *models, "eval", "--k", "3"], spark) == 0
     assert json.loads((folder / "results.json").read_text())["top_k"] == 3
     assert cli.main([*shared, *models, "ask", "When is payment due?", "--verbose"], spark) == 0
-    assert "Sources:\n  [1]" in capsys.readouterr().out
+    assert "Cited:\n- [1]" in capsys.readouterr().out
     assert cli.main([*shared, "ask", "When?"], spark) == 1
     assert cli.main([*shared, "ask", "When is payment due?"], spark) == 0
     assert "| # | document |" in capsys.readouterr().out
@@ -233,3 +226,53 @@ def test_a_stream_of_questions_gets_the_batch_lists(spark, folder, embedder):
     got = spark.read.parquet(str(folder / "out")).select(*columns)
     want = retriever.retrieve(questions, 3).select(*columns)
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_asking_reads_the_stored_index_and_not_the_documents(spark, folder, capsys):
+    shared = [
+        "--documents", str(folder / "docs"), "--golden", str(folder / "golden.yaml"), "--index", str(folder / "index"),
+        "--vectors", str(folder / "vectors"), "--results", str(folder / "results.json"), "--dim", str(DIM),
+        "--embed", "stub_models:stub_embed", "--complete", "stub_models:stub_complete",
+    ]
+    for store_kind in ("table", "cells"):
+        chosen = ["--store", store_kind, *shared]
+        assert cli.main([*chosen, "ask", "When is payment due?", "--verbose"], spark) == 0  # nothing stored yet
+        built = capsys.readouterr().out
+        assert cli.main([*chosen, "index"], spark) == 0
+        (folder / "docs").rename(folder / "away")
+        capsys.readouterr()
+        assert cli.main([*chosen, "ask", "When is payment due?", "--verbose"], spark) == 0
+        assert capsys.readouterr().out == built
+        assert cli.main([*chosen, "eval", "--k", "2"], spark) == 0
+        with pytest.raises(FileNotFoundError):
+            cli.main([*chosen, "ask", "When is payment due?", "--rebuild"], spark)
+        (folder / "away").rename(folder / "docs")
+
+
+def test_calls_are_counted_where_they_are_made(spark, folder):
+    calls = folder / "calls"
+    calls.mkdir()
+
+    def counted(texts, task):
+        (calls / uuid.uuid4().hex).touch()
+        return stub_embed(texts, task)
+
+    texts = spark.range(450).select(F.col("id").cast("string").alias("chunk_id"), F.concat(F.lit("text "), "id").alias("index_text")).repartition(7)
+    used = Embedder(spark, "m", str(folder / "vectors"), counted, DIM)
+    assert used.documents(texts).count() == 450
+    assert used.api_calls == len(list(calls.iterdir())) >= 5 and used.cache_hits == 0
+    assert used.documents(texts).count() == 450 and used.api_calls == len(list(calls.iterdir())) and used.cache_hits == 450
+
+
+def test_texts_are_read_from_the_buckets_of_the_hits_alone(spark):
+    table = f"payload_{uuid.uuid4().hex}"
+    content = spark.range(2000).select(F.concat(F.lit("c"), "id").alias("chunk_id"), F.concat(F.lit("text "), "id").alias("text"))
+    payload.write(content, table, 16)
+    hits = spark.createDataFrame([("q", "c5", 1), ("q", "c7", 2), ("p", "c5", 1), ("p", "absent", 2)], "query_id string, chunk_id string, rank int")
+    got = payload.fetched(spark, table, hits)
+    assert {(r.query_id, r.rank, r.text) for r in got.collect()} == {("q", 1, "text 5"), ("q", 2, "text 7"), ("p", 1, "text 5")}
+    read = re.search(r"SelectedBucketsCount: (\d+) out of 16", got._jdf.queryExecution().toString())
+    assert read and int(read.group(1)) <= 3
+    many = hits.select("query_id", F.explode(F.sequence(F.lit(0), F.lit(5100))).alias("i")).select("query_id", F.concat(F.lit("c"), F.col("i") % 2000, F.when(F.col("i") > 1999, "x").otherwise("")).alias("chunk_id"))
+    joined = payload.fetched(spark, table, many)
+    assert joined.count() == 4 * 2000

@@ -137,7 +137,7 @@ def test_exact_search_is_brute_force(stored, asked):
 
 def test_grid_and_full_probing_give_the_exact_lists(stored, asked):
     exact = lists(knn.exact_topk(stored, asked, 10))
-    assert lists(knn.exact_topk(stored, asked, 10, max_cells=100, shard_rows=40)) == exact
+    assert lists(knn.exact_topk(stored, asked, 10, max_cells=100)) == exact
     centroids = knn.pick_centroids(stored)
     count = centroids.count()
     assert count == 18

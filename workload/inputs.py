@@ -156,7 +156,7 @@ def question_vectors(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def keyword_hits(spark: SparkSession, folder: str, k: int = POOL) -> DataFrame:
-    index = bm25.build(documents(spark, folder, "doc_id", "text"), "doc_id", "text")
+    index = bm25.build(documents(spark, folder, "doc_id", "text"), "doc_id", "text", keep_postings=True)
     return bm25.search(index, questions(spark, folder), k)
 
 
@@ -164,9 +164,9 @@ def vector_hits(spark: SparkSession, folder: str, k: int = POOL) -> DataFrame:
     return knn.exact_topk(vectors(spark, folder), question_vectors(spark, folder), k)
 
 
-def with_documents(spark: SparkSession, folder: str, hits: DataFrame) -> DataFrame:
-    """Add what a passage shows. The ranked lists are small, so only their texts are fetched."""
-    payload = read_table(spark, folder, "documents").select(
+def payload(spark: SparkSession, folder: str) -> DataFrame:
+    """What a passage shows."""
+    return read_table(spark, folder, "documents").select(
         F.col("doc_id").alias("chunk_id"),
         F.col("doc_id").cast("string").alias("doc_id"),
         F.concat(F.lit("Document "), F.col("doc_id")).alias("doc_title"),
@@ -174,7 +174,11 @@ def with_documents(spark: SparkSession, folder: str, hits: DataFrame) -> DataFra
         F.concat(F.col("source"), F.lit(".txt")).alias("source_path"),
         "text",
     )
-    return with_content(payload, hits)
+
+
+def with_documents(spark: SparkSession, folder: str, hits: DataFrame) -> DataFrame:
+    """Add what a passage shows. The ranked lists are small, so only their texts are fetched."""
+    return with_content(payload(spark, folder), hits)
 
 
 # --- model responses ---------------------------------------------------------------------------

@@ -575,6 +575,7 @@ def oracle_sql() -> dict[str, str]:
 
     context = f"string_agg('[' || rank || '] ' || {LABEL} || ' (source: ' || source_path || ')' || chr(10) || text, E'\\n\\n' ORDER BY rank)"
     q["context_blocks"] = f"WITH {bm25(DOCS, 5)},{PAYLOAD} SELECT query_id, md5({context}) AS digest FROM hits JOIN pay USING (chunk_id) GROUP BY query_id"
+    q["context_stored"] = q["context_blocks"]
     q["answer_prompts"] = f"""WITH {vector_hits(5)},{PAYLOAD} SELECT query_id, length(p) AS chars, md5(p) AS digest FROM (
       SELECT b.item_id AS query_id, E'Context passages:\\n\\n' || coalesce(ctx, '(no passages were retrieved)') || E'\\n\\nQuestion: ' || b.text AS p
       FROM benchmark b LEFT JOIN (SELECT query_id, {context} AS ctx FROM vhits JOIN pay USING (chunk_id) GROUP BY query_id) ON item_id = query_id)"""

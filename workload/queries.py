@@ -16,6 +16,7 @@ from citeloom.operators.topk import rounded
 from citeloom.settings import DOCUMENT_TASK, MAX_RETRY_WAIT, RETRIEVAL_MODES, TOP_K
 from citeloom.sources import golden as golden_source
 from citeloom.sources import coded_store, keyword_index, store
+from citeloom.sources import payload as payload_table
 from citeloom.sources.documents import structured
 from citeloom.sources.scratch import shared_folder, staged
 from citeloom.sources.tables import read_table
@@ -222,7 +223,7 @@ def bm25_pruned(spark, folder):
 
 @query
 def bm25_grid(spark, folder):
-    """The same lists by way of the grid, as for question sets too large to ship."""
+    """The same lists with questions in blocks, as where they are too many to be sent at once."""
     index = bm25.build(inputs.documents(spark, folder, "doc_id", "text"), "doc_id", "text")
     return bm25.search(index, inputs.questions(spark, folder), 20, max_weights=1_000)
 
@@ -265,10 +266,10 @@ def vector_neighbours(spark, folder):
 
 @query
 def vector_neighbours_grid(spark, folder):
-    """The same lists by way of the grid, as for question sets too large to ship."""
+    """The same lists with questions in blocks, as where they are too many to be sent at once."""
     stored = inputs.vectors(spark, folder)
     asked = stored.withColumnRenamed("chunk_id", "query_id")
-    return knn.exact_topk(stored, asked, 10, max_cells=10_000, shard_rows=200)
+    return knn.exact_topk(stored, asked, 10, max_cells=10_000)
 
 
 def _coded(spark, stored: DataFrame) -> str:
@@ -428,6 +429,15 @@ def context_blocks(spark, folder):
     return context.context_blocks(hits).select("query_id", F.md5("context").alias("digest"))
 
 
+@query
+def context_stored(spark, folder):
+    """The same context from a stored table of texts, of which only the buckets of the hits are read."""
+    table = f"payload_{uuid.uuid4().hex}"
+    payload_table.write(inputs.payload(spark, folder), table)
+    hits = payload_table.fetched(spark, table, inputs.keyword_hits(spark, folder, TOP_K))
+    return context.context_blocks(hits).select("query_id", F.md5("context").alias("digest"))
+
+
 @query
 def answer_prompts(spark, folder):
     hits = inputs.with_documents(spark, folder, inputs.vector_hits(spark, folder, TOP_K))
@@ -626,7 +636,7 @@ def cache_report(spark, folder):
 def cache_vectors(spark, folder):
     """Every document with its stored vector, where there is a usable one."""
     texts = embedding.keyed(inputs.documents(spark, folder, "doc_id", "text"), inputs.MODEL, DOCUMENT_TASK)
-    found = embedding.with_cached(texts, _cache(spark, folder), "doc_id", dim=64)
+    found = embedding.with_cached(texts, _cache(spark, folder), dim=64)
     return found.select("doc_id", F.round(F.col("vector")[0].cast("double"), 7).alias("first"))
 
 
