@@ -41,7 +41,8 @@ def run_until(spark, incoming, out, checkpoint, model, wanted):
     end = time.time() + 120
     try:
         while time.time() < end and query.isActive:
-            if any(out.glob("*.parquet")) and len(rows := spark.read.parquet(str(out)).collect()) >= wanted:
+            # The sink's log says which files count; there is none before the first batch.
+            if any(out.glob("_spark_metadata/[0-9]*")) and len(rows := spark.read.schema(made.schema).parquet(str(out)).collect()) >= wanted:
                 return rows
             time.sleep(0.5)
     finally:
