@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from citeloom.llm import chosenpath, crosspolytope, divergence, licenses, mixing, multiset, pieces, prefixtrie, quality, simhash, substring, token_lengths, toxicity
 from citeloom.llm.frames import prepare
+from citeloom.sources.scratch import staged
 from citeloom.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,7 +49,9 @@ def op3_license_scan(spark, folder):
 @query
 def op4_token_lengths(spark, folder):
     vocabulary = pieces.broadcast_model(spark, public_tokenizers.path(MODEL))
-    return token_lengths.suffix_sums(token_lengths.histogram(read_table(spark, folder, "documents"), vocabulary))
+    # One row per length; written once, as its sort would encode the texts a second time to sample ranges.
+    lengths = staged(token_lengths.histogram(read_table(spark, folder, "documents"), vocabulary), "lengths")
+    return token_lengths.suffix_sums(lengths)
 
 
 @query
