@@ -25,7 +25,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeloom.llm.frames import slices, with_columns
+from citeloom.llm.frames import slices, unused, with_columns
 
 SPACE = "▁"
 #: Symbols of a word from which on the heap merges it; distinct words that a task remembers.
@@ -352,13 +352,16 @@ def broadcast_model(spark: SparkSession, path: str) -> Broadcast:
 def round_trip(docs: DataFrame, vocabulary: Broadcast, text: str = "text", *keep: str) -> DataFrame:
     """``keep`` columns, ``ids`` (array<int>) and ``decoded``: the text encoded, and those ids decoded.
 
-    A null or empty text has no ids and decodes to the empty string. One pass, no shuffle.
+    A null or empty text has no ids and decodes to the empty string. One pass, no shuffle. Columns named ``ids``
+    or ``decoded`` are replaced.
     """
+    keep = tuple(k for k in keep if k not in ("ids", "decoded"))
+    (inner,) = unused(docs, "_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(vocabulary)
-        for part in slices(batches, "_text"):
-            ids, counts = encoder.encode(part.column("_text").to_pylist())
+        for part in slices(batches, inner):
+            ids, counts = encoder.encode(part.column(inner).to_pylist())
             offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
             lists = pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32()))
             yield pa.RecordBatch.from_arrays(
@@ -366,8 +369,8 @@ def round_trip(docs: DataFrame, vocabulary: Broadcast, text: str = "text", *keep
                 names=[*keep, "ids", "decoded"],
             )
 
-    wanted = docs.select(*keep, F.col(text).alias("_text"))
-    return wanted.mapInArrow(run, with_columns(wanted.schema, "_text", "ids array<int>, decoded string"))
+    wanted = docs.select(*keep, F.col(text).alias(inner))
+    return wanted.mapInArrow(run, with_columns(wanted.schema, inner, "ids array<int>, decoded string"))
 
 
 def decode(encoded: DataFrame, vocabulary: Broadcast, ids: str = "ids", *keep: str) -> DataFrame:
