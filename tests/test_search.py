@@ -240,3 +240,16 @@ def test_fusion_adds_reciprocal_ranks_and_keeps_evidence(spark):
     assert fusion.fuse(vector, keyword, 0).count() == 0
     with pytest.raises(ValueError):
         fusion.fuse(None, None)
+
+
+def test_questions_beyond_the_bound_take_one_job_not_one_per_block(spark, stored, monkeypatch):
+    asked = stored.withColumnRenamed("chunk_id", "query_id")
+    exact = lists(knn.exact_topk(stored, asked, 5))
+    monkeypatch.setattr(knn, "_CELL_NUMBERS", 16 * 90)
+    tracker, context = spark.sparkContext.statusTracker(), spark.sparkContext
+    context.setJobGroup("every pair", "")
+    found = knn.exact_topk(stored, asked, 5, max_cells=32)
+    context.setLocalProperty("spark.jobGroup.id", None)
+    # 300 questions in blocks of two: bounded looks at both sides, and no job for each block.
+    assert len(tracker.getJobIdsForGroup("every pair")) < 12
+    assert lists(found) == exact
