@@ -17,6 +17,9 @@ What is compared how:
   that is compared with all others of the node on the full sets, in the task that has them, so that only links leave it. Nodes of
   over BLOCK_ROWS sets go on branching; at the last level they are compared in blocks.
 
+Pairs that another method suspects can be handed in: they are confirmed on the full sets with the first ones. The
+pipeline hands in what SimHash (operator 2) finds: the sets whose fingerprints differ in at most 2 bits.
+
 So a large group of near copies costs rows and links in proportion to its members. Two sets that meet in a node
 and are in no confirmed chain together have been compared. Equal sets are one set from the start.
 """
@@ -32,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from citeloom.llm import flat
+from citeloom.llm import flat, simhash
 from citeloom.llm.bits import broadcast_bits
 from citeloom.llm.components import components
 from citeloom.llm.frames import slices, unused, utf8, with_columns
@@ -119,8 +122,9 @@ def branches_of(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out.reshape(len(sizes), -1)
 
 
-def described(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, text -> doc_id, ``key`` and ``n`` (size) of the set, ``sketch`` and ``branches``."""
+def described(docs: DataFrame, shingle: int, by_simhash: bool = False) -> DataFrame:
+    """doc_id, text -> doc_id, ``key`` and ``n`` (size) of the set, ``sketch`` and ``branches``; the SimHash ``fingerprint`` if asked for."""
+    names = ["doc_id", "key", "n", "sketch", "branches", *(["fingerprint"] if by_simhash else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
@@ -131,10 +135,12 @@ def described(docs: DataFrame, shingle: int) -> DataFrame:
             tokens = branches_of(hashes, bounds)
             lists = pa.ListArray.from_arrays(pa.array(step * tokens.shape[1]), pa.array(tokens.ravel()))
             columns = [part.column("doc_id"), pa.array(keys_of(hashes, bounds)), pa.array(np.diff(bounds).astype(np.int32)), binary, lists]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "key", "n", "sketch", "branches"])
+            if by_simhash:
+                columns.append(pa.array(simhash.fingerprints_of(part.column("text").to_pylist(), shingle).view(np.int64)))
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    wanted = docs.select("doc_id", "text")
-    return wanted.mapInArrow(run, with_columns(wanted.schema, "text", "key bigint, n int, sketch binary, branches array<int>"))
+    wanted, more = docs.select("doc_id", "text"), ", fingerprint bigint" if by_simhash else ""
+    return wanted.mapInArrow(run, with_columns(wanted.schema, "text", f"key bigint, n int, sketch binary, branches array<int>{more}"))
 
 
 def _full_sets(docs: DataFrame, keys: DataFrame, shingle: int) -> DataFrame:
@@ -382,8 +388,11 @@ def _confirmed(pairs: DataFrame, full: DataFrame) -> DataFrame:
     return joined.where(whole * shared >= part * (both - shared)).select("a", "b")
 
 
-def links(docs: DataFrame, sets: DataFrame, shingle: int) -> DataFrame | None:
-    """Distinct sets (key, n, sketch, branches) -> (node, root) of those connected to others; None if there are none."""
+def links(docs: DataFrame, sets: DataFrame, shingle: int, suspected: DataFrame | None = None) -> DataFrame | None:
+    """Distinct sets (key, n, sketch, branches) -> (node, root) of those connected to others; None if there are none.
+
+    ``suspected`` pairs (a, b) of keys are compared as well.
+    """
 
     def split(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         rows = staged(rows, "met")
@@ -397,8 +406,10 @@ def links(docs: DataFrame, sets: DataFrame, shingle: int) -> DataFrame | None:
     pairs = _pairs_of_small(small, sets)
     small, large = split(_met(_branched(large, sets, 1), None))
     large = suspects(large)
-    pairs = pairs.unionByName(_pairs_of_small(small, sets)).groupBy("a", "b").agg(F.bool_or("forest").alias("forest"))
-    pairs = staged(pairs, "pairs")
+    pairs = pairs.unionByName(_pairs_of_small(small, sets))
+    if suspected is not None:
+        pairs = pairs.unionByName(suspected.withColumn("forest", F.lit(True)))
+    pairs = staged(pairs.groupBy("a", "b").agg(F.bool_or("forest").alias("forest")), "pairs")
     keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).unionByName(large.select("key"))
     keys = staged(keys.distinct(), "keys")
     if keys.isEmpty():
@@ -433,19 +444,22 @@ def links(docs: DataFrame, sets: DataFrame, shingle: int) -> DataFrame | None:
     return roots if more.isEmpty() else components(found.unionByName(more))
 
 
-def near_copies(docs: DataFrame, shingle: int = SHINGLE, *, empty_alike: bool = False) -> DataFrame:
+def near_copies(docs: DataFrame, shingle: int = SHINGLE, *, empty_alike: bool = False, by_simhash: bool = False) -> DataFrame:
     """doc_id, text -> doc_id, n_shingles (size of the set), component_id, one row per input row.
 
     component_id is the smallest doc_id reachable over pairs of sets of similarity SIMILAR or more, the row's
     own included. Null texts and texts without words have no shingles: each is a component of its own, or
     all are one with ``empty_alike``. A null id is a component_id only where the whole component has none. Rows that
     repeat an id are rows of their own, linked by their texts and not by the id. Whole texts are read,
-    however long. Other columns are ignored. An empty table gives no rows.
+    however long. Other columns are ignored. An empty table gives no rows. With ``by_simhash``, pairs come
+    from SimHash fingerprints of the same shingles too, and are confirmed like all others.
     """
-    printed = staged(described(docs, shingle), "described")
-    distinct = printed.groupBy("key").agg(F.min("doc_id").alias("first"), *[F.first(c).alias(c) for c in ("n", "sketch", "branches")])
+    printed = staged(described(docs, shingle, by_simhash), "described")
+    each = [F.min("fingerprint").alias("fingerprint")] if by_simhash else []
+    distinct = printed.groupBy("key").agg(F.min("doc_id").alias("first"), *[F.first(c).alias(c) for c in ("n", "sketch", "branches")], *each)
     distinct = staged(distinct, "distinct")
-    roots = links(docs, distinct.select("key", "n", "sketch", "branches"), shingle)
+    suspected = simhash.candidates(distinct.where("n > 0").select("key", "fingerprint")) if by_simhash else None
+    roots = links(docs, distinct.select("key", "n", "sketch", "branches"), shingle, suspected)
     rooted = _rooted(distinct.select("key", "first"), roots)
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     classes = rooted.join(least, "root").select("key", "component_id")
@@ -454,13 +468,13 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE, *, empty_alike: bool =
     return placed.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def kept_of_each(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+def kept_of_each(docs: DataFrame, shingle: int = SHINGLE, *, by_simhash: bool = False) -> DataFrame:
     """The rows of ``docs`` that stay, columns unchanged: of each component those of the smallest id, texts without words being one.
 
     Rows that repeat that id all stay, as one document. A component without any id stays whole, and with it all rows without an id.
     """
     (kept,) = unused(docs, "_kept_id")
-    keep = near_copies(docs, shingle, empty_alike=True).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    keep = near_copies(docs, shingle, empty_alike=True, by_simhash=by_simhash).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     return docs.join(keep.select(F.col("doc_id").alias(kept)).distinct(), F.col("doc_id").eqNullSafe(F.col(kept)), "left_semi")
 
 

@@ -38,17 +38,17 @@ def _sum_bits(hashed: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
 
 
-def fingerprints_of(texts: list[str | None]) -> np.ndarray:
+def fingerprints_of(texts: list[str | None], shingle: int = SHINGLE) -> np.ndarray:
     """The 64-bit fingerprint of each text: a bit is 1 if set in over half the shingle hashes."""
     digest = xxhash.xxh64_intdigest
     hashed: list[int] = []
     counts = []
     for text in texts:
         words = text.encode().lower().split() if text else []  # bytes: only A-Z, only ASCII white space
-        if len(words) > SHINGLE:
-            shingles = map(b" ".join, zip(*(words[i:] for i in range(SHINGLE))))
+        if len(words) > shingle:
+            shingles = map(b" ".join, zip(*(words[i:] for i in range(shingle))))
             hashed += [digest(s, SEED) for s in shingles]
-            counts.append(len(words) - SHINGLE + 1)
+            counts.append(len(words) - shingle + 1)
         elif words:
             hashed.append(digest(b" ".join(words), SEED))
             counts.append(1)
@@ -97,6 +97,19 @@ def links(distinct: DataFrame) -> DataFrame:
     return pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= DISTANCE)
 
 
+def candidates(distinct: DataFrame) -> DataFrame:
+    """Rows (key, fingerprint) -> pairs (a, b) of keys within DISTANCE bits, a < b, that connect all such.
+
+    Keys of one fingerprint are paired with the smallest of them, and the smallest ones of linked fingerprints with
+    each other: as many pairs as rows and links, however large a group is.
+    """
+    firsts = staged(distinct.groupBy("fingerprint").agg(F.min("key").alias("first")), "firsts")
+    same = distinct.join(firsts, "fingerprint").where(F.col("key") != F.col("first")).select(F.col("first").alias("a"), F.col("key").alias("b"))
+    one, other = (firsts.select(F.col("fingerprint").alias(f), F.col("first").alias(k)) for f, k in (("a", "one"), ("b", "other")))
+    near = links(firsts.select("fingerprint")).join(one, "a").join(other, "b")
+    return same.unionByName(near.select(F.least("one", "other").alias("a"), F.greatest("one", "other").alias("b")).distinct())
+
+
 def hexed(fingerprint: Column) -> Column:
     return F.lower(F.lpad(F.hex(fingerprint), 16, "0"))
 

@@ -36,9 +36,12 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Null texts and texts without words are one group. Rows that repeat the id that stays all stay. Rows without an
     id are one by that: they all stay if one of them is in no group with an id, and go otherwise. Sets are made of whole texts and confirmed in full.
+
+    Pairs to confirm come from SimHash fingerprints of the shingles (operator 2) and, as most near copies are further
+    apart than its 2 bits, from the chosen-path join.
     """
     prepare(spark)
-    return chosenpath.kept_of_each(docs, SHINGLE)
+    return chosenpath.kept_of_each(docs, SHINGLE, by_simhash=True)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
